@@ -118,7 +118,7 @@ def audit_envelopes(flat: DataFrame) -> DataFrame:
 _PREPARED: dict[tuple[str, str, str], str] = {}
 
 
-def _prepared(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
+def prepared(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _PREPARED:
         path = tables.work_dir(spark, kind)
@@ -135,14 +135,14 @@ def messages_path(spark: SparkSession, sf_dir: str) -> str:
     def build(path: str) -> None:
         envelopes(flat_events(spark, sf_dir)).write.text(path)
 
-    return _prepared(spark, sf_dir, "messages", build)
+    return prepared(spark, sf_dir, "messages", build)
 
 
 def audit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(path: str) -> None:
         audit_envelopes(flat_events(spark, sf_dir)).write.text(path)
 
-    return read_envelopes(spark, _prepared(spark, sf_dir, "audit", build))
+    return read_envelopes(spark, prepared(spark, sf_dir, "audit", build))
 
 
 def store(spark: SparkSession, sf_dir: str) -> str:
@@ -153,7 +153,7 @@ def store(spark: SparkSession, sf_dir: str) -> str:
         tables.ingest_batch(source, root, PROJECT, ingest_ts="2024-01-31 00:00:00")
         tables.write_base(tables.read_raw(spark, root), tables.base_path(root))
 
-    return _prepared(spark, sf_dir, "store", build)
+    return prepared(spark, sf_dir, "store", build)
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

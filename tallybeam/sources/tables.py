@@ -92,20 +92,18 @@ def write_log(classified_rows: DataFrame, root: str, batch: str, arrived: Column
     repartition by day would not. A repeated batch must pass the same ``arrived``.
     """
     rejected = F.col("outcome") == ingest.DEAD_LETTER
-    rows = (
-        classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER))
-        .withColumns({
-            "tier": F.when(rejected, "dead_letter").otherwise("raw"),
-            "ingest_ts": F.when(rejected, arrived),
-            "value": F.when(rejected, F.col("value")),
-            "day": F.to_date(F.when(rejected, arrived).otherwise(F.col("timestamp"))),
-            "batch": F.lit(batch),
-        })
-        .drop("outcome")
-    )
+    rows = classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER)).select(
+        *ingest.RAW_COLUMNS,
+        F.when(rejected, F.col("value")).alias("value"),
+        "reason",
+        F.when(rejected, arrived).alias("ingest_ts"),
+        F.when(rejected, "dead_letter").otherwise("raw").alias("tier"),
+        F.to_date(F.when(rejected, arrived).otherwise(F.col("timestamp"))).alias("day"),
+        F.lit(batch).alias("batch"),
+    )
     (
         rows.hint("rebalance", "tier", "day")
-        .sortWithinPartitions("tier", "day", "logName", "severity")
+        .sortWithinPartitions("tier", "day", "batch", "logName", "severity")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tier", "day", "batch")
@@ -131,6 +129,14 @@ def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DEAD_SCHEMA).parquet(dead_letter_path(root))
 
 
+def stream_raw(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Follow the raw table: every row once, already de-duplicated."""
+    reader = spark.readStream.schema(RAW_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(raw_path(root))
+
+
 def write_base(raw: DataFrame, path: str, **view_options) -> None:
     """Store the typed base view so that queries do not parse JSON again.
 
