@@ -33,10 +33,10 @@ SELECT event_id, ts, user_id, event_type, value, props, event_name,
  CASE WHEN event_name='gemini_cli.api_response' AND event_id%9=0 THEN 'STOP' END AS finish_reason,
  CASE WHEN event_name='gemini_cli.api_response' AND event_id%3=0 THEN event_id%50 END AS gen_ai_input_tokens,
  CASE WHEN event_name='gemini_cli.api_response' AND event_id%3=0 THEN event_id%40 END AS gen_ai_output_tokens,
- CASE WHEN event_name='gemini_cli.api_response' THEN 200
+ CAST(CASE WHEN event_name='gemini_cli.api_response' THEN 200
       WHEN event_name='gemini_cli.api_error' AND event_id%8 IN (0,1) THEN 429
       WHEN event_name='gemini_cli.api_error' AND event_id%8=4 THEN 500
-      WHEN event_name='gemini_cli.api_error' THEN 503 END AS status_code,
+      WHEN event_name='gemini_cli.api_error' THEN 503 END AS BIGINT) AS status_code,
  CASE WHEN event_name='gemini_cli.api_error' AND event_id%8 IN (0,1) THEN 'RATE_LIMIT'
       WHEN event_name='gemini_cli.api_error' THEN 'SERVER'
       WHEN event_name='gemini_cli.tool_call' AND event_type='error' THEN 'TOOL_ERROR' END AS error_code,

@@ -187,7 +187,7 @@ def _coverage() -> str:
 def _validity() -> str:
     present = {
         "resource_json": "count(*)", "labels_json": "count(cli_version)", "operation_json": "count(operation_id)",
-        "httpRequest_json": "CAST(0 AS BIGINT)", "jsonPayload_json": "count(*)",
+        "httpRequest_json": "count(NULL)", "jsonPayload_json": "count(*)",
     }
     return " UNION ALL ".join(
         f"SELECT '{name}' AS column_name, {n} AS present, {n} AS valid, CAST(0 AS BIGINT) AS invalid FROM av"
@@ -197,8 +197,8 @@ def _validity() -> str:
 
 def _schema_doc() -> str:
     filled = {
-        "labels_json": "count(cli_version)", "operation_json": "count(operation_id)", "httpRequest_json": "0",
-        "trace": "count(trace)", "spanId": "0",
+        "labels_json": "count(cli_version)", "operation_json": "count(operation_id)", "httpRequest_json": "count(NULL)",
+        "trace": "count(trace)", "spanId": "count(NULL)",
     }
     return " UNION ALL ".join(
         f"SELECT {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "

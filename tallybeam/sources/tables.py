@@ -188,8 +188,9 @@ def retained(frame: DataFrame, as_of: AsOf, keep_days: int) -> DataFrame:
 
 
 def documented_columns(frame: DataFrame) -> Iterable[tuple[str, str, str]]:
+    """Name, type and description; partition columns lose their metadata when read, so look them up."""
     for field in frame.schema.fields:
-        yield field.name, field.dataType.simpleString(), field.metadata.get("comment", "")
+        yield field.name, field.dataType.simpleString(), RAW_DOC.get(field.name, "")
 
 
 def schema_doc(raw: DataFrame) -> DataFrame:

@@ -32,6 +32,13 @@ def rows_of(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# Spark type name of each DuckDB type that the SQL counterparts return.
+TYPES = {
+    "VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "BOOLEAN": "boolean",
+    "DATE": "date", "TIMESTAMP": "timestamp_ntz",
+}
+
+
 def differences(df, connection, sql: str) -> str | None:
     """None when both sides agree, otherwise what differs."""
     relation = connection.execute(sql)
@@ -40,8 +47,11 @@ def differences(df, connection, sql: str) -> str | None:
     expected = rows_of(expected_columns, relation.fetchall())
     if sorted(df.columns) != sorted(expected_columns):
         return f"columns {sorted(df.columns)} != {sorted(expected_columns)}"
-    if any("HUGEINT" in t or "DECIMAL" in t for t in expected_types.values()):
-        return f"oracle types {expected_types}"
+    wrong_types = {
+        c: (actual, expected_types[c]) for c, actual in df.dtypes if TYPES.get(expected_types[c]) != actual
+    }
+    if wrong_types:
+        return f"types {wrong_types}"
     actual = rows_of(df.columns, [tuple(row) for row in df.collect()])
     if len(actual) != len(expected):
         return f"{len(actual)} rows != {len(expected)}"

@@ -26,12 +26,13 @@ def main() -> int:
     for name in chosen:
         started = time.time()
         try:
-            df = contract.queries()[name](spark, sf_dir)
+            df = contract.queries()[name](spark, sf_dir).cache()
             problem = differences(df, connection, oracles[name]) if name in oracles else f"rows only: {df.count()}"
         except Exception as failure:  # noqa: BLE001 - report and go on
             problem = f"{type(failure).__name__}: {str(failure)[:600]}"
         failed += problem is not None
-        print(f"{name:42s} {time.time() - started:6.2f}s {problem or 'ok'}", flush=True)
+        print(f"{name:42s} {time.time() - started:6.2f}s {problem or 'ok'} ({df.count()} rows)", flush=True)
+        df.unpersist()
     print(f"{len(chosen) - failed} of {len(chosen)} agree; without SQL: {sorted(set(chosen) - oracles.keys())}")
     return failed
 
