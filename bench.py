@@ -72,8 +72,7 @@ def scaled_events(spark: SparkSession) -> DataFrame:
 
 def write_messages(spark: SparkSession) -> str:
     path = tables.work_dir(spark, "bench-messages")
-    scaled_events(spark).createOrReplaceTempView("events")
-    adapter.envelopes(spark.sql(adapter.FLAT_SQL)).repartition(int(CPUS) * max(1, FACTOR // 4)).write.text(path)
+    adapter.envelopes(adapter.flatten(scaled_events(spark))).repartition(int(CPUS) * max(1, FACTOR // 4)).write.text(path)
     return path
 
 
@@ -106,8 +105,6 @@ def main() -> None:
     pending = iter(tables.base_path(r) for r in roots)
     timed("base_table", lambda: tables.write_base(tables.read_raw(spark, root), next(pending)))
     av = tables.read_base(spark, tables.base_path(root))
-    if av.isEmpty():
-        av = tables.read_base(spark, tables.base_path(roots[0]))
 
     named = {
         "daily_metrics": lambda: views.daily_metrics(av),

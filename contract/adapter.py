@@ -36,8 +36,12 @@ PAYLOAD = {
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(FLAT_SQL)
+    return flatten(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def flatten(events: DataFrame) -> DataFrame:
+    events.createOrReplaceTempView("flat_source_events")
+    return events.sparkSession.sql(FLAT_SQL.replace("FROM events", "FROM flat_source_events"))
 
 
 def _instant(moment: Column) -> Column:

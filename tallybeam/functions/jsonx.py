@@ -63,8 +63,8 @@ def key_scalar(parsed: Column, json_text: Column, key: str) -> Column:
 def as_bigint(text: Column) -> Column:
     """Integer from JSON scalar text. ``7.0`` and ``1e3`` are whole numbers in JSON, so they count."""
     number = text.try_cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < F.lit(2.0**53))
-    return F.coalesce(text.try_cast("bigint"), F.when(whole, number.try_cast("bigint")))
+    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), F.when(text.isNotNull(), whole))
 
 
 def as_double(text: Column) -> Column:

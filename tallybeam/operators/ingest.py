@@ -106,17 +106,17 @@ def dedup_key() -> Column:
     return F.coalesce(F.concat(F.lit("id:"), "insertId"), F.concat(F.lit("row:"), "row_id"))
 
 
-def deduplicate(rows: DataFrame) -> DataFrame:
+def deduplicate(rows: DataFrame, content: tuple[str, ...] = ("value",)) -> DataFrame:
     """Keep the earliest-received copy of each ``insertId``; rows without an id all stay.
 
     The row-number filter becomes a per-partition limit ahead of the shuffle, so an id that is
     redelivered millions of times sends one row per map task. Rows without an id get a key each
-    and spread evenly. Ties are broken by the hash of the message.
+    and spread evenly. Ties are broken by the hash of ``content``.
     """
     w = Window.partitionBy("_key").orderBy(F.col("receiveTimestamp").asc_nulls_last(), "_tie")
     return (
         rows.withColumn("_key", dedup_key())
-        .withColumn("_tie", F.xxhash64("value"))
+        .withColumn("_tie", F.xxhash64(*content))
         .withColumn("_rank", F.row_number().over(w))
         .filter(F.col("_rank") == 1)
         .drop("_key", "_tie", "_rank", "row_id")

@@ -68,27 +68,14 @@ class Erasure:
     dead_letter_days: list[date | None] = field(default_factory=list)
 
 
-def _rewrite_days(spark: SparkSession, table: DataFrame, hit: Column, path: str) -> list[date | None]:
-    """Remove the rows where ``hit`` is true from the days that hold any.
+def _remove(spark: SparkSession, table: DataFrame, hit: Column, path: str) -> list[date | None]:
+    """Remove the rows where ``hit`` is true; returns the days that held any.
 
-    Only affected days are read and written. The kept rows go to a staging table first, because a
-    table cannot be overwritten while it is read. Each day is then replaced by its folder, which
-    also empties a day that belonged to the user alone.
+    A day that belonged to the user alone becomes empty, which a dynamic partition overwrite
+    would leave untouched.
     """
     affected = tables.stored_days(table.filter(hit))
-    if not affected:
-        return []
-    dated = [d for d in affected if d is not None]
-    within = F.col("day").isin(dated) if dated else F.lit(False)
-    if None in affected:
-        within = within | F.col("day").isNull()
-    staging = tables.work_dir(spark, "erasure")
-    kept = table.filter(F.coalesce(within, F.lit(False)) & ~hit)
-    kept.write.partitionBy("day").parquet(staging)
-    staged = spark.read.schema(table.schema).parquet(staging)
-    for day in affected:
-        chosen = F.col("day").isNull() if day is None else F.col("day") == F.lit(day)
-        tables.replace_day(staged.filter(chosen), path, day)
+    tables.rewrite_days(spark, table, affected, path, lambda rows: rows.filter(~hit))
     return affected
 
 
@@ -99,11 +86,11 @@ def erase(spark: SparkSession, root: str, email: str) -> Erasure:
     must be rebuilt afterwards (``incremental.rebuild``).
     """
     raw = tables.read_raw(spark, root)
-    days = _rewrite_days(spark, raw, _of_user(raw, email), tables.raw_path(root))
+    days = _remove(spark, raw, _of_user(raw, email), tables.raw_path(root))
     base = base_view.stored_columns(tables.read_base(spark, tables.base_path(root)))
-    _rewrite_days(spark, base, F.coalesce(F.col(USER_EMAIL) == email, F.lit(False)), tables.base_path(root))
+    _remove(spark, base, F.coalesce(F.col(USER_EMAIL) == email, F.lit(False)), tables.base_path(root))
     dead = tables.read_dead_letters(spark, root)
-    dead_days = _rewrite_days(
+    dead_days = _remove(
         spark, dead, F.coalesce(F.col("value").contains(email), F.lit(False)), tables.dead_letter_path(root)
     )
     return Erasure(days, dead_days)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,6 +168,47 @@ def replace_day(frame: DataFrame, path: str, day: date | None) -> None:
     frame.drop("day").write.mode("overwrite").partitionBy("batch").parquet(f"{path}/day={folder}")
 
 
+def rewrite_days(
+    spark: SparkSession,
+    table: DataFrame,
+    days: list[date | None],
+    path: str,
+    change: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Apply ``change`` to the rows of some days and store the result in their place.
+
+    Only these days are read and written. The result goes to a staging table first, because a
+    table cannot be overwritten while it is read; then each day is replaced by its folder.
+    """
+    if not days:
+        return
+    dated = [d for d in days if d is not None]
+    within = F.coalesce(F.col("day").isin(dated), F.lit(False)) if dated else F.lit(False)
+    if None in days:
+        within = within | F.col("day").isNull()
+    staging = work_dir(spark, "staging")
+    changed = change(table.filter(within))
+    changed.hint("rebalance", "day").sortWithinPartitions("day").write.partitionBy("day").parquet(staging)
+    staged = spark.read.schema(table.schema).parquet(staging)
+    for day in days:
+        chosen = F.col("day").isNull() if day is None else F.col("day") == F.lit(day)
+        replace_day(staged.filter(chosen), path, day)
+
+
+def repair_days(spark: SparkSession, root: str, days: list[date | None]) -> None:
+    """Remove redelivered copies that came in different batches, over the given days.
+
+    Streaming de-duplication forgets an id after its horizon, and batches do not see each other;
+    this is the repair for both. The base table of these days must be written again.
+    """
+
+    def without_copies(rows: DataFrame) -> DataFrame:
+        numbered = rows.withColumn("row_id", F.monotonically_increasing_id().cast("string"))
+        return ingest.deduplicate(numbered, content=ingest.RAW_COLUMNS)
+
+    rewrite_days(spark, read_raw(spark, root), days, raw_path(root), without_copies)
+
+
 def stored_days(frame: DataFrame) -> list[date | None]:
     """Days present in a table. One row per day reaches the driver, bounded by the retention."""
     return [row.day for row in frame.select("day").distinct().orderBy("day").collect()]

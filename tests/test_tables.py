@@ -75,6 +75,17 @@ def test_erasure(spark, two_users):
     assert again.days == [] and days_and_ids(tables.read_raw(spark, root)) == kept
 
 
+def test_repair_drops_copies_across_batches(spark):
+    first, copy = response("a", "2024-01-05T10:00:00Z"), envelope(..., "2024-01-05T10:00:00Z")
+    root = ingested(spark, first, copy)
+    ingested(spark, first, copy, response("b", "2024-01-06T10:00:00Z"), batch="batch-1", root=root)
+    assert tables.read_raw(spark, root).count() == 5
+    tables.repair_days(spark, root, [date(2024, 1, 5)])
+    assert days_and_ids(tables.read_raw(spark, root).fillna("none", ["insertId"])) == [
+        ("2024-01-05", "a"), ("2024-01-05", "none"), ("2024-01-05", "none"), ("2024-01-06", "b"),
+    ]
+
+
 def test_retention_empties_old_days(spark, two_users):
     root = ingested(spark, *two_users)
     removed = tables.expire(tables.read_raw(spark, root), tables.raw_path(root), "2024-01-31", 25)
