@@ -76,7 +76,7 @@ def ingest_raw_logs(spark, sf_dir):
 
 
 def _ids(classified: DataFrame, *outcomes: str) -> DataFrame:
-    kept = classified.filter(F.col("outcome").isin(*outcomes))
+    kept = ingest.with_outcome(classified, *outcomes)
     return kept.groupBy(F.col("envelope.insertId").alias("insert_id")).agg(F.count("*").alias("messages"))
 
 
@@ -96,7 +96,7 @@ def dead_letter(spark, sf_dir):
 
 def dedup_insert_id(spark, sf_dir):
     routed = ingest.to_raw(ingest.classify(adapter.messages(spark, sf_dir), adapter.PROJECT))
-    kept = ingest.deduplicate(routed.filter(F.col("outcome") == ingest.ROUTED))
+    kept = ingest.deduplicate(ingest.with_outcome(routed, ingest.ROUTED))
     return kept.select("insertId", "receiveTimestamp")
 
 

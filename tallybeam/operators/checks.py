@@ -93,7 +93,7 @@ def _fate(outcome: str) -> Column:
 
 def missing_ids(messages: DataFrame, raw: DataFrame, project: str) -> DataFrame:
     """Ids that were routed but are not in the table."""
-    routed = ingest.classify(messages, project).filter(F.col("outcome") == ingest.ROUTED)
+    routed = ingest.with_outcome(ingest.classify(messages, project), ingest.ROUTED)
     ids = routed.select(F.col("envelope.insertId").alias("insertId")).filter(F.col("insertId").isNotNull()).distinct()
     return ids.join(raw.select("insertId"), "insertId", "left_anti")
 

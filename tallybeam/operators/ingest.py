@@ -72,6 +72,15 @@ def classify(messages: DataFrame, project: str, row_id: Column | None = None) ->
     )
 
 
+def with_outcome(classified: DataFrame, *outcomes: str) -> DataFrame:
+    """Messages with one of the outcomes.
+
+    Naming ``row_id``, which is never empty, keeps it in the parsing step and so this filter above
+    the parse; without it Spark would evaluate the parse inside the filter as well.
+    """
+    return classified.filter((F.col("row_id") != "") & F.col("outcome").isin(*outcomes))
+
+
 def _blob(name: str) -> Column:
     """JSON text of a nested field; NULL where the value is absent, null, false, zero or "".
 
@@ -125,13 +134,14 @@ def deduplicate(rows: DataFrame, content: tuple[str, ...] = ("value",)) -> DataF
 
 def raw_rows(messages: DataFrame, project: str) -> DataFrame:
     """Batch path from messages to de-duplicated raw rows."""
-    routed = to_raw(classify(messages, project)).filter(F.col("outcome") == ROUTED)
+    routed = with_outcome(to_raw(classify(messages, project)), ROUTED)
     return deduplicate(routed).select(*RAW_COLUMNS)
 
 
 def dead_letters(messages: DataFrame) -> DataFrame:
     """Messages that are not exactly one JSON object, with the reason."""
-    return parse_messages(messages).filter(F.col("envelope").isNull()).select("value", "reason")
+    rejected = (F.col("row_id") != "") & F.col("envelope").isNull()
+    return parse_messages(messages).filter(rejected).select("value", "reason")
 
 
 def only_new(rows: DataFrame, existing: DataFrame) -> DataFrame:

@@ -84,12 +84,23 @@ def base_path(root: str) -> str:
     return f"{root}/base"
 
 
-def write_log(classified_rows: DataFrame, root: str, batch: str, arrived: Column) -> None:
+def spread_by_day(rows: DataFrame, keys: tuple[str, ...], salt: tuple[str, ...], files_per_day: int) -> DataFrame:
+    """Exchange into at most ``files_per_day`` tasks and files per value of ``keys``.
+
+    For micro-batches, where Spark does not re-plan at run time and ignores the rebalance hint.
+    """
+    return rows.repartition(*keys, F.pmod(F.xxhash64(*salt), F.lit(files_per_day)))
+
+
+def write_log(
+    classified_rows: DataFrame, root: str, batch: str, arrived: Column, files_per_day: int | None = None
+) -> None:
     """Store raw rows and dead letters of one batch in a single pass over the messages.
 
     ``classified_rows`` comes from ``ingest.to_raw`` (de-duplicated). Rebalancing by day lets
     Spark split a day that holds most rows into many tasks and merge small ones, which a plain
-    repartition by day would not. A repeated batch must pass the same ``arrived``.
+    repartition by day would not; micro-batches give ``files_per_day`` instead. A repeated batch
+    must pass the same ``arrived``.
     """
     rejected = F.col("outcome") == ingest.DEAD_LETTER
     rows = classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER)).select(
@@ -101,9 +112,12 @@ def write_log(classified_rows: DataFrame, root: str, batch: str, arrived: Column
         F.to_date(F.when(rejected, arrived).otherwise(F.col("timestamp"))).alias("day"),
         F.lit(batch).alias("batch"),
     )
+    if files_per_day:
+        spread = spread_by_day(rows, ("tier", "day"), ("insertId", "value", "jsonPayload_json"), files_per_day)
+    else:
+        spread = rows.hint("rebalance", "tier", "day")
     (
-        rows.hint("rebalance", "tier", "day")
-        .sortWithinPartitions("tier", "day", "batch", "logName", "severity")
+        spread.sortWithinPartitions("tier", "day", "batch", "logName", "severity")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tier", "day", "batch")
@@ -117,7 +131,7 @@ def ingest_batch(
     """Messages to stored raw rows and dead letters, redelivered copies removed."""
     arrived = ts_lit(ingest_ts) if ingest_ts else F.current_timestamp()
     classified = ingest.to_raw(ingest.classify(messages, project))
-    kept = classified.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER))
+    kept = ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER)
     write_log(ingest.deduplicate(kept), root, batch, arrived)
 
 

@@ -20,7 +20,7 @@ def deduplicated_stream(messages: DataFrame, project: str, horizon: str = "1 day
     """
     classified = ingest.to_raw(ingest.classify(messages, project, row_id=F.expr("uuid()")))
     return (
-        classified.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER))
+        ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER)
         .withColumn("dedup_key", ingest.dedup_key())
         .withColumn("arrived", F.current_timestamp())
         .withWatermark("arrived", horizon)
@@ -36,15 +36,17 @@ def start_ingest(
     project: str,
     every: str | None = "1 minute",
     horizon: str = "1 day",
+    files_per_day: int = 4,
 ) -> StreamingQuery:
     """Write a message stream to the log tables; ``every=None`` takes what is there and stops.
 
     Each micro-batch owns the partition ``batch=stream-<id>``, so a batch repeated after a failure
-    replaces its own files and every row is stored once.
+    replaces its own files and every row is stored once. ``tables.repair_days`` merges the many
+    small files of a day once it is complete.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        tables.write_log(rows, root, f"stream-{batch_id}", F.col("arrived"))
+        tables.write_log(rows, root, f"stream-{batch_id}", F.col("arrived"), files_per_day)
 
     writer = (
         deduplicated_stream(messages, project, horizon)

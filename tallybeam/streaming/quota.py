@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallybeam import config
 from tallybeam.config import USER_EMAIL
 from tallybeam.operators.base_view import analytics_view
+from tallybeam.sources.tables import spread_by_day
 
 
 def quota_minutes_stream(raw_stream: DataFrame, lateness: str = "1 hour", user_col: str = USER_EMAIL) -> DataFrame:
@@ -34,14 +35,18 @@ def quota_minutes_stream(raw_stream: DataFrame, lateness: str = "1 hour", user_c
 
 
 def start_quota_minutes(
-    counts: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute"
+    counts: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute", files_per_day: int = 4
 ) -> StreamingQuery:
     """Store every change of a minute under its micro-batch; repeated batches replace themselves."""
 
     def store(rows: DataFrame, batch_id: int) -> None:
+        versioned = rows.withColumns({
+            "version": F.lit(batch_id).cast("bigint"),
+            "day": F.to_date("minute"),
+            "batch": F.lit(f"stream-{batch_id}"),
+        })
         (
-            rows.withColumns({"version": F.lit(batch_id).cast("bigint"), "day": F.to_date("minute"),
-                              "batch": F.lit(f"stream-{batch_id}")})
+            spread_by_day(versioned, ("day",), ("minute", "model"), files_per_day)
             .sortWithinPartitions("day")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallybeam.operators import ingest
+from tallybeam.operators import checks, ingest
 from tests.samples import LOG, envelope, messages
 
 
@@ -127,8 +127,11 @@ def test_hot_id_and_many_missing_ids(spark):
 
 def test_messages_are_parsed_once(spark):
     """Filters on parsed fields must stay above the parse: two from_json calls, not more."""
-    plan = ingest.raw_rows(messages(spark, envelope()), "demo")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_json(") == 2
+    sent = messages(spark, envelope())
+    raw = ingest.raw_rows(sent, "demo")
+    for frame in (raw, ingest.dead_letters(sent), checks.missing_ids(sent, raw.limit(1), "demo").select("insertId")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") in (2, 4), plan  # twice for each scan of the messages
 
 
 def test_only_new_rows(spark):
