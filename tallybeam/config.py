@@ -52,6 +52,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A value of an unexpected JSON type leaves its own field NULL, not the whole record (default).
+    "spark.sql.json.enablePartialResults": "true",
     # The JVM does not compile methods of more than 8000 bytes of bytecode. Wide JSON projections
     # exceed that when fused into one stage; below this limit Spark splits them instead, which
     # halves the time to build the base table.
