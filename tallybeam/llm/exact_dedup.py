@@ -12,7 +12,7 @@ empty result. Other columns are carried by :func:`survivors` and ignored by :fun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybeam.llm.shared import stored, text_or_empty
@@ -56,9 +56,8 @@ def decisions(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame:
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
     combined = _combined(rows, F.max("doc_id"), salts)
-    contents = combined.join(
-        combined.groupBy("digest").agg(F.count("*").alias("contents")), "digest"
-    ).select(
+    # A digest has one content but for collisions, so this window sees one row at a time; rows are already in place.
+    contents = combined.withColumn("contents", F.count("*").over(Window.partitionBy("digest"))).select(
         "digest", F.col("best").alias("keep_id"), "group_size", F.when(F.col("contents") > 1, F.col("text")).alias("only_text")
     )
     groups = stored(contents, "exact-groups")
