@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybeam.llm import exact_dedup, language_id, packing, pieces, secret_links
+from tallybeam.llm import automaton_dedup, exact_dedup, language_id, packing, pieces, secret_links, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.find_secrets(documents(spark, sf_dir))
 
@@ -49,9 +53,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_language_id, op3_best_fit_packing, op5_secret_scan, op8_sentence_pieces, op9_exact_dedup)
+    for f in (
+        op2_language_id,
+        op3_best_fit_packing,
+        op4_suffix_dedup,
+        op5_secret_scan,
+        op8_sentence_pieces,
+        op9_exact_dedup,
+        op10_automaton_dedup,
+    )
 }
 
 ORACLES = {
