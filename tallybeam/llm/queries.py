@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, packing, pieces, secret_links, suffix_dedup
+from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, packing, pieces, secret_links, simhash, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.find_secrets(documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(documents(spark, sf_dir), queries=F.col("doc_id") % 50 == 0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_best_fit_packing,
         op4_suffix_dedup,
         op5_secret_scan,
+        op6_simhash,
         op7_jaccard_join,
         op8_sentence_pieces,
         op9_exact_dedup,
