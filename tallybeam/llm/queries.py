@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, packing, pieces, secret_links, simhash, suffix_dedup
+from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, lm_scoring, packing, pieces, secret_links, simhash, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def fold(folds: int) -> Column:
     return F.crc32(text.cast("binary")) % folds == 1
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), ~fold(5))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = language_id.fit(language_id.training_sample(docs, ~fold(3)))
@@ -68,6 +72,7 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_language_id,
         op3_best_fit_packing,
         op4_suffix_dedup,
