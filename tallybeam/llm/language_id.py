@@ -214,3 +214,19 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", letters).mapInArrow(label, SCHEMA)
+
+
+def with_language(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows of ``docs`` that have a language of at least the probability ``least``, unchanged."""
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, 2 << 20):
+            kept = np.zeros(batch.num_rows, bool)
+            if net is not None:
+                means = predict(net, raw_texts(batch))
+                p = np.exp(means - means.max(1, keepdims=True))
+                kept = 1 / p.sum(1) >= least
+            yield batch.filter(pa.array(kept))
+
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    return lettered.mapInArrow(keep, docs.schema)
