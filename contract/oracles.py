@@ -6,8 +6,6 @@ import re
 
 from contract.flat import FLAT_SQL
 from contract.registry import AS_OF, EMAIL, TODAY
-from tallybeam.operators.error_summary import PROMPT
-from tallybeam.sources.tables import RAW_DOC, RAW_SCHEMA
 
 D = f"DATE '{AS_OF[:10]}'"
 TODAY_D = f"DATE '{TODAY[:10]}'"
@@ -93,10 +91,11 @@ CTES = {
  QUALIFY row_number() OVER (PARTITION BY {U} ORDER BY ts DESC, insert_id DESC) = 1""",
     "sample_429": """SELECT ts AS "timestamp", model, error_message, status_code, {U}, insert_id FROM av
  WHERE status_code = 429 ORDER BY ts DESC, insert_id DESC LIMIT 250""",
-    "summary_429": """SELECT count(*) AS total_429_errors, min("timestamp") AS oldest_error,
+    "summary_429": """SELECT count(*) AS total_429_errors,
+ (SELECT count(*) FROM av WHERE status_code = 429) AS all_429_errors, min("timestamp") AS oldest_error,
  max("timestamp") AS newest_error, concat('Patterns: ', (SELECT string_agg(concat(n, 'x ', message), '; '
   ORDER BY n DESC, message) FROM (SELECT coalesce(error_message, 'No message') AS message, count(*) AS n
-  FROM sample_429 GROUP BY 1 ORDER BY n DESC, message LIMIT 3)), '. Models: ',
+  FROM sample_429 GROUP BY 1)), '. Models: ',
   (SELECT string_agg(m, ', ' ORDER BY m) FROM (SELECT DISTINCT coalesce(model, 'unknown') AS m FROM sample_429)),
   '. Users affected: ', count(DISTINCT coalesce({U}, 'unknown'))) AS error_summary
  FROM sample_429 HAVING count(*) > 0""",
@@ -195,16 +194,37 @@ def _validity() -> str:
     )
 
 
+# Column, type and description of the raw table, written out once more so that the check has its own text.
+RAW_DOC = """timestamp|timestamp|When the event happened, in UTC; the day partition follows it
+receiveTimestamp|timestamp|When the message arrived; the earliest copy of a message is kept
+logName|string|Log that the message was routed from; files are sorted by it
+insertId|string|Id that redelivered copies share; without it a row is never a copy
+severity|string|Level as sent, not interpreted
+resource_json|string|Where it ran, as JSON text; holds the project
+labels_json|string|Client labels as JSON text; holds the version of the client
+operation_json|string|Operation that the event belongs to, as JSON text
+httpRequest_json|string|HTTP details as JSON text, for events that have them
+jsonPayload_json|string|The event itself as JSON text, keys with dots kept flat; the base view types it
+trace|string|Trace that the event belongs to, if any
+spanId|string|Span within that trace, if any
+day|date|Partition: date of timestamp, empty where that can't be read
+batch|string|Partition: ingest batch that owns the row""".split("\n")
+
+
 def _schema_doc() -> str:
     filled = {
         "labels_json": "count(cli_version)", "operation_json": "count(operation_id)", "httpRequest_json": "count(NULL)",
         "trace": "count(trace)", "spanId": "count(NULL)",
     }
-    return " UNION ALL ".join(
-        f"SELECT {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
-        f"'{RAW_DOC[f.name]}' AS description, CAST({filled.get(f.name, 'count(*)')} AS BIGINT) AS filled_rows FROM av"
-        for i, f in enumerate(RAW_SCHEMA.fields, 1)
-    )
+    rows = []
+    for position, line in enumerate(RAW_DOC, 1):
+        name, kind, text = line.split("|")
+        text = text.replace("'", "''")
+        rows.append(
+            f"SELECT {position} AS position, '{name}' AS column_name, '{kind}' AS data_type, '{text}' AS description, "
+            f"CAST({filled.get(name, 'count(*)')} AS BIGINT) AS filled_rows FROM av"
+        )
+    return " UNION ALL ".join(rows)
 
 
 OUTPUT_COUNTS = {
@@ -228,7 +248,8 @@ def _catalog(extra: str = "") -> str:
 
 
 def _user_views() -> dict[str, str]:
-    prompt = "chr(10)".join(f"'{line}' || " if i == 0 else f" || '{line}' || " for i, line in enumerate(PROMPT.split("\n")))
+    prompt = """'Each line below is one request that was refused with status 429, newest first. Which single change to ' ||
+ 'quotas or to the choice of model would have avoided most of them, and what share is that?' || chr(10) || """
     lines = """string_agg(concat('Timestamp: ', strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f'), ', User: ',
  coalesce({U}, 'unknown'), ', Model: ', coalesce(model, 'unknown'), ', Error: ',
  substr(coalesce(error_message, 'No message'), 1, 200)), chr(10) ORDER BY "timestamp" DESC, insert_id DESC)"""
@@ -293,6 +314,32 @@ def _finals() -> dict[str, str]:
         ),
         "model_routing_analysis": rounded("model_routing_analysis", "*", "failure_rate", "avg_routing_latency_ms"),
         "stored_daily_rollup": rounded("rollup", "*", "average_duration_ms") + f" WHERE day = {D} - 1",
+        "rollup_rerun_emptied": rounded("rollup", "*", "average_duration_ms") + f" WHERE day = {D} - 2",
+        "build_tables_history": rounded("rollup", "*", "average_duration_ms") + f" WHERE day IN ({D} - 1, {D} - 2)",
+        "alerts_rerun_emptied": "SELECT *, 'second' AS run FROM alerts",
+        "retention_alerts": "SELECT *, 'new' AS run FROM alerts",
+        "retention_daily": rounded("rollup", "*", "average_duration_ms") + f" WHERE day IN ({D} - 1, {D} - 8)",
+        "retention_weekly": rounded("weekly", "*", "average_duration_ms")
+        + f" WHERE week_start_date IN ({D} - 10, {D} - 17)",
+        "retention_raw": raw_days + f" WHERE {last14} GROUP BY day",
+        "incremental_rerun_emptied": f"""SELECT day, user_email, model, {isum('input_tokens')} AS total_input_tokens,
+ {isum('output_tokens')} AS total_output_tokens, {isum('cached_tokens')} AS total_cached_tokens,
+ {isum('total_tokens')} AS grand_total_tokens FROM av
+ WHERE total_tokens IS NOT NULL AND hour(ts) < 12 GROUP BY ALL""",
+        "chained_refresh": "SELECT * FROM token_usage",
+        "compacted_day_counts": "SELECT day, 'compacted' AS batch, count(*) AS row_count FROM av GROUP BY day",
+        "base_after_repair": rounded("daily_metrics", "*", "average_duration_ms"),
+        "privacy_erasure_stored": " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, CAST(0 AS BIGINT) AS of_user, count(*) AS of_others FROM {source}"
+            f" WHERE {column} IS DISTINCT FROM '{EMAIL}'"
+            for name, source, column in (
+                ("raw", "av", "user_email"), ("base", "av", "user_email"), ("minutes", "minutes", "user_email"),
+                ("alerts", "alerts", "user_identifier"), ("token_usage", "token_usage", "user_email"),
+                ("malformed_json_responses", "malformed_json_responses", "user_email"),
+                ("feature_adoption", "feature_adoption", "user_email"),
+                ("conversation_analysis", "conversation_analysis", "user_email"),
+            )
+        ),
         "token_usage_incremental": "SELECT * FROM token_usage",
         "malformed_json_responses_incremental": "SELECT * FROM malformed_json_responses",
         "feature_adoption_incremental": "SELECT * FROM feature_adoption",
@@ -511,7 +558,7 @@ def _finals() -> dict[str, str]:
         "m_structure": """SELECT count(*) AS total_rows, count(*) AS well_formed, CAST(0 AS BIGINT) AS without_timestamp,
  CAST(0 AS BIGINT) AS without_log_name FROM av""",
         "m_latest_log": """SELECT max(ts) AS latest_timestamp, count(*) AS log_count FROM
- (SELECT ts FROM av WHERE ts >= TIMESTAMP '2024-01-30 22:59:00' ORDER BY ts DESC LIMIT 100)""",
+ (SELECT ts FROM av WHERE ts >= TIMESTAMP '2024-01-29 23:59:00')""",
         "m_inference_flags": f"""SELECT count(*) AS log_count, CAST(0 AS BIGINT) AS inference_logs,
  {cnt('event_id % 13 = 0')} AS tool_call_logs FROM av""",
         "m_audit_errors": """SELECT CASE WHEN event_id % 3 = 0 THEN 'google.logging.v2.ConfigServiceV2.CreateSink'

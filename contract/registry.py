@@ -14,13 +14,14 @@ from tallybeam import config
 from tallybeam.config import USER_EMAIL, USER_PSEUDONYM
 from tallybeam.functions.jsonx import json_scalar
 from tallybeam.operators import base_view, checks, error_summary, incremental, ingest, privacy, rollups, views
-from tallybeam.plans import build, dashboards, panels
+from tallybeam.plans import build, dashboards, panels, refresh
 from tallybeam.sources import tables
 from tallybeam.streaming import ingest as stream_ingest
-from tallybeam.streaming import quota as stream_quota
+from tallybeam.streaming import quota
 
 AS_OF = "2024-01-31 00:00:00"
 TODAY = "2024-01-30 23:00:00"
+DAY_BEFORE = "2024-01-30 00:00:00"
 # The test data is sparse, so limits that would be 120 and 2000 are small here.
 LIMITS = {"rpm_limit": 0, "rpd_limit": 2}
 ALERTS = {**LIMITS, "lookback_minutes": 1440}
@@ -153,7 +154,156 @@ def stored_daily_rollup(spark, sf_dir):
     av = adapter.base(spark, sf_dir)
     for _ in range(2):
         rollups.run_daily_rollup(av, path, AS_OF)
-    return spark.read.parquet(path)
+    return rollups.read_daily_rollup(spark, path)
+
+
+def rollup_rerun_emptied(spark, sf_dir):
+    """A day whose rows are gone when its run is repeated leaves nothing; the other day stays."""
+    path = tables.work_dir(spark, "daily-rollup")
+    av = adapter.base(spark, sf_dir)
+    for as_of in (AS_OF, DAY_BEFORE):
+        rollups.run_daily_rollup(av, path, as_of)
+    rollups.run_daily_rollup(av.filter("day < '2024-01-30'"), path, AS_OF)
+    return rollups.read_daily_rollup(spark, path)
+
+
+def alerts_rerun_emptied(spark, sf_dir):
+    """The same for two alert runs of one day."""
+    path = tables.work_dir(spark, "alerts")
+    av = adapter.base(spark, sf_dir)
+    for run in ("first", "second"):
+        rollups.run_quota_alerts(av, path, AS_OF, run, **ALERTS)
+    rollups.run_quota_alerts(av.filter(F.lit(False)), path, AS_OF, "first", **ALERTS)
+    return rollups.read_alerts(spark, path)
+
+
+def incremental_rerun_emptied(spark, sf_dir):
+    """A batch that is repeated without rows leaves none."""
+    path = tables.work_dir(spark, "usage")
+    av = adapter.base(spark, sf_dir)
+    early = F.hour("timestamp") < 12
+    for batch, rows in (("0", early), ("1", ~early), ("1", F.lit(False))):
+        incremental.refresh("token_usage", av.filter(rows), path, f"batch-{batch}")
+    return incremental.read("token_usage", spark, path)
+
+
+def build_tables_history(spark, sf_dir):
+    """Building for two moments keeps the rows of both."""
+    root = tables.work_dir(spark, "built")
+    for as_of in (DAY_BEFORE, AS_OF):
+        build.build_all(spark, adapter.base(spark, sf_dir), as_of, table_root=root)
+    return rollups.read_daily_rollup(spark, f"{root}/daily_rollup_table")
+
+
+def batched_store(spark, sf_dir, known: bool) -> str:
+    """Root of a log that came in three batches, some messages in all of them, carried on to base and stored views."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        share = F.xxhash64("value")
+        for k in range(3):
+            batch = f"batch-{k}"
+            rows = messages.filter((F.pmod(share, F.lit(3)) == k) | (F.pmod(share, F.lit(31)) == 0))
+            stored = tables.known_rows(spark, root, batch) if known else None
+            tables.ingest_batch(rows, root, adapter.PROJECT, batch, AS_OF, stored)
+            refresh.refresh_batch(spark, root, batch)
+
+    return adapter.prepared(spark, sf_dir, f"batched-{known}", fill)
+
+
+def chained_refresh(spark, sf_dir):
+    """A stored view kept by its batches, redelivered messages left out."""
+    root = batched_store(spark, sf_dir, known=True)
+    return incremental.read("token_usage", spark, tables.incremental_path(root, "token_usage"))
+
+
+def repaired_store(spark, sf_dir) -> str:
+    """A log whose batches hold copies of each other, after all its days were compacted."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        share = F.xxhash64("value")
+        for k in range(3):
+            rows = messages.filter((F.pmod(share, F.lit(3)) == k) | (F.pmod(share, F.lit(31)) == 0))
+            tables.ingest_batch(rows, root, adapter.PROJECT, f"batch-{k}", AS_OF)
+            refresh.refresh_batch(spark, root, f"batch-{k}")
+        days = tables.stored_days(tables.read_raw(spark, root))
+        tables.repair_days(spark, root, days)
+        refresh.refresh_days(spark, root, days)
+
+    return adapter.prepared(spark, sf_dir, "repaired", fill)
+
+
+def compacted_day_counts(spark, sf_dir):
+    raw = tables.read_raw(spark, repaired_store(spark, sf_dir))
+    return raw.groupBy("day", "batch").agg(F.count("*").alias("row_count"))
+
+
+def base_after_repair(spark, sf_dir):
+    return views.daily_metrics(tables.read_base(spark, tables.base_path(repaired_store(spark, sf_dir))))
+
+
+def privacy_erasure_stored(spark, sf_dir):
+    """What an erasure leaves: rows of the user, and of others, in each stored table."""
+
+    def fill(root: str) -> None:
+        tables.ingest_batch(adapter.messages(spark, sf_dir), root, adapter.PROJECT, "batch-0", AS_OF)
+        refresh.refresh_batch(spark, root, "batch-0")
+        base = tables.read_base(spark, tables.base_path(root))
+        rollups.run_quota_alerts(base, f"{root}/alerts", AS_OF, "run", **ALERTS)
+        privacy.erase(spark, root, EMAIL, f"{root}/alerts")
+
+    root = adapter.prepared(spark, sf_dir, "erased", fill)
+    user = {
+        "raw": (tables.read_raw(spark, root), privacy.email_of(F.col("jsonPayload_json"))),
+        "base": (tables.read_base(spark, tables.base_path(root)), F.col(USER_EMAIL)),
+        "minutes": (quota.read_partials(spark, tables.minutes_path(root)), F.col(USER_EMAIL)),
+        "alerts": (rollups.read_alerts(spark, f"{root}/alerts"), F.col("user_identifier")),
+    }
+    for name in incremental.ROLLUPS:
+        user[name] = incremental.read_partials(name, spark, tables.incremental_path(root, name)), F.col(USER_EMAIL)
+    counts = [
+        rows.agg(
+            F.lit(name).alias("table_name"), F.count_if(email == EMAIL).alias("of_user"),
+            F.count_if(~email.eqNullSafe(F.lit(EMAIL))).alias("of_others"),
+        )
+        for name, (rows, email) in user.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def retention_raw(spark, sf_dir):
+    """Rows by day after retention removed the old partitions of a stored log."""
+
+    def fill(root: str) -> None:
+        tables.ingest_batch(adapter.messages(spark, sf_dir), root, adapter.PROJECT, "batch-0", AS_OF)
+        tables.expire(spark, tables.raw_path(root), AS_OF, 14)
+
+    return raw_partition_counts(tables.read_raw(spark, adapter.prepared(spark, sf_dir, "expired", fill)))
+
+
+def retention_daily(spark, sf_dir):
+    path = tables.work_dir(spark, "daily-rollup")
+    for as_of in ("2024-01-10", "2024-01-24", AS_OF):
+        rollups.run_daily_rollup(adapter.base(spark, sf_dir), path, as_of)
+    tables.expire(spark, path, AS_OF, 8)
+    return rollups.read_daily_rollup(spark, path)
+
+
+def retention_weekly(spark, sf_dir):
+    path = tables.work_dir(spark, "weekly-rollup")
+    for as_of in ("2024-01-17", "2024-01-24", AS_OF):
+        rollups.run_weekly_rollup(adapter.base(spark, sf_dir), path, as_of)
+    tables.expire(spark, path, AS_OF, 17, "week_start_date")
+    return rollups.read_weekly_rollup(spark, path)
+
+
+def retention_alerts(spark, sf_dir):
+    path = tables.work_dir(spark, "alerts")
+    for run, as_of in (("old", "2024-01-10"), ("new", AS_OF)):
+        rollups.run_quota_alerts(adapter.base(spark, sf_dir), path, as_of, run, **ALERTS)
+    tables.expire(spark, path, AS_OF, 10, "alert_date")
+    return rollups.read_alerts(spark, path)
 
 
 def incremental_view(name: str) -> Query:
@@ -183,28 +333,26 @@ def _alerts(av):
 
 
 def build_report(spark, sf_dir):
-    return build.build_all(spark, adapter.base(spark, sf_dir), AS_OF).join(_catalog(spark), ["name", "kind"])
+    root = tables.work_dir(spark, "built")
+    report = build.build_all(spark, adapter.base(spark, sf_dir), AS_OF, table_root=root)
+    return report.join(build.catalog_check(spark), ["name", "kind"])
 
 
 def catalog_check(spark, sf_dir):
-    build.build_all(spark, adapter.base(spark, sf_dir), AS_OF)
-    return _catalog(spark)
-
-
-def _catalog(spark):
+    build.build_all(spark, adapter.base(spark, sf_dir), AS_OF, table_root=tables.work_dir(spark, "built"))
     return build.catalog_check(spark)
 
 
-def privacy_reverse_lookup(raw):
-    wanted = raw.sparkSession.createDataFrame([(EMAIL,)], "email string").select(
+def privacy_reverse_lookup(av):
+    wanted = av.sparkSession.createDataFrame([(EMAIL,)], "email string").select(
         privacy.pseudonym(F.col("email")).alias(USER_PSEUDONYM)
     )
-    return privacy.reverse_lookup(raw, wanted)
+    return privacy.reverse_lookup(av, wanted)
 
 
 def privacy_export(spark, sf_dir):
     path = tables.work_dir(spark, "export")
-    privacy.export(adapter.raw(spark, sf_dir), EMAIL, path)
+    privacy.export(adapter.raw(spark, sf_dir), EMAIL, path, adapter.base(spark, sf_dir))
     return spark.read.schema("insertId string, severity string").json(path)
 
 
@@ -234,7 +382,8 @@ def stream_root(spark, sf_dir):
     def run(root: str) -> None:
         from tallybeam.sources.envelopes import stream_envelopes
 
-        stream = stream_envelopes(spark, adapter.messages_path(spark, sf_dir))
+        # Several micro-batches, so that most minutes get events from more than one.
+        stream = stream_envelopes(spark, adapter.messages_path(spark, sf_dir), max_files_per_trigger=3)
         query = stream_ingest.start_ingest(stream, root, f"{root}/checkpoint", adapter.PROJECT, every=None)
         query.awaitTermination()
 
@@ -255,10 +404,8 @@ def late_data_days(spark, sf_dir):
 
 
 def stream_quota_minute(spark, sf_dir):
-    path = tables.work_dir(spark, "quota-minutes")
-    counts = stream_quota.quota_minutes_stream(tables.stream_raw(spark, stream_root(spark, sf_dir)))
-    stream_quota.start_quota_minutes(counts, path, f"{path}-checkpoint", every=None).awaitTermination()
-    return stream_quota.read_quota_minutes(spark, path)
+    """Counts that the micro-batches stored, added up."""
+    return quota.read_quota_minutes(spark, tables.minutes_path(stream_root(spark, sf_dir)))
 
 
 # Views that take a user column are registered in both user modes.
@@ -325,6 +472,18 @@ def all_queries() -> dict[str, Query]:
         "cli_resilience": over_base(views.cli_resilience),
         "model_routing_analysis": over_base(views.model_routing_analysis),
         "stored_daily_rollup": stored_daily_rollup,
+        "rollup_rerun_emptied": rollup_rerun_emptied,
+        "alerts_rerun_emptied": alerts_rerun_emptied,
+        "incremental_rerun_emptied": incremental_rerun_emptied,
+        "build_tables_history": build_tables_history,
+        "chained_refresh": chained_refresh,
+        "compacted_day_counts": compacted_day_counts,
+        "base_after_repair": base_after_repair,
+        "privacy_erasure_stored": privacy_erasure_stored,
+        "retention_raw": retention_raw,
+        "retention_daily": retention_daily,
+        "retention_weekly": retention_weekly,
+        "retention_alerts": retention_alerts,
         "build_report": build_report,
         "q_near_limit": over_base(dashboards.near_limit, TODAY, above=0),
         "q_rollup_90d": lambda s, d: dashboards.rollup_90d(_rollup(adapter.base(s, d)), AS_OF),
@@ -370,8 +529,8 @@ def all_queries() -> dict[str, Query]:
         "p_week_over_week": lambda s, d: panels.week_over_week(_weekly(adapter.base(s, d))),
         "privacy_lookup": over_base(privacy.lookup, EMAIL, pseudonymize=True),
         "privacy_usage_by_day": over_base(privacy.usage_by_day, EMAIL, pseudonymize=True),
-        "privacy_reverse_lookup": over_raw(privacy_reverse_lookup),
-        "privacy_access": over_raw(lambda raw: _raw_shape(privacy.access(raw, EMAIL))),
+        "privacy_reverse_lookup": over_base(privacy_reverse_lookup),
+        "privacy_access": lambda s, d: _raw_shape(privacy.access(adapter.raw(s, d), EMAIL, adapter.base(s, d))),
         "privacy_erasure_preview": over_raw(privacy.erasure_preview, EMAIL),
         "privacy_erasure_after": over_raw(lambda raw: raw_partition_counts(privacy.without_user(raw, EMAIL))),
         "privacy_export": privacy_export,
@@ -387,7 +546,7 @@ def all_queries() -> dict[str, Query]:
         "m_reconciliation": reconciliation,
         "m_missing_ids": missing_ids,
         "m_structure": over_raw(checks.structure),
-        "m_latest_log": over_raw(checks.latest_log, "2024-01-30 23:59:00", minutes=60),
+        "m_latest_log": over_raw(checks.latest_log, "2024-01-30 23:59:00", minutes=1440),
         "m_inference_flags": over_raw(checks.inference_flags),
         "m_audit_errors": audit_errors,
         "m_ingest_lag": over_raw(checks.ingest_lag, limit_seconds=60),

@@ -92,10 +92,14 @@ def _fate(outcome: str) -> Column:
 
 
 def missing_ids(messages: DataFrame, raw: DataFrame, project: str) -> DataFrame:
-    """Ids that were routed but are not in the table."""
+    """Ids that were routed but are not in the table, looked for on the days of the messages."""
     routed = ingest.with_outcome(ingest.classify(messages, project), ingest.ROUTED)
-    ids = routed.select(F.col("envelope.insertId").alias("insertId")).filter(F.col("insertId").isNotNull()).distinct()
-    return ids.join(raw.select("insertId"), "insertId", "left_anti")
+    moment = F.to_date(F.col("envelope.timestamp").try_cast("timestamp"))
+    ids = routed.select(moment.alias("day"), F.col("envelope.insertId").alias("insertId")).filter("insertId is not null")
+    first, last = ids.agg(F.min("day"), F.max("day")).first()
+    stored = raw.filter(F.col("day").between(F.lit(first), F.lit(last)) | F.col("day").isNull())
+    same = ids["day"].eqNullSafe(stored["day"]) & (ids["insertId"] == stored["insertId"])
+    return ids.join(stored, same, "left_anti").select("insertId").distinct()
 
 
 def structure(raw: DataFrame) -> DataFrame:
@@ -107,15 +111,16 @@ def structure(raw: DataFrame) -> DataFrame:
     )
 
 
-def latest_log(raw: DataFrame, as_of: AsOf, minutes: int = 10, limit: int = 100) -> DataFrame:
-    """Newest log time and count among the newest ``limit`` rows of the lookback."""
-    newest = (
-        time_range(raw, moment_before(as_of, minutes=minutes))
-        .select("timestamp", "insertId")
-        .orderBy(F.col("timestamp").desc(), F.col("insertId").desc())
-        .limit(limit)
-    )
-    return newest.agg(F.max("timestamp").alias("latest_timestamp"), F.count("*").alias("log_count"))
+def latest_log(raw: DataFrame, as_of: AsOf, minutes: int = 10) -> DataFrame:
+    """Newest log time and number of rows in the lookback."""
+    rows = time_range(raw, moment_before(as_of, minutes=minutes))
+    return rows.agg(F.max("timestamp").alias("latest_timestamp"), F.count("*").alias("log_count"))
+
+
+def newest_logs(raw: DataFrame, as_of: AsOf, minutes: int = 10, limit: int = 100) -> DataFrame:
+    """The newest rows of the lookback; the list is defined on ``limit`` rows."""
+    rows = time_range(raw, moment_before(as_of, minutes=minutes)).select("timestamp", "severity", "insertId")
+    return rows.orderBy(F.col("timestamp").desc(), F.col("insertId").desc()).limit(limit)
 
 
 def inference_flags(raw: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Incremental refresh of the four views that hold only mergeable aggregates.
 
-A refresh writes the partial aggregates of its own rows under (day, batch); it never reads or
-rewrites what is stored, so its cost follows the new rows, and repeating a batch replaces its own
-partials. Reading merges the partials of each group. An average is stored as sum and count.
+A refresh writes the partial aggregates of its own rows under (day, batch); it never reads what
+is stored, so its cost follows the new rows, and repeating a batch replaces all of its own
+partials, also where it has none any more. Reading merges the partials of each group. An average is stored as sum and count.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tallybeam.config import USER_EMAIL
 from tallybeam.functions.measures import ratio
 from tallybeam.functions.timex import event_day
 from tallybeam.operators import views
+from tallybeam.sources import tables
 
 
 @dataclass(frozen=True)
@@ -82,36 +83,35 @@ ROLLUPS = {
 }
 
 
+def partial(name: str, new_rows: DataFrame, user_col: str = USER_EMAIL) -> DataFrame:
+    return ROLLUPS[name].partial(new_rows, user_col)
+
+
 def refresh(name: str, new_rows: DataFrame, path: str, batch: str, user_col: str = USER_EMAIL) -> None:
-    """Add the partial aggregates of ``new_rows`` (base-view rows of one ingest batch)."""
-    (
-        ROLLUPS[name].partial(new_rows, user_col)
-        .withColumn("batch", F.lit(batch))
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch")
-        .parquet(path)
-    )
+    """Store the partial aggregates of ``new_rows`` (base-view rows of one ingest batch) as all that the batch has."""
+    tables.write_batch(partial(name, new_rows, user_col), path, batch)
+
+
+def read_partials(name: str, spark: SparkSession, path: str, user_col: str = USER_EMAIL) -> DataFrame:
+    """The stored partial aggregates with their day and batch."""
+    empty = partial(name, tables.read_empty_base(spark, user_col), user_col).drop("day")
+    return spark.read.schema(empty.schema.add("day", "date").add("batch", "string")).parquet(path)
 
 
 def read(name: str, spark: SparkSession, path: str, user_col: str = USER_EMAIL) -> DataFrame:
     """The view, merged from its partials."""
     rollup = ROLLUPS[name]
-    partials = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
-    merged = partials.groupBy(*rollup.group_columns(user_col)).agg(
+    merged = read_partials(name, spark, path, user_col).groupBy(*rollup.group_columns(user_col)).agg(
         *[how(column).alias(column) for column, how in rollup.merge.items()]
     )
     return rollup.present(merged)
 
 
 def rebuild(name: str, base: DataFrame, path: str, user_col: str = USER_EMAIL) -> None:
-    """Compute the whole view again, after an erasure or a repair of stored days."""
+    """Compute the whole view again."""
+    rows = partial(name, base, user_col).withColumn("batch", F.lit(tables.COMPACTED))
     (
-        ROLLUPS[name].partial(base, user_col)
-        .withColumn("batch", F.lit("rebuilt"))
-        .hint("rebalance", "day")
+        rows.hint("rebalance", "day")
         .sortWithinPartitions("day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")

@@ -106,8 +106,12 @@ def to_raw(classified: DataFrame) -> DataFrame:
     blobs = {f"{name}_json": _blob(name) for name in BLOB_FIELDS}
     columns = plain | blobs
     return classified.select(
-        "outcome", "reason", "value", "row_id", *[columns[name].alias(name) for name in RAW_COLUMNS]
-    )
+        "outcome", "reason",
+        # The text of a message is needed for dead letters only; others would carry it through every exchange.
+        F.when(F.col("outcome") == DEAD_LETTER, F.col("value")).alias("value"),
+        F.xxhash64("value").alias("tie"),
+        "row_id", *[columns[name].alias(name) for name in RAW_COLUMNS],
+    )
 
 
 def dedup_key() -> Column:
@@ -115,20 +119,19 @@ def dedup_key() -> Column:
     return F.coalesce(F.concat(F.lit("id:"), "insertId"), F.concat(F.lit("row:"), "row_id"))
 
 
-def deduplicate(rows: DataFrame, content: tuple[str, ...] = ("value",)) -> DataFrame:
+def deduplicate(rows: DataFrame) -> DataFrame:
     """Keep the earliest-received copy of each ``insertId``; rows without an id all stay.
 
     The row-number filter becomes a per-partition limit ahead of the shuffle, so an id that is
     redelivered millions of times sends one row per map task. Rows without an id get a key each
-    and spread evenly. Ties are broken by the hash of ``content``.
+    and spread evenly. Ties are broken by ``tie``, a hash of the message.
     """
-    w = Window.partitionBy("_key").orderBy(F.col("receiveTimestamp").asc_nulls_last(), "_tie")
+    w = Window.partitionBy("_key").orderBy(F.col("receiveTimestamp").asc_nulls_last(), "tie")
     return (
         rows.withColumn("_key", dedup_key())
-        .withColumn("_tie", F.xxhash64(*content))
         .withColumn("_rank", F.row_number().over(w))
         .filter(F.col("_rank") == 1)
-        .drop("_key", "_tie", "_rank", "row_id")
+        .drop("_key", "tie", "_rank", "row_id")
     )
 
 
@@ -150,5 +153,5 @@ def only_new(rows: DataFrame, existing: DataFrame) -> DataFrame:
     A redelivered message carries its event time, so the join is on day and id; pass ``existing``
     filtered to the days at hand. Rows without an id never match.
     """
-    known = existing.select("day", "insertId").filter(F.col("insertId").isNotNull())
+    known = existing.select("day", "insertId").filter(F.col("insertId").isNotNull()).distinct()
     return rows.join(known, ["day", "insertId"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -13,8 +14,9 @@ from tallybeam.functions.identity import pseudonym
 from tallybeam.functions.jsonx import json_scalar
 from tallybeam.functions.measures import ratio
 from tallybeam.functions.timex import AsOf, day_before, event_day, ts_lit
-from tallybeam.operators import base_view, views
-from tallybeam.sources import tables
+from tallybeam.operators import base_view, incremental, rollups, views
+from tallybeam.sources import folders, tables
+from tallybeam.streaming import quota
 
 
 def email_of(raw_payload: Column) -> Column:
@@ -27,9 +29,11 @@ def lookup(pseudonymous_av: DataFrame, email: str) -> DataFrame:
     return activity.filter(F.col(USER_PSEUDONYM) == pseudonym(F.lit(email)))
 
 
-def reverse_lookup(raw: DataFrame, pseudonyms: DataFrame) -> DataFrame:
-    """Emails behind pseudonyms (one column ``user_pseudonym``), from the restricted raw table."""
-    emails = raw.select(email_of(F.col("jsonPayload_json")).alias(USER_EMAIL)).filter(F.col(USER_EMAIL).isNotNull())
+def reverse_lookup(rows: DataFrame, pseudonyms: DataFrame) -> DataFrame:
+    """Emails behind pseudonyms (one column ``user_pseudonym``), from the restricted base table or the raw table."""
+    payload = F.col("jsonPayload_json")
+    email = F.col(USER_EMAIL) if USER_EMAIL in rows.columns else email_of(payload).alias(USER_EMAIL)
+    emails = rows.select(email).filter(F.col(USER_EMAIL).isNotNull())
     known = emails.distinct().withColumn(USER_PSEUDONYM, pseudonym(F.col(USER_EMAIL)))
     return known.join(pseudonyms, USER_PSEUDONYM, "left_semi").select(USER_EMAIL, USER_PSEUDONYM)
 
@@ -40,14 +44,23 @@ def _of_user(raw: DataFrame, email: str) -> Column:
     return F.coalesce(payload.contains(email) & (email_of(payload) == email), F.lit(False))
 
 
-def access(raw: DataFrame, email: str) -> DataFrame:
+def on_user_days(raw: DataFrame, base: DataFrame | None, email: str) -> DataFrame:
+    """Raw rows of the days on which the base table has the user; reads no payload of other days.
+
+    Without a base table, all rows. One day each reaches the driver, bounded by the retention.
+    """
+    return raw if base is None else raw.filter(tables.of_days(tables.stored_days(base.filter(F.col(USER_EMAIL) == email))))
+
+
+def access(raw: DataFrame, email: str, base: DataFrame | None = None) -> DataFrame:
     """Every raw row of one user, newest first."""
-    return raw.filter(_of_user(raw, email)).orderBy(F.col("timestamp").desc(), F.col("insertId").desc())
+    rows = on_user_days(raw, base, email).filter(_of_user(raw, email))
+    return rows.orderBy(F.col("timestamp").desc(), F.col("insertId").desc())
 
 
-def export(raw: DataFrame, email: str, path: str) -> None:
+def export(raw: DataFrame, email: str, path: str, base: DataFrame | None = None) -> None:
     """The user's raw rows as JSON files."""
-    raw.filter(_of_user(raw, email)).write.mode("overwrite").json(path)
+    on_user_days(raw, base, email).filter(_of_user(raw, email)).write.mode("overwrite").json(path)
 
 
 def erasure_preview(raw: DataFrame, email: str) -> DataFrame:
@@ -66,34 +79,86 @@ def without_user(raw: DataFrame, email: str) -> DataFrame:
 class Erasure:
     days: list[date | None] = field(default_factory=list)
     dead_letter_days: list[date | None] = field(default_factory=list)
+    alert_dates: list[date | None] = field(default_factory=list)
 
 
-def _remove(spark: SparkSession, table: DataFrame, hit: Column, path: str) -> list[date | None]:
-    """Remove the rows where ``hit`` is true; returns the days that held any.
+def json_text_of(value: str) -> str:
+    """A pattern for ``value`` as a whole JSON string, in whatever way its characters are escaped.
 
-    A day that belonged to the user alone becomes empty, which a dynamic partition overwrite
-    would leave untouched.
+    The closing quote may be missing where the text was cut off.
     """
-    affected = tables.stored_days(table.filter(hit))
-    tables.rewrite_days(spark, table, affected, path, lambda rows: rows.filter(~hit))
-    return affected
 
+    def one(character: str) -> str:
+        units = character.encode("utf-16-be")
+        escaped = "".join(rf"\\u(?i:{units[k : k + 2].hex()})" for k in range(0, len(units), 2))
+        plain = re.escape(character) if character not in '"\\/' else rf"\\?{re.escape(character)}"
+        return f"(?:{plain}|{escaped})"
 
-def erase(spark: SparkSession, root: str, email: str) -> Erasure:
-    """Delete one user from raw rows, the base table and dead letters.
+    return '"' + "".join(map(one, value)) + '(?:"|$)'
 
-    A dead letter cannot be parsed, so it goes when its text holds the email. Incremental views
-    must be rebuilt afterwards (``incremental.rebuild``).
-    """
+
+def user_days(spark: SparkSession, root: str, email: str) -> list[date | None]:
+    """Days that hold rows of the user: from the base table, and from raw rows of batches that it doesn't have yet."""
     raw = tables.read_raw(spark, root)
-    days = _remove(spark, raw, _of_user(raw, email), tables.raw_path(root))
-    base = base_view.stored_columns(tables.read_base(spark, tables.base_path(root)))
-    _remove(spark, base, F.coalesce(F.col(USER_EMAIL) == email, F.lit(False)), tables.base_path(root))
-    dead = tables.read_dead_letters(spark, root)
-    dead_days = _remove(
-        spark, dead, F.coalesce(F.col("value").contains(email), F.lit(False)), tables.dead_letter_path(root)
-    )
-    return Erasure(days, dead_days)
+    base_path = tables.base_path(root)
+    if not folders.exists(spark, base_path):
+        return tables.stored_days(raw.filter(_of_user(raw, email)))
+    days = tables.stored_days(tables.read_base(spark, base_path).filter(F.col(USER_EMAIL) == email))
+    stored = {path: set(folders.matching(spark, f"{path}/day=*/batch=*")) for path in (tables.raw_path(root), base_path)}
+    names = [{p.partition(path)[2] for p in found} for path, found in stored.items()]
+    behind = {n.rpartition("=")[2] for n in names[0] - names[1]}
+    if behind:
+        days += tables.stored_days(raw.filter(F.col("batch").isin(sorted(behind)) & _of_user(raw, email)))
+    return sorted(set(days), key=lambda d: (d is not None, d))
+
+
+def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None = None) -> Erasure:
+    """Delete one user from raw rows, base table, stored views, minute counts, dead letters and alerts.
+
+    Tables that don't exist are passed over. A dead letter cannot be parsed, so it goes when its text holds the email as a
+    JSON string. Rewrites that were cut off are finished first, so an erasure that failed is simply run again.
+    """
+    logs = [tables.raw_path(root), tables.base_path(root), tables.dead_letter_path(root), tables.minutes_path(root)]
+    views_of = {name: tables.incremental_path(root, name) for name in incremental.ROLLUPS}
+    for path in [*logs, *views_of.values(), *([alerts_path] if alerts_path else [])]:
+        folders.finish(spark, path)
+    result = Erasure()
+    other = ~F.coalesce(F.col(USER_EMAIL) == email, F.lit(False))
+    if folders.exists(spark, tables.raw_path(root)):
+        days = result.days = user_days(spark, root, email)
+        # Raw rows last: they tell the days when an erasure that failed is run again.
+        for name, path in views_of.items():
+            if folders.exists(spark, path):
+                partials = incremental.read_partials(name, spark, path)
+                tables.rewrite_days(spark, partials, days, path, lambda rows: rows.filter(other))
+        if folders.exists(spark, tables.minutes_path(root)):
+            minutes = quota.read_partials(spark, tables.minutes_path(root))
+            tables.rewrite_days(spark, minutes, days, tables.minutes_path(root), lambda rows: rows.filter(other))
+        raw = tables.read_raw(spark, root)
+        if folders.exists(spark, tables.base_path(root)):
+            # The base table is written from what stays of the raw rows, which also brings it up to date.
+            kept = stored_of(without_user(raw, email))
+            tables.rewrite_days(spark, kept, days, tables.base_path(root), lambda rows: rows)
+        tables.rewrite_days(spark, raw, days, tables.raw_path(root), lambda rows: without_user(rows, email))
+    if folders.exists(spark, tables.dead_letter_path(root)):
+        dead = tables.read_dead_letters(spark, root)
+        hit = F.coalesce(F.col("value").rlike(json_text_of(email)), F.lit(False))
+        result.dead_letter_days = tables.stored_days(dead.filter(hit))
+        path = tables.dead_letter_path(root)
+        tables.rewrite_days(spark, dead, result.dead_letter_days, path, lambda rows: rows.filter(~hit))
+    if alerts_path and folders.exists(spark, alerts_path):
+        alerts = rollups.read_alerts(spark, alerts_path)
+        hit = F.coalesce(F.col("user_identifier") == email, F.lit(False))
+        dates = [r[0] for r in alerts.filter(hit).select("alert_date").distinct().collect()]
+        if dates:
+            kept = alerts.filter(F.col("alert_date").isin(dates) & ~hit)
+            tables.rewrite(spark, kept, dates, alerts_path, ("alert_date", "run"))
+        result.alert_dates = sorted(dates)
+    return result
+
+
+def stored_of(raw: DataFrame) -> DataFrame:
+    return base_view.stored_columns(base_view.analytics_view(raw))
 
 
 def active_pseudonyms(pseudonymous_av: DataFrame, as_of: AsOf) -> DataFrame:

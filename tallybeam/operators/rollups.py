@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybeam import config
@@ -12,6 +12,7 @@ from tallybeam.config import USER_EMAIL
 from tallybeam.functions.measures import usage_measures
 from tallybeam.functions.timex import AsOf, day_before, event_day, moment_before, ts_lit, week_start, week_start_of
 from tallybeam.operators.views import quota_tracking
+from tallybeam.sources import folders
 
 
 def daily_rollup(av: DataFrame, as_of: AsOf, user_col: str = USER_EMAIL) -> DataFrame:
@@ -77,37 +78,55 @@ def quota_alerts(
     )
 
 
-def store_rollup(rows: DataFrame, path: str, partition: str, *cluster: str) -> None:
-    """Replace the partitions that ``rows`` cover, so a repeated run leaves the same table.
+def _replace(rows: DataFrame, path: str, stale: str, *partitions: str, cluster: tuple[str, ...] = ()) -> None:
+    """Remove the folders that match ``stale``, which earlier runs of the same job own, and store ``rows``.
 
-    The rows are a few per model or user; one exchange by partition gives one file each, split
-    further by Spark where a partition is large.
+    A run without rows so leaves none either, which an overwrite by partition would not.
     """
-    (
-        rows.hint("rebalance", partition)
-        .sortWithinPartitions(partition, *cluster)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    spark = rows.sparkSession
+    folders.remove(spark, folders.matching(spark, f"{path}/{stale}"))
+    folders.make(spark, path)
+    written = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *cluster)
+    written.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
 def run_daily_rollup(av: DataFrame, path: str, as_of: AsOf, user_col: str = USER_EMAIL) -> None:
-    store_rollup(daily_rollup(av, as_of, user_col), path, "day", "model")
+    """The day before ``as_of``, in place of what is stored for that day; other days stay."""
+    day = day_before(as_of, 1).isoformat()
+    _replace(daily_rollup(av, as_of, user_col), path, f"day={day}", "day", cluster=("model",))
 
 
 def run_weekly_rollup(av: DataFrame, path: str, as_of: AsOf, user_col: str = USER_EMAIL) -> None:
-    store_rollup(weekly_rollup(av, as_of, user_col), path, "week_start_date", "model")
+    first = week_start_of(day_before(as_of, 7)).isoformat()
+    rows = weekly_rollup(av, as_of, user_col)
+    _replace(rows, path, f"week_start_date={first}", "week_start_date", cluster=("model",))
 
 
 def run_quota_alerts(av: DataFrame, path: str, as_of: AsOf, run: str, user_col: str = USER_EMAIL, **limits) -> None:
-    """Alerts run many times a day: each run owns the partition (alert_date, run)."""
+    """Alerts run many times a day: each run owns its folders, on whatever date they are."""
     rows = quota_alerts(av, as_of, user_col, **limits).withColumn("run", F.lit(run))
-    (
-        rows.sortWithinPartitions("user_identifier", "alert_type")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("alert_date", "run")
-        .parquet(path)
+    stale = f"alert_date=*/run={folders.checked(run)}"
+    _replace(rows, path, stale, "alert_date", "run", cluster=("user_identifier", "alert_type"))
+
+
+_USAGE = (
+    "model string, request_count bigint, distinct_users bigint, total_input_tokens bigint, total_output_tokens bigint, "
+    "total_tokens bigint, average_duration_ms double, error_count bigint"
+)
+
+
+def read_daily_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table; like the two below it may have no rows yet."""
+    return spark.read.schema(f"{_USAGE}, day date").parquet(path)
+
+
+def read_weekly_rollup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_USAGE}, week_start_date date").parquet(path)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    columns = (
+        "user_identifier string, model string, alert_type string, current_value bigint, quota_limit bigint, "
+        "violation_time timestamp, alert_date date, run string"
     )
+    return spark.read.schema(columns).parquet(path)

@@ -5,12 +5,16 @@ Layout below one root::
     log/tier=raw/day=<event day>/batch=<id>/         raw rows
     log/tier=dead_letter/day=<arrival>/batch=<id>/   rejected messages
     base/day=<event day>/batch=<id>/                 typed base view
+    incremental/<view>/day=<event day>/batch=<id>/   mergeable aggregates, see operators.incremental
+    quota_minutes/day=<event day>/batch=<id>/        minute counts, see streaming.quota
 
-``batch`` makes a write repeatable: running the same batch again replaces its own partitions.
+A batch owns its folders in all of them: running it again removes them, on whatever days they are, before it writes, so
+nothing of an earlier run stays, also where the later run has no rows. ``COMPACTED`` is the batch of a closed day.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -20,25 +24,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybeam.config import RETENTION_DAYS, USER_EMAIL
 from tallybeam.functions.timex import AsOf, day_before, ts_lit
 from tallybeam.operators import ingest
 from tallybeam.operators.base_view import analytics_view, parsed_json, stored_columns
+from tallybeam.sources import folders
+
+COMPACTED = "compacted"
+ROWS_PER_FILE = 500_000
 
 RAW_DOC = {
-    "timestamp": "When the event happened; decides the day partition",
-    "receiveTimestamp": "When the log service received the entry",
-    "logName": "Full log name, projects/<project>/logs/<log>",
-    "insertId": "Unique id of the entry, used to drop redelivered copies",
-    "severity": "Log level",
-    "resource_json": "Monitored resource as JSON text",
-    "labels_json": "Labels as JSON text",
-    "operation_json": "Long-running operation as JSON text",
-    "httpRequest_json": "HTTP request as JSON text",
-    "jsonPayload_json": "Telemetry payload as JSON text with flat dotted keys; query the base view instead",
-    "trace": "Trace identifier",
-    "spanId": "Span within the trace",
-    "day": "Date of timestamp in UTC, the partition column",
-    "batch": "Ingest batch that wrote the row",
+    "timestamp": "When the event happened, in UTC; the day partition follows it",
+    "receiveTimestamp": "When the message arrived; the earliest copy of a message is kept",
+    "logName": "Log that the message was routed from; files are sorted by it",
+    "insertId": "Id that redelivered copies share; without it a row is never a copy",
+    "severity": "Level as sent, not interpreted",
+    "resource_json": "Where it ran, as JSON text; holds the project",
+    "labels_json": "Client labels as JSON text; holds the version of the client",
+    "operation_json": "Operation that the event belongs to, as JSON text",
+    "httpRequest_json": "HTTP details as JSON text, for events that have them",
+    "jsonPayload_json": "The event itself as JSON text, keys with dots kept flat; the base view types it",
+    "trace": "Trace that the event belongs to, if any",
+    "spanId": "Span within that trace, if any",
+    "day": "Partition: date of timestamp, empty where that can't be read",
+    "batch": "Partition: ingest batch that owns the row",
 }
 
 _RAW_TYPES = {"timestamp": T.TimestampType(), "receiveTimestamp": T.TimestampType(), "day": T.DateType()}
@@ -57,6 +66,9 @@ DEAD_SCHEMA = T.StructType([
 ])
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder on the storage that all executors share.
 
@@ -65,10 +77,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        shared = tempfile.mkdtemp(prefix="tallybeam-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tallybeam-"))
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -84,55 +96,108 @@ def base_path(root: str) -> str:
     return f"{root}/base"
 
 
-def spread_by_day(rows: DataFrame, keys: tuple[str, ...], salt: tuple[str, ...], files_per_day: int) -> DataFrame:
-    """Exchange into at most ``files_per_day`` tasks and files per value of ``keys``.
+def incremental_path(root: str, name: str) -> str:
+    return f"{root}/incremental/{name}"
+
+
+def minutes_path(root: str) -> str:
+    return f"{root}/quota_minutes"
+
 
-    For micro-batches, where Spark does not re-plan at run time and ignores the rebalance hint.
+def drop_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Remove what a batch wrote to a table, on any day."""
+    folders.remove(spark, folders.matching(spark, f"{path}/day=*/batch={folders.checked(batch)}"))
+
+
+def write_batch(rows: DataFrame, path: str, batch: str, *cluster: str) -> None:
+    """Store rows that have a ``day`` as the whole of one batch."""
+    spark = rows.sparkSession
+    drop_batch(spark, path, batch)
+    folders.make(spark, path)
+    (
+        rows.withColumn("batch", F.lit(batch))
+        .hint("rebalance", "day")
+        .sortWithinPartitions("day", *cluster)
+        .write.mode("append")
+        .partitionBy("day", "batch")
+        .parquet(path)
+    )
+
+
+def spread_by_size(rows: DataFrame, keys: tuple[str, ...], salt: tuple[str, ...], rows_per_file: int) -> DataFrame:
+    """Exchange into as many tasks and files per value of ``keys`` as the largest of them needs.
+
+    For micro-batches, where Spark does not re-plan at run time and ignores the rebalance hint. Counts ``rows`` first, so
+    they should be persisted.
     """
-    return rows.repartition(*keys, F.pmod(F.xxhash64(*salt), F.lit(files_per_day)))
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    files = max(1, math.ceil(largest / rows_per_file))
+    return rows.repartition(*keys, F.pmod(F.xxhash64(*salt), F.lit(files)))
 
 
 def write_log(
-    classified_rows: DataFrame, root: str, batch: str, arrived: Column, files_per_day: int | None = None
+    classified_rows: DataFrame, root: str, batch: str, arrived: Column, rows_per_file: int | None = None
 ) -> None:
     """Store raw rows and dead letters of one batch in a single pass over the messages.
 
     ``classified_rows`` comes from ``ingest.to_raw`` (de-duplicated). Rebalancing by day lets
     Spark split a day that holds most rows into many tasks and merge small ones, which a plain
-    repartition by day would not; micro-batches give ``files_per_day`` instead. A repeated batch
-    must pass the same ``arrived``.
+    repartition by day would not; micro-batches give ``rows_per_file`` instead. A batch that is
+    repeated replaces its rows, also if it arrives on another day.
     """
+    spark = classified_rows.sparkSession
     rejected = F.col("outcome") == ingest.DEAD_LETTER
     rows = classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER)).select(
         *ingest.RAW_COLUMNS,
-        F.when(rejected, F.col("value")).alias("value"),
+        "value",
         "reason",
         F.when(rejected, arrived).alias("ingest_ts"),
         F.when(rejected, "dead_letter").otherwise("raw").alias("tier"),
         F.to_date(F.when(rejected, arrived).otherwise(F.col("timestamp"))).alias("day"),
         F.lit(batch).alias("batch"),
     )
-    if files_per_day:
-        spread = spread_by_day(rows, ("tier", "day"), ("insertId", "value", "jsonPayload_json"), files_per_day)
+    if rows_per_file:
+        spread = spread_by_size(rows, ("tier", "day"), ("insertId", "value", "jsonPayload_json"), rows_per_file)
     else:
         spread = rows.hint("rebalance", "tier", "day")
+    for path in (raw_path(root), dead_letter_path(root)):
+        drop_batch(spark, path, batch)
+        folders.make(spark, path)
     (
         spread.sortWithinPartitions("tier", "day", "batch", "logName", "severity")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("tier", "day", "batch")
         .parquet(f"{root}/log")
     )
 
 
 def ingest_batch(
-    messages: DataFrame, root: str, project: str, batch: str = "batch-0", ingest_ts: AsOf | None = None
+    messages: DataFrame,
+    root: str,
+    project: str,
+    batch: str = "batch-0",
+    ingest_ts: AsOf | None = None,
+    known: DataFrame | None = None,
 ) -> None:
-    """Messages to stored raw rows and dead letters, redelivered copies removed."""
+    """Messages to stored raw rows and dead letters, redelivered copies removed.
+
+    ``known`` are raw rows of other batches (``known_rows``); messages among them are redeliveries and left out.
+    ``plans.refresh.refresh_batch`` carries the batch on to the base table and the stored views.
+    """
     arrived = ts_lit(ingest_ts) if ingest_ts else F.current_timestamp()
     classified = ingest.to_raw(ingest.classify(messages, project))
-    kept = ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER)
-    write_log(ingest.deduplicate(kept), root, batch, arrived)
+    kept = ingest.deduplicate(ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER))
+    if known is not None:
+        kept = ingest.only_new(kept.withColumn("day", F.to_date("timestamp")), known).drop("day")
+    write_log(kept, root, batch, arrived)
+
+
+def known_rows(spark: SparkSession, root: str, batch: str, since: date | None = None) -> DataFrame | None:
+    """Stored raw rows of other batches, from a day on; None when nothing is stored yet."""
+    if not folders.exists(spark, raw_path(root)):
+        return None
+    others = read_raw(spark, root).filter(F.col("batch") != batch)
+    return others.filter(F.col("day") >= F.lit(since)) if since else others
 
 
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
@@ -143,43 +208,67 @@ def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DEAD_SCHEMA).parquet(dead_letter_path(root))
 
 
-def stream_raw(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Follow the raw table: every row once, already de-duplicated."""
-    reader = spark.readStream.schema(RAW_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(raw_path(root))
+def _base_rows(raw: DataFrame, **view_options) -> DataFrame:
+    # Needs no shuffle: raw files are already split by day. Sorting by event name lets Parquet
+    # statistics skip row groups for the views that read a few events.
+    return stored_columns(analytics_view(raw, **view_options)).sortWithinPartitions("day", "batch", "event_name")
 
 
 def write_base(raw: DataFrame, path: str, **view_options) -> None:
-    """Store the typed base view so that queries do not parse JSON again.
+    """Store the typed base view of the whole raw table, so that queries do not parse JSON again."""
+    rows = _base_rows(raw, **view_options)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(path)
 
-    Needs no shuffle: raw files are already split by day. Sorting by event name lets Parquet
-    statistics skip row groups for the views that read a few events.
-    """
-    (
-        stored_columns(analytics_view(raw, **view_options))
-        .sortWithinPartitions("day", "batch", "event_name")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch")
-        .parquet(path)
-    )
+
+def write_base_batch(raw: DataFrame, path: str, batch: str, **view_options) -> None:
+    """Store the base view of one batch in place of what it had."""
+    spark = raw.sparkSession
+    rows = _base_rows(raw.filter(F.col("batch") == batch), **view_options)
+    drop_batch(spark, path, batch)
+    folders.make(spark, path)
+    rows.write.mode("append").partitionBy("day", "batch").parquet(path)
 
 
 def read_base(spark: SparkSession, path: str) -> DataFrame:
     """The stored base view; the parsed JSON columns are computed only when selected."""
-    return parsed_json(spark.read.parquet(path).withColumn("day", F.col("day").cast("date")))
+    return parsed_json(spark.read.schema(base_schema(spark)).parquet(path))
+
+
+def read_empty_base(spark: SparkSession, user_col: str) -> DataFrame:
+    """The stored base view without rows, for its schema."""
+    return stored_columns(analytics_view(spark.createDataFrame([], RAW_SCHEMA), pseudonymize=user_col != USER_EMAIL))
+
+
+def base_schema(spark: SparkSession) -> T.StructType:
+    """Columns of the stored base view with emails."""
+    return read_empty_base(spark, USER_EMAIL).schema
+
+
+def day_folder(day: date | None) -> str:
+    return folders.EMPTY_DAY if day is None else day.isoformat()
+
 
+def of_days(days: list[date | None]) -> Column:
+    """Rows of some days, as a filter on the partition column."""
+    within = F.coalesce(F.col("day").isin([d for d in days if d is not None]), F.lit(False))
+    return within | F.col("day").isNull() if None in days else within
 
-def replace_day(frame: DataFrame, path: str, day: date | None) -> None:
-    """Put ``frame`` (which may be empty) in place of everything stored for ``day``.
 
-    Dynamic partition overwrite leaves a partition alone when no row falls into it, so a day that
-    becomes empty must be overwritten by its folder.
+def rewrite(
+    spark: SparkSession,
+    rows: DataFrame,
+    values: list[date | None],
+    path: str,
+    partitions: tuple[str, str] = ("day", "batch"),
+) -> None:
+    """Store ``rows`` as all that a table has for some values of its outer partition.
+
+    The result is staged beside the table under a fixed name, in one job, and then swapped in folder by folder; a swap
+    that was cut off is finished by the next rewrite (``folders.finish``). Values that end without rows lose their folder.
     """
-    folder = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
-    frame.drop("day").write.mode("overwrite").partitionBy("batch").parquet(f"{path}/day={folder}")
+    staged = rows.hint("rebalance", partitions[0]).sortWithinPartitions(*partitions)
+    staged.write.mode("overwrite").partitionBy(*partitions).parquet(f"{folders.staging_of(path)}/data")
+    folders.swap(spark, path, partitions[0], [day_folder(v) for v in values])
 
 
 def rewrite_days(
@@ -189,38 +278,26 @@ def rewrite_days(
     path: str,
     change: Callable[[DataFrame], DataFrame],
 ) -> None:
-    """Apply ``change`` to the rows of some days and store the result in their place.
-
-    Only these days are read and written. The result goes to a staging table first, because a
-    table cannot be overwritten while it is read; then each day is replaced by its folder.
-    """
-    if not days:
-        return
-    dated = [d for d in days if d is not None]
-    within = F.coalesce(F.col("day").isin(dated), F.lit(False)) if dated else F.lit(False)
-    if None in days:
-        within = within | F.col("day").isNull()
-    staging = work_dir(spark, "staging")
-    changed = change(table.filter(within))
-    changed.hint("rebalance", "day").sortWithinPartitions("day").write.partitionBy("day").parquet(staging)
-    staged = spark.read.schema(table.schema).parquet(staging)
-    for day in days:
-        chosen = F.col("day").isNull() if day is None else F.col("day") == F.lit(day)
-        replace_day(staged.filter(chosen), path, day)
+    """Apply ``change`` to the rows of some days and store the result in their place. Only these days are read."""
+    folders.finish(spark, path)
+    if days:
+        rewrite(spark, change(table.filter(of_days(days))), days, path)
 
 
 def repair_days(spark: SparkSession, root: str, days: list[date | None]) -> None:
-    """Remove redelivered copies that came in different batches, over the given days.
+    """Compact closed days: one batch for each, redelivered copies of different batches removed.
 
     Streaming de-duplication forgets an id after its horizon, and batches do not see each other;
-    this is the repair for both. The base table of these days must be written again.
+    this is the repair for both. File counts follow the size (``rebalance``), not the batches that
+    came in. ``plans.refresh.refresh_days`` carries the days on to the base table and stored views.
     """
 
-    def without_copies(rows: DataFrame) -> DataFrame:
+    def compacted(rows: DataFrame) -> DataFrame:
         numbered = rows.withColumn("row_id", F.monotonically_increasing_id().cast("string"))
-        return ingest.deduplicate(numbered, content=ingest.RAW_COLUMNS)
+        unique = ingest.deduplicate(numbered.withColumn("tie", F.xxhash64(*ingest.RAW_COLUMNS)))
+        return unique.withColumn("batch", F.lit(COMPACTED))
 
-    rewrite_days(spark, read_raw(spark, root), days, raw_path(root), without_copies)
+    rewrite_days(spark, read_raw(spark, root), days, raw_path(root), compacted)
 
 
 def stored_days(frame: DataFrame) -> list[date | None]:
@@ -228,15 +305,30 @@ def stored_days(frame: DataFrame) -> list[date | None]:
     return [row.day for row in frame.select("day").distinct().orderBy("day").collect()]
 
 
-def expire(frame: DataFrame, path: str, as_of: AsOf, keep_days: int) -> list[date]:
-    """Empty the day partitions older than ``keep_days``; returns the days removed."""
+def expire(spark: SparkSession, path: str, as_of: AsOf, keep_days: int, column: str = "day") -> list[date]:
+    """Remove the partitions of a table older than ``keep_days``; returns their dates."""
     cutoff = day_before(as_of, keep_days)
-    expired = stored_days(frame.filter(F.col("day") < F.lit(cutoff)))
-    for day in expired:
-        replace_day(frame.filter(F.lit(False)), path, day)
+    dates = [date.fromisoformat(v) for v in folders.partition_values(spark, path, column) if v != folders.EMPTY_DAY]
+    expired = [d for d in dates if d < cutoff]
+    folders.remove(spark, [f"{path}/{column}={d.isoformat()}" for d in expired])
     return expired
 
 
+def expire_all(spark: SparkSession, root: str, table_root: str, as_of: AsOf) -> dict[str, list[date]]:
+    """Apply the documented retention to the log with all that is derived from it, and to the scheduled tables."""
+    logs = [raw_path(root), dead_letter_path(root), base_path(root), minutes_path(root)]
+    logs += folders.matching(spark, f"{root}/incremental/*")
+    removed = {path: expire(spark, path, as_of, RETENTION_DAYS["raw"]) for path in logs}
+    for name, column in SCHEDULED.items():
+        path = f"{table_root}/{name}_table"
+        removed[path] = expire(spark, path, as_of, RETENTION_DAYS[name], column)
+    return removed
+
+
+# Outer partition column of each scheduled table.
+SCHEDULED = {"daily_rollup": "day", "quota_alerts": "alert_date", "weekly_rollup": "week_start_date"}
+
+
 def retained(frame: DataFrame, as_of: AsOf, keep_days: int) -> DataFrame:
     """Rows that retention keeps; rows without a day stay."""
     return frame.filter(F.col("day").isNull() | (F.col("day") >= F.lit(day_before(as_of, keep_days))))
@@ -268,7 +360,7 @@ def schema_doc(raw: DataFrame) -> DataFrame:
 def register_documented(spark: SparkSession, root: str, table: str) -> None:
     """Register the raw files as a catalog table that carries the column comments."""
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    columns = ", ".join(f"`{n}` {k} COMMENT '{d}'" for n, k, d in documented_columns(spark.createDataFrame([], RAW_SCHEMA)))
+    columns = ", ".join(f'`{n}` {k} COMMENT "{d}"' for n, k, d in documented_columns(spark.createDataFrame([], RAW_SCHEMA)))
     spark.sql(
         f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (day, batch) "
         f"COMMENT 'Raw log rows; nested fields are JSON text. Query the base view instead.' "

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallybeam.operators import ingest
+from tallybeam.plans.refresh import refresh_batch
 from tallybeam.sources import tables
 
 
@@ -25,7 +27,7 @@ def deduplicated_stream(messages: DataFrame, project: str, horizon: str = "1 day
         .withColumn("arrived", F.current_timestamp())
         .withWatermark("arrived", horizon)
         .dropDuplicatesWithinWatermark(["dedup_key"])
-        .drop("dedup_key", "row_id")
+        .drop("dedup_key", "row_id", "tie")
     )
 
 
@@ -36,17 +38,26 @@ def start_ingest(
     project: str,
     every: str | None = "1 minute",
     horizon: str = "1 day",
-    files_per_day: int = 4,
+    rows_per_file: int = tables.ROWS_PER_FILE,
+    refresh: bool = True,
 ) -> StreamingQuery:
     """Write a message stream to the log tables; ``every=None`` takes what is there and stops.
 
-    Each micro-batch owns the partition ``batch=stream-<id>``, so a batch repeated after a failure
-    replaces its own files and every row is stored once. ``tables.repair_days`` merges the many
-    small files of a day once it is complete.
+    Each micro-batch owns the partition ``batch=stream-<id>`` in the log and, with ``refresh``, in
+    the base table and every stored view. A batch that is repeated, after a failure at any place,
+    replaces all of them, so every row is stored and counted once. The tasks of a batch follow its
+    size. ``tables.repair_days`` compacts a day once it is complete.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        tables.write_log(rows, root, f"stream-{batch_id}", F.col("arrived"), files_per_day)
+        batch = f"stream-{batch_id}"
+        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            tables.write_log(kept, root, batch, F.col("arrived"), rows_per_file)
+        finally:
+            kept.unpersist()
+        if refresh:
+            refresh_batch(rows.sparkSession, root, batch)
 
     writer = (
         deduplicated_stream(messages, project, horizon)

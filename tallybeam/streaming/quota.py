@@ -1,70 +1,37 @@
-"""Streaming minute counts for quota alerts."""
+"""Minute counts for quota alerts, kept by the batches that bring the events.
+
+Each ingest batch stores the counts of its own rows (``plans.refresh``); reading adds them up. There is no state and no
+limit on lateness: an event of last week adds to last week's minute. A repeated batch replaces its counts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tallybeam import config
 from tallybeam.config import USER_EMAIL
-from tallybeam.operators.base_view import analytics_view
-from tallybeam.sources.tables import spread_by_day
-
-
-def quota_minutes_stream(raw_stream: DataFrame, lateness: str = "1 hour", user_col: str = USER_EMAIL) -> DataFrame:
-    """Requests, rate-limit errors and errors per user, model and tumbling minute of event time.
+from tallybeam.operators import views
 
-    Reads the raw table as a stream (``tables.stream_raw``), so copies are already gone and the
-    counts are the only state. A minute stays open for ``lateness``; rows later than that reach
-    the batch view only.
-    """
-    events = analytics_view(raw_stream, pseudonymize=user_col != USER_EMAIL).withWatermark("timestamp", lateness)
-    api_events = F.col("event_name").isin(config.API_RESPONSE, config.API_ERROR)
-    return (
-        events.filter(api_events & F.col(user_col).isNotNull())
-        .groupBy(F.window("timestamp", "1 minute").alias("window"), user_col, "model")
-        .agg(
-            F.count_if(F.col("event_name") == config.API_RESPONSE).alias("requests_per_minute"),
-            F.count_if(F.col("status_code") == 429).alias("error_429_count_per_minute"),
-            F.count_if(F.col("status_code") >= 400).alias("total_errors_per_minute"),
-        )
-        .withColumn("minute", F.col("window.start"))
-        .drop("window")
-    )
+MEASURES = ("requests_per_minute", "error_429_count_per_minute", "total_errors_per_minute")
 
 
-def start_quota_minutes(
-    counts: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute", files_per_day: int = 4
-) -> StreamingQuery:
-    """Store every change of a minute under its micro-batch; repeated batches replace themselves."""
+def minute_counts(av: DataFrame, user_col: str = USER_EMAIL) -> DataFrame:
+    """Requests, rate-limit errors and errors per user, model and minute of event time."""
+    return views.quota_minutes(av, user_col).select("day", "minute", user_col, "model", *MEASURES)
 
-    def store(rows: DataFrame, batch_id: int) -> None:
-        versioned = rows.withColumns({
-            "version": F.lit(batch_id).cast("bigint"),
-            "day": F.to_date("minute"),
-            "batch": F.lit(f"stream-{batch_id}"),
-        })
-        (
-            spread_by_day(versioned, ("day",), ("minute", "model"), files_per_day)
-            .sortWithinPartitions("day")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "batch")
-            .parquet(path)
-        )
 
-    writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def read_partials(spark: SparkSession, path: str, user_col: str = USER_EMAIL) -> DataFrame:
+    """The counts of each batch."""
+    counts = ", ".join(f"{m} bigint" for m in MEASURES)
+    columns = f"minute timestamp, {user_col} string, model string, {counts}, day date, batch string"
+    return spark.read.schema(columns).parquet(path)
 
 
 def read_quota_minutes(spark: SparkSession, path: str, user_col: str = USER_EMAIL) -> DataFrame:
-    """Latest stored count of every minute."""
-    stored = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
-    measures = ("requests_per_minute", "error_429_count_per_minute", "total_errors_per_minute")
-    return stored.groupBy("day", "minute", user_col, "model").agg(
-        *[F.max_by(name, "version").alias(name) for name in measures]
-    )
+    """Counts of every minute over all batches."""
+    sums = [F.sum(m).alias(m) for m in MEASURES]
+    return read_partials(spark, path, user_col).groupBy("day", "minute", user_col, "model").agg(*sums)
 
 
 def rpm_alerts(minutes: DataFrame, limit: int = config.RPM_LIMIT) -> DataFrame:

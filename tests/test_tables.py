@@ -5,9 +5,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tallybeam.operators import incremental, privacy, rollups, views
-from tallybeam.plans import build
-from tallybeam.sources import tables
+from tallybeam.operators import incremental, ingest, privacy, rollups, views
+from tallybeam.plans import build, refresh
+from tallybeam.sources import folders, tables
+from tallybeam.streaming import quota
 from tests.samples import envelope, event, messages
 
 ME, OTHER = "me@example.com", "other@example.com"
@@ -58,11 +59,36 @@ def test_repeated_batch_replaces_itself_and_batches_add_up(spark, two_users):
     assert tables.read_raw(spark, root).count() == 7
 
 
-def test_erasure(spark, two_users):
+def test_a_batch_that_is_repeated_on_another_day_replaces_itself(spark, two_users):
     root = ingested(spark, *two_users)
-    tables.write_base(tables.read_raw(spark, root), tables.base_path(root))
+    tables.ingest_batch(messages(spark, two_users[0], two_users[6]), root, "demo", ingest_ts="2024-02-02 00:00:00")
+    assert days_and_ids(tables.read_raw(spark, root)) == [("2024-01-05", "a")]
+    assert [str(r.day) for r in tables.read_dead_letters(spark, root).collect()] == ["2024-02-02"]
+    with pytest.raises(ValueError):
+        ingested(spark, *two_users, batch="a/b", root=root)
+
+
+def test_redelivery_in_a_later_batch(spark, two_users):
+    root = ingested(spark, *two_users)
+    later = messages(spark, *two_users[:4], response("new", "2024-01-05T12:00:00Z"))
+    known = tables.known_rows(spark, root, "batch-1", since=date(2024, 1, 1))
+    tables.ingest_batch(later, root, "demo", "batch-1", "2024-01-31 00:00:00", known)
+    assert [r.insertId for r in tables.read_raw(spark, root).filter("batch = 'batch-1'").collect()] == ["new"]
+
+
+def refreshed(spark, *values):
+    root = ingested(spark, *values)
+    refresh.refresh_batch(spark, root, "batch-0")
+    return root
+
+
+def test_erasure(spark, two_users):
+    root, alerts = refreshed(spark, *two_users), tables.work_dir(spark, "alerts")
+    base = tables.read_base(spark, tables.base_path(root))
+    rollups.run_quota_alerts(base, alerts, "2024-01-06", "run", rpm_limit=0, lookback_minutes=1440)
+    assert {r.user_identifier for r in rollups.read_alerts(spark, alerts).collect()} == {ME, OTHER}
     assert privacy.erasure_preview(tables.read_raw(spark, root), ME).first().records_to_delete == 3
-    erased = privacy.erase(spark, root, ME)
+    erased = privacy.erase(spark, root, ME, alerts)
     assert erased.days == [None, date(2024, 1, 5), date(2024, 1, 6)]
     raw = tables.read_raw(spark, root)
     assert privacy.erasure_preview(raw, ME).first().records_to_delete == 0
@@ -71,8 +97,58 @@ def test_erasure(spark, two_users):
     assert days_and_ids(tables.read_base(spark, tables.base_path(root))) == kept
     dead = tables.read_dead_letters(spark, root).collect()
     assert len(dead) == 1 and OTHER in dead[0].value
-    again = privacy.erase(spark, root, ME)
+    assert {r.user_identifier for r in rollups.read_alerts(spark, alerts).collect()} == {OTHER}
+    for frame in (quota.read_partials(spark, tables.minutes_path(root)),
+                  incremental.read("token_usage", spark, tables.incremental_path(root, "token_usage"))):
+        assert {r.user_email for r in frame.collect()} == {OTHER}
+    assert folders.partition_values(spark, tables.raw_path(root), "day") == ["2024-01-05", "2024-01-07", folders.EMPTY_DAY]
+    again = privacy.erase(spark, root, ME, alerts)
     assert again.days == [] and days_and_ids(tables.read_raw(spark, root)) == kept
+    assert not folders.matching(spark, f"{root}/**/*__rewrite")
+
+
+def test_erasure_matches_whole_addresses(spark):
+    def cut(user):
+        return response("x", "2024-01-05T10:00:00Z", user)[:-3]
+
+    root = ingested(spark, response("a", "2024-01-05T10:00:00Z"))
+    privacy.erase(spark, root, ME)  # no dead letters, no base table, no stored views
+    assert tables.read_raw(spark, root).count() == 0
+    root = ingested(spark, cut("ann@example.com"), cut("joann@example.com"), cut("jörg@example.com"))
+    privacy.erase(spark, root, "ann@example.com")
+    left = [r.value for r in tables.read_dead_letters(spark, root).collect()]
+    assert len(left) == 2 and any("joann" in v for v in left)
+    privacy.erase(spark, root, "jörg@example.com")
+    assert ["joann" in r.value for r in tables.read_dead_letters(spark, root).collect()] == [True]
+
+
+def test_erasure_of_rows_that_the_base_table_does_not_have_yet(spark, two_users):
+    root = refreshed(spark, *two_users)
+    ingested(spark, response("late", "2024-01-09T10:00:00Z"), batch="batch-1", root=root)
+    assert privacy.erase(spark, root, ME).days[-1] == date(2024, 1, 9)
+    assert privacy.erasure_preview(tables.read_raw(spark, root), ME).first().records_to_delete == 0
+
+
+def test_a_swap_that_was_cut_off_is_finished(spark, two_users):
+    """Cut off after staging, after the note and in the middle of the swap."""
+    path = tables.raw_path(ingested(spark, *two_users))
+    staging = folders.staging_of(path)
+    before = days_and_ids(spark.read.schema(tables.RAW_SCHEMA).parquet(path))
+    kept = spark.read.schema(tables.RAW_SCHEMA).parquet(path).filter("day = '2024-01-05' and insertId = 'b'")
+    kept.write.partitionBy("day", "batch").parquet(f"{staging}/data")
+    folders.finish(spark, path)
+    assert days_and_ids(spark.read.schema(tables.RAW_SCHEMA).parquet(path)) == before
+    kept.write.partitionBy("day", "batch").parquet(f"{staging}/data")
+    note = [("filled", "day", "2024-01-05"), ("emptied", "day", "2024-01-06")]
+    spark.createDataFrame(note, "a string, b string, c string").write.csv(f"{staging}/note")
+    for _ in range(2):
+        folders.finish(spark, path)
+        found = days_and_ids(spark.read.schema(tables.RAW_SCHEMA).parquet(path))
+        assert found == [("2024-01-05", "b"), ("2024-01-07", "d"), ("None", "e"), ("None", "f")]
+    # The day is in place already, its staged folder gone.
+    spark.createDataFrame(note, "a string, b string, c string").write.csv(f"{staging}/note")
+    folders.finish(spark, path)
+    assert days_and_ids(spark.read.schema(tables.RAW_SCHEMA).parquet(path)) == found
 
 
 def test_repair_drops_copies_across_batches(spark):
@@ -86,12 +162,59 @@ def test_repair_drops_copies_across_batches(spark):
     ]
 
 
-def test_retention_empties_old_days(spark, two_users):
+def test_repair_carried_on_counts_each_row_once(spark, two_users):
+    root = refreshed(spark, *two_users)
+    ingested(spark, *two_users, batch="batch-1", root=root)
+    refresh.refresh_batch(spark, root, "batch-1")
+    day = date(2024, 1, 5)
+    assert tables.read_base(spark, tables.base_path(root)).filter(F.col("day") == day).count() == 4
+    tables.repair_days(spark, root, [day])
+    refresh.refresh_days(spark, root, [day])
+    for frame in (tables.read_raw(spark, root), tables.read_base(spark, tables.base_path(root))):
+        assert [r.batch for r in frame.filter(F.col("day") == day).collect()] == [tables.COMPACTED] * 2
+    usage = incremental.read("token_usage", spark, tables.incremental_path(root, "token_usage"))
+    assert {r.grand_total_tokens for r in usage.filter(F.col("day") == day).collect()} == {3}
+
+
+def test_compaction_of_many_batches(spark):
+    rows = [response(f"r{k}", f"2024-01-05T10:{k % 60:02d}:00Z") for k in range(50)]
+    root = tables.work_dir(spark, "many")
+    raw = ingest.to_raw(ingest.classify(messages(spark, *rows).repartition(8), "demo"))
+    numbered = ingest.deduplicate(raw).withColumn("day", F.to_date("timestamp"))
+    stored = numbered.select(*ingest.RAW_COLUMNS, "day", F.concat(F.lit("stream-"), F.col("insertId")).alias("batch"))
+    stored.repartition(4).write.partitionBy("day", "batch").parquet(tables.raw_path(root))
+    day = f"{tables.raw_path(root)}/day=2024-01-05"
+    assert len(folders.matching(spark, f"{day}/*/*.parquet")) == 50
+    tables.repair_days(spark, root, [date(2024, 1, 5)])
+    assert folders.partition_values(spark, day, "batch") == [tables.COMPACTED]
+    assert len(folders.matching(spark, f"{day}/*/*.parquet")) == 1
+    assert tables.read_raw(spark, root).count() == 50
+
+
+def test_retention_removes_old_days(spark, two_users):
     root = ingested(spark, *two_users)
-    removed = tables.expire(tables.read_raw(spark, root), tables.raw_path(root), "2024-01-31", 25)
+    removed = tables.expire(spark, tables.raw_path(root), "2024-01-31", 25)
     assert removed == [date(2024, 1, 5)]
     left = {day for day, _ in days_and_ids(tables.read_raw(spark, root))}
     assert left == {"2024-01-06", "2024-01-07", "None"}
+    assert "2024-01-05" not in folders.partition_values(spark, tables.raw_path(root), "day")
+
+
+def test_retention_of_everything(spark, two_users):
+    root, built = refreshed(spark, *two_users), tables.work_dir(spark, "built")
+    base = tables.read_base(spark, tables.base_path(root))
+    rollups.run_daily_rollup(base, f"{built}/daily_rollup_table", "2024-01-06")
+    rollups.run_weekly_rollup(base, f"{built}/weekly_rollup_table", "2024-01-08")
+    rollups.run_quota_alerts(base, f"{built}/quota_alerts_table", "2024-01-06", "run", rpm_limit=0, lookback_minutes=1440)
+    tables.expire_all(spark, root, built, "2024-02-20")
+    assert rollups.read_alerts(spark, f"{built}/quota_alerts_table").count() == 0
+    assert rollups.read_daily_rollup(spark, f"{built}/daily_rollup_table").count() == 1
+    tables.expire_all(spark, root, built, "2024-04-20")
+    assert rollups.read_daily_rollup(spark, f"{built}/daily_rollup_table").count() == 0
+    assert rollups.read_weekly_rollup(spark, f"{built}/weekly_rollup_table").count() == 1
+    assert {d for d, _ in days_and_ids(tables.read_base(spark, tables.base_path(root)))} == {"None"}
+    tables.expire_all(spark, root, built, "2025-04-20")
+    assert rollups.read_weekly_rollup(spark, f"{built}/weekly_rollup_table").count() == 0
 
 
 def test_tiers(spark, two_users):
@@ -117,7 +240,7 @@ def test_rollup_runs_are_repeatable_and_keep_other_days(spark, two_users):
     path = tables.work_dir(spark, "rollup")
     for as_of in ("2024-01-06", "2024-01-07", "2024-01-06"):
         rollups.run_daily_rollup(av, path, as_of)
-    rows = spark.read.parquet(path).collect()
+    rows = rollups.read_daily_rollup(spark, path).collect()
     assert sorted((str(r.day), r.request_count, r.distinct_users) for r in rows) == [
         ("2024-01-05", 2, 2), ("2024-01-06", 1, 1),
     ]
@@ -190,11 +313,16 @@ def test_one_failing_output_does_not_stop_the_rest(spark, two_users):
     status = {r.name: r.status for r in report.collect()}
     assert status.pop("broken") == "failed"
     assert set(status.values()) == {"created"} and len(status) == 16
-    present = {r.name: (r.present, r.row_count) for r in build.catalog_check(spark, outputs).collect()}
-    assert present["broken"] == (False, None)
-    assert present["daily_rollup_table"] == (True, 1)
+    present = {r.name: (r.kind, r.present, r.row_count) for r in build.catalog_check(spark, outputs).collect()}
+    assert present["broken"] == (None, False, None)
+    assert present["daily_rollup_table"] == ("table", True, 1)
+    assert present["daily_metrics"] == ("view", True, 4)
+    # A later run adds to the tables.
+    build.build_all(spark, base_of(spark, two_users), "2024-01-07", table_root=root)
+    assert spark.table("daily_rollup_table").count() == 2
     for name in status:
         spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def test_time_range_reaches_the_partition_filter(spark, two_users):
@@ -205,3 +333,11 @@ def test_time_range_reaches_the_partition_filter(spark, two_users):
     filters = text[text.index("PartitionFilters") : text.index("PushedFilters")]
     assert "day" in filters and "2024-01-06" in filters
     assert "ReadSchema: struct<timestamp:timestamp,event_name:string>" in text
+
+
+def test_narrow_exchange_of_ingest(spark):
+    """Past the parse, the text of a message goes on for dead letters only."""
+    raw = ingest.to_raw(ingest.classify(messages(spark, response("a", "2024-01-05T10:00:00Z"), "{cut"), "demo"))
+    assert [r.value for r in raw.orderBy("outcome").collect()] == ["{cut", None]
+    plan = ingest.deduplicate(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2
