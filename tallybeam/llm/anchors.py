@@ -24,8 +24,8 @@ CHUNK = 1 << 23
 
 def anchored_runs(
     tokens: np.ndarray, sizes: np.ndarray, length: int, gram: int, grams: Callable[[np.ndarray, int], np.ndarray] = gram_hashes
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor in texts laid end to end: first start, last start, hash of the anchor.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor in texts laid end to end: first start, last start, place and hash of the anchor.
 
     ``sizes`` are the token counts of the texts; no window crosses from one text to the next.
     """
@@ -36,8 +36,8 @@ def anchored_runs(
         for low in range(0, n, CHUNK):
             high = min(n, low + CHUNK + length - 1)
             own = np.diff(np.clip(ends, low, high), prepend=low)
-            first, last, h = anchored_runs_of(tokens[low:high], own, length, gram, grams)
-            parts.append((first + low, last + low, h))
+            first, last, place, h = anchored_runs_of(tokens[low:high], own, length, gram, grams)
+            parts.append((first + low, last + low, place + low, h))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     return anchored_runs_of(tokens, np.asarray(sizes), length, gram, grams)
 
@@ -46,7 +46,7 @@ def anchored_runs_of(tokens, sizes, length, gram, grams):
     n, wide = len(tokens), length - gram + 1
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64)
     h = grams(tokens, gram)
     # The place in the low bits makes the leftmost of equal hashes the smallest.
     low = (h & ~LOW) | (np.arange(len(h), dtype=np.uint64) & LOW)
@@ -63,11 +63,11 @@ def anchored_runs_of(tokens, sizes, length, gram, grams):
     np.add.at(inside, (ends - length + 1)[fits], -1)
     starts = np.flatnonzero(np.cumsum(inside)[: len(low)])
     if not len(starts):
-        return empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64)
     places = starts + (((low[starts] & LOW).astype(np.int64) - starts) & int(LOW))
     new = np.flatnonzero(np.r_[True, (np.diff(places) != 0) | (np.diff(starts) != 1)])
     first, last = starts[new], starts[np.r_[new[1:], len(starts)] - 1]
-    return first, last, h[places[new]]
+    return first, last, places[new], h[places[new]]
 
 
 # Sorted hashes travel as differences, byte plane by byte plane, which the compressor shortens.
@@ -144,3 +144,58 @@ def in_order(table: pa.Table, limit: int) -> Iterator[tuple[list[int], list[byte
             portion = order[begin : k + 1]
             yield [ids[x] for x in portion], [texts[x] for x in portion]
             begin, size = k + 1, 0
+
+
+class Passages:
+    """Distinct candidate stretches of a group, the smallest place of each, and where they occur.
+
+    A place is ``(id, first token)``. Documents are numbered as :func:`in_order` gives them.
+    """
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.places: list[tuple[int, int]] = []
+        self.occurrences: list[tuple[int, int, int, int]] = []  # document, first start, last start, stretch
+
+    def add(self, text: bytes, document: int, place: tuple[int, int], last: int) -> bool:
+        """Whether the stretch is new."""
+        k = self.number.setdefault(text, len(self.places))
+        new = k == len(self.places)
+        if new:
+            self.places.append(place)
+        elif place < self.places[k]:
+            self.places[k] = place
+        self.occurrences.append((document, place[1], last, k))
+        return new
+
+    def rows(self, g: int, bucket: np.ndarray, buckets: int, *more: list) -> pa.Table:
+        """A row for each bucket with its stretches, places and what else belongs to them, and one that comes back to the
+        group, by way of the bucket ``buckets``, with the occurrences and the bucket of each stretch."""
+        texts, places = list(self.number), np.array(self.places, np.int64).reshape(-1, 2)
+        rows = [
+            (g, b, pack(places[own], [texts[k] for k in own], *[[values[k] for k in own] for values in more]))
+            for b, own in split_by(bucket)
+        ]
+        occurrences = np.array(self.occurrences, np.int32).reshape(-1, 4)
+        return packed([*rows, (g, buckets, pack(occurrences, bucket.astype(np.int32)))] if texts else [])
+
+
+def answered(answers: pa.Table, buckets: int) -> Iterator[tuple[int, list[tuple[int, int, list[int], np.ndarray]]]]:
+    """Per document that has any: first start, last start, first place and bits of each occurrence of a candidate.
+
+    A bucket answers with the first place of each stretch it got and, packed, one bit for each window.
+    """
+    blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+    if buckets not in blobs:
+        return
+    occurrences, bucket = unpack(blobs.pop(buckets))
+    place, bits = [None] * len(bucket), [None] * len(bucket)
+    for b, own in split_by(bucket):
+        places, flags = unpack(blobs[b])
+        for k, at, flag in zip(own.tolist(), places.tolist(), flags, strict=True):
+            place[k], bits[k] = at, flag
+    for document, rows in split_by(occurrences[:, 0]):
+        found = []
+        for _, first, last, k in occurrences[rows].tolist():
+            found.append((first, last, place[k], np.unpackbits(np.frombuffer(bits[k], np.uint8), count=last + 1 - first)))
+        yield document, found

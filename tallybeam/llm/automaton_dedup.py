@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from tallybeam.llm.anchors import among, anchored_runs, announcement, count_in_buckets, in_order, repeated
-from tallybeam.llm.shared import GROUP_BYTES, PACKED, WordHashes, bucket_of, id_or_null, in_groups, pack, packed, split_by, unpack
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, in_order, repeated
+from tallybeam.llm.shared import GROUP_BYTES, PACKED, WordHashes, bucket_of, id_or_null, in_groups, pack, packed, unpack
 
 LENGTH = 20
 GRAM = 8
@@ -104,33 +103,18 @@ def repeated_windows(passages: list[list[bytes]], length: int) -> list[np.ndarra
     return found
 
 
-def _words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _runs(texts: list[bytes], length: int, gram: int):
+    """Of each run of windows: text, first word, last window's first word, anchor hash."""
     lists = [t.split() for t in texts]  # bytes split at the six ASCII white-space characters
     sizes = np.array([len(w) for w in lists], np.int64)
-    return lists, sizes, HASHES.of([w for words in lists for w in words])
-
-
-def _runs(texts: list[bytes], length: int, gram: int):
-    """Words of the texts, and of each run of windows: text, first word, last window's first word, anchor hash."""
-    lists, sizes, hashes = _words(texts)
-    first, last, anchor = anchored_runs(hashes, sizes, length, gram)
+    first, last, _, anchor = anchored_runs(HASHES.of([w for words in lists for w in words]), sizes, length, gram)
     begins = np.cumsum(sizes) - sizes
     owner = np.searchsorted(begins, first, "right") - 1
-    return lists, owner, first - begins[owner], last - begins[owner], anchor
+    return owner, first - begins[owner], last - begins[owner], anchor
 
 
-def _passages(table: pa.Table, wanted: np.ndarray | None, length: int, gram: int):
-    """Portions of a group: ids, word lists, and the runs whose anchor is wanted with their passages."""
-    for ids, texts in in_order(table, PORTION):
-        lists, owner, first, last, anchor = _runs(texts, length, gram)
-        if wanted is not None:
-            keep = np.flatnonzero(among(anchor, wanted))
-            owner, first, last, anchor = owner[keep], first[keep], last[keep], anchor[keep]
-        yield ids, lists, list(zip(owner.tolist(), first.tolist(), last.tolist(), anchor.tolist(), strict=True))
-
-
-def _group_anchors(table: pa.Table, length: int, gram: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *[_runs(texts, length, gram)[4] for _, texts in in_order(table, PORTION)]])
+def _group_anchors(portions: list[tuple]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[p[-1] for p in portions]])
 
 
 SCHEMA = "id long, n_words long, n_removed long, kept_sha256 string"
@@ -144,89 +128,82 @@ def remove_repeats(
     buckets = max(1, groups // 4)
     schema = SCHEMA + (", kept string" if with_text else "")
 
+    def runs_of(table: pa.Table) -> list[tuple]:
+        return [(ids, texts, *_runs(texts, length, gram)) for ids, texts in in_order(table, PORTION)]
+
     def announce(table: pa.Table) -> pa.Table:
-        return announcement(table.column("g")[0].as_py(), _group_anchors(table, length, gram), buckets)[0]
+        return announcement(table.column("g")[0].as_py(), _group_anchors(runs_of(table)), buckets)[0]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed([])
-        wanted, _ = repeated(_group_anchors(table, length, gram), answers, buckets)
-        places: dict[bytes, tuple[int, int]] = {}
-        anchors = []
-        for ids, lists, runs in _passages(table, wanted, length, gram):
-            for owner, first, last, anchor in runs:
-                text = b" ".join(lists[owner][first : last + length])
-                place = ids[owner], first
-                old = places.get(text)
-                if old is None:
+        portions = runs_of(table)
+        wanted, _ = repeated(_group_anchors(portions), answers, buckets)
+        passages, anchors, before = Passages(), [], 0
+        for ids, texts, *runs in portions:
+            keep = np.flatnonzero(among(runs[-1], wanted))
+            at = words = None
+            for owner, first, last, anchor in zip(*[r[keep].tolist() for r in runs], strict=True):
+                if owner != at:
+                    at, words = owner, texts[owner].split()
+                if passages.add(b" ".join(words[first : last + length]), before + owner, (ids[owner], first), last):
                     anchors.append(anchor)
-                if old is None or place < old:
-                    places[text] = place
-        texts = list(places)
-        at = np.array(list(places.values()), np.int64).reshape(-1, 2)
-        anchors = np.array(anchors, np.uint64)
-        g = table.column("g")[0].as_py()
-        return packed([
-            (g, b, pack(at[own], anchors[own], [texts[k] for k in own]))
-            for b, own in split_by(bucket_of(anchors, buckets))
-        ])
+            before += len(ids)
+        bucket = bucket_of(np.array(anchors, np.uint64), buckets)
+        return passages.rows(table.column("g")[0].as_py(), bucket, buckets, anchors)
 
     def match(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket == buckets:
+            return table
         sent = [unpack(b) for b in table.column("blob").to_pylist()]
         places: dict[bytes, tuple[int, int]] = {}
         anchor_of: dict[bytes, int] = {}
-        for at, anchors, texts in sent:
-            for place, anchor, text in zip(map(tuple, at.tolist()), anchors.tolist(), texts, strict=True):
+        for at, texts, anchors in sent:
+            for place, anchor, text in zip(map(tuple, at.tolist()), anchors, texts, strict=True):
                 if text not in places or place < places[text]:
                     places[text] = place
                 anchor_of[text] = anchor
         # Equal windows have equal anchors, so an automaton needs the passages of some anchors only.
         order = sorted(places, key=lambda t: (anchor_of[t], places[t]))
-        answer: dict[bytes, np.ndarray] = {}
+        answer: dict[bytes, bytes] = {}
         begin = size = 0
         for k, text in enumerate(order):
             size += text.count(b" ") + 1
             if k + 1 == len(order) or size >= SHARD_WORDS and anchor_of[order[k + 1]] != anchor_of[text]:
                 shard = sorted(order[begin : k + 1], key=places.get)
                 flags = repeated_windows([t.split(b" ") for t in shard], length)
-                answer.update(zip(shard, map(np.packbits, flags), strict=True))
+                answer.update(zip(shard, [np.packbits(f).tobytes() for f in flags], strict=True))
                 begin, size = k + 1, 0
-        rows = []
-        for g, (_, _, texts) in zip(table.column("g").to_pylist(), sent, strict=True):
-            keys = b"".join(xxhash.xxh3_128_digest(t) for t in texts)
-            first = np.array([places[t] for t in texts], np.int64)
-            rows.append((g, table.column("bucket")[0].as_py(), pack(keys, first, [answer[t].tobytes() for t in texts])))
-        return packed(rows)
+        return packed([
+            (g, bucket, pack(np.array([places[t] for t in texts], np.int64).reshape(-1, 2), [answer[t] for t in texts]))
+            for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
+        ])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        known: dict[bytes, tuple[list[int], bytes]] = {}
-        for blob in answers.column("blob").to_pylist():
-            keys, first, flags = unpack(blob)
-            for k, (place, bits) in enumerate(zip(first.tolist(), flags, strict=True)):
-                known[keys[16 * k : 16 * k + 16]] = place, bits
+        found = dict(answered(answers, buckets))
         out: list[list] = [[] for _ in range(5)]
-        for ids, lists, runs in _passages(table, None, length, gram):
-            covered = [None] * len(lists)
-            for owner, first, last, _ in runs:
-                words = lists[owner]
-                found = known.get(xxhash.xxh3_128_digest(b" ".join(words[first : last + length]))) if known else None
-                if found is None:
-                    continue
-                if found[0] == [ids[owner], first]:
-                    gone = np.unpackbits(np.frombuffer(found[1], np.uint8), count=last + 1 - first)
-                else:
-                    gone = np.ones(last + 1 - first, np.uint8)
-                if covered[owner] is None:
-                    covered[owner] = np.zeros(len(words) + 1, np.int64)
-                starts = first + np.flatnonzero(gone)
-                covered[owner][starts] += 1
-                covered[owner][starts + length] -= 1
-            for key, words, cover in zip(ids, lists, covered, strict=True):
-                kept = words if cover is None else [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
-                text = b" ".join(kept)
-                row = key, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None
+        document = 0
+        for ids, texts in in_order(table, PORTION):
+            for key, text in zip(ids, texts, strict=True):
+                words = text.split()
+                size = len(words)
+                if document in found:
+                    cover = np.zeros(size + 1, np.int64)
+                    for first, last, place, bits in found[document]:
+                        if place == [key, first]:
+                            starts = first + np.flatnonzero(bits)
+                            cover[starts] += 1
+                            cover[starts + length] -= 1
+                        else:  # a later place of the passage
+                            cover[first] += 1
+                            cover[last + length] -= 1
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()]
+                kept = b" ".join(words)
+                row = key, size, size - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
+                document += 1
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
         names = ["id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
         return pa.table({n: pa.array(v, kind) for n, v, kind in zip(names, out, kinds, strict=False)})

@@ -62,6 +62,16 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def hashed_sample(docs: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashed ids.
+
+    Rows are thinned by another hash to about four times the sample first, so that each task sends a few.
+    """
+    thin = max(1, docs.count() // (4 * size))
+    few = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(thin)) == 0)
+    return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+
+
 def in_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """Documents as ``id, text, g`` partitioned by ``g``, and the number of groups.
 
@@ -135,6 +145,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of ``part`` with the positions that have it."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     values, starts = np.unique(part[order], return_index=True)
     for value, rows in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
