@@ -56,8 +56,22 @@ def json_scalar(json_text: Column, path: str) -> Column:
 
 
 def key_scalar(parsed: Column, json_text: Column, key: str) -> Column:
-    """Like :func:`json_scalar` for a top-level key already read by ``from_json``."""
-    return scalar_only(parsed.getField(key), json_text, _member(key))
+    """Like :func:`json_scalar` for a top-level key already read by ``from_json``.
+
+    Text that looks like an object may be a string that holds JSON. In compact JSON the sign after the key tells: inside a
+    string a quote is escaped, so ``"key":"`` and ``"key":{`` stand in the text as keys only. Where just one of them is
+    there, it decides; only rows with both (a deeper object has the key too) or none (spaces) are parsed once more.
+    """
+    text = parsed.getField(key)
+    nested = text.startswith("{") | text.startswith("[")
+    as_string = json_text.contains(f'"{key}":"')
+    as_nested = json_text.contains(f'"{key}":{{') | json_text.contains(f'"{key}":[')
+    return (
+        F.when(text.isNull() | ~nested, text)
+        .when(as_string & ~as_nested, text)
+        .when(as_nested & ~as_string, F.lit(None).cast("string"))
+        .when(variant_kind(json_text, _member(key)) == "STRING", text)
+    )
 
 
 def as_bigint(text: Column) -> Column:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallybeam.functions.jsonx import json_scalar
+from tallybeam.functions.jsonx import json_scalar, with_payload_keys
 from tallybeam.operators import base_view, ingest
 from tests.samples import envelope, messages
 
@@ -80,3 +80,23 @@ def test_json_scalar_paths(spark):
     df = spark.createDataFrame([('{"a":{"b":"x","c":[1]},"d.e":"y","s":"{\\"k\\":1}"}',)], "j string")
     picked = df.select(*[json_scalar(F.col("j"), p) for p in ("$.a.b", "$.a.c", "$.a", "$['d.e']", "$.s", "$.no")])
     assert list(picked.first()) == ["x", None, None, "y", '{"k":1}', None]
+
+
+def test_nested_looking_text(spark):
+    """Strings that hold JSON stay, objects and arrays are left out, however the key stands elsewhere in the payload."""
+    cases = {
+        '{"error":"{\\"code\\":1}"}': '{"code":1}',
+        '{"error":{"code":1}}': None,
+        '{"error":["a"]}': None,
+        '{"error":"[API Error]"}': "[API Error]",
+        '{"other":{"error":{"a":1}},"error":"{x"}': "{x",
+        '{"other":{"error":"{x"},"error":{"a":1}}': None,
+        '{"error": "{spaced"}': "{spaced",
+        '{"error": {"a": 1}}': None,
+        '{"note":"\\"error\\":{","error":"{y"}': "{y",
+        '{"error":"plain"}': "plain",
+        '{"a":1}': None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "jsonPayload_json string")
+    found = with_payload_keys(rows, {"error": "error"}).collect()
+    assert {r.jsonPayload_json: r.error for r in found} == cases
