@@ -21,12 +21,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybeam.llm.anchors import among, anchored_runs, announcement, count_in_buckets, in_order, repeated
-from tallybeam.llm.shared import GROUP_BYTES, PACKED, id_or_null, in_groups, mixed, pack, packed, split_by, unpack
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, in_order, repeated
+from tallybeam.llm.shared import GROUP_BYTES, PACKED, hashed_sample, id_or_null, in_groups, mixed, pack, packed, unpack
 
 LENGTH = 50
 GRAM = 16
@@ -104,34 +103,24 @@ def compare_across(low: bytes, leading: list[bytes], high: bytes | None) -> bool
 
 
 def _runs(texts: list[bytes], length: int, gram: int):
-    """Of each run of strings: text, first byte, last string's first byte, place of its anchor hash."""
+    """Of each run of strings: text, first byte, last string's first byte, first byte and hash of its anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    first, last, anchor = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), sizes, length, gram, byte_grams)
+    first, last, place, anchor = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), sizes, length, gram, byte_grams)
     begins = np.cumsum(sizes) - sizes
     owner = np.searchsorted(begins, first, "right") - 1
-    return owner, first - begins[owner], last - begins[owner], anchor
+    return owner, first - begins[owner], last - begins[owner], place - begins[owner], anchor
 
 
-def _group_anchors(table: pa.Table, length: int, gram: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *[_runs(texts, length, gram)[3] for _, texts in in_order(table, PORTION)]])
-
-
-def _leading(text: bytes, length: int, gram: int) -> bytes:
-    """The anchor of a candidate: the bytes of its smallest gram, leftmost of equals, common to all its strings."""
-    h = byte_grams(np.frombuffer(text, np.uint8), gram)
-    windows = len(text) - length + 1
-    shared = h[windows - 1 : length - gram + 1]
-    at = windows - 1 + int(np.argmin(shared >> np.uint64(24)))
-    return text[at : at + gram]
+def _group_anchors(portions: list[tuple]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[p[-1] for p in portions]])
 
 
 def sampled_splitters(docs: DataFrame, buckets: int, gram: int = GRAM) -> list[bytes]:
     """``buckets - 1`` sorted leading strings that cut the suffixes of a bounded sample of texts into equal parts."""
     if buckets < 2:
         return []
-    rows = docs.select(F.col("doc_id"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text is not null")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).select("text").collect()
-    texts = [r[0].encode() for r in rows]
+    rows = hashed_sample(docs.filter("text is not null"), SAMPLE_DOCUMENTS).select(F.substring("text", 1, SAMPLE_BYTES))
+    texts = [r[0].encode() for r in rows.collect()]
     heads = sorted({t[k : k + gram] for t in texts for k in range(0, len(t) - gram + 1, 7)})
     return [heads[len(heads) * k // buckets] for k in range(1, buckets)] if heads else []
 
@@ -148,33 +137,37 @@ def remove_repeats(
     splitters = sampled_splitters(docs, buckets, gram)
     schema = SCHEMA + (", kept binary" if with_bytes else "")
 
+    def runs_of(table: pa.Table) -> list[tuple]:
+        return [(ids, texts, *_runs(texts, length, gram)) for ids, texts in in_order(table, PORTION)]
+
     def announce(table: pa.Table) -> pa.Table:
-        return announcement(table.column("g")[0].as_py(), _group_anchors(table, length, gram), buckets)[0]
+        return announcement(table.column("g")[0].as_py(), _group_anchors(runs_of(table)), buckets)[0]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed([])
-        wanted, _ = repeated(_group_anchors(table, length, gram), answers, buckets)
-        smallest: dict[bytes, int] = {}
-        for ids, texts in in_order(table, PORTION):
-            owner, first, last, anchor = _runs(texts, length, gram)
-            keep = np.flatnonzero(among(anchor, wanted))
-            for k, low, high in zip(owner[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                smallest.setdefault(texts[k][low : high + length], ids[k])  # ids come in order
-        found = list(smallest)
-        heads = [_leading(t, length, gram) for t in found]
-        ids = np.array(list(smallest.values()), np.int64)
-        to = np.array([bisect_right(splitters, h) for h in heads], np.int64)
-        g = table.column("g")[0].as_py()
-        return packed([(g, b, pack(ids[own], [found[k] for k in own], [heads[k] for k in own])) for b, own in split_by(to)])
+        portions = runs_of(table)
+        wanted, _ = repeated(_group_anchors(portions), answers, buckets)
+        found, heads, before = Passages(), [], 0
+        for ids, texts, *runs in portions:
+            keep = np.flatnonzero(among(runs[-1], wanted))
+            for owner, first, last, place in zip(*[r[keep].tolist() for r in runs[:4]], strict=True):
+                text = texts[owner]
+                if found.add(text[first : last + length], before + owner, (ids[owner], first), last):
+                    heads.append(text[place : place + gram])
+            before += len(ids)
+        bucket = np.array([bisect_right(splitters, h) for h in heads], np.int64)
+        return found.rows(table.column("g")[0].as_py(), bucket, buckets, heads)
 
     def sort(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket == buckets:
+            return table
         sent = [unpack(b) for b in table.column("blob").to_pylist()]
         smallest: dict[bytes, int] = {}
         head_of: dict[bytes, bytes] = {}
-        for ids, texts, heads in sent:
-            for key, text, head in zip(ids.tolist(), texts, heads, strict=True):
+        for places, texts, heads in sent:
+            for key, text, head in zip(places[:, 0].tolist(), texts, heads, strict=True):
                 old = smallest.get(text)
                 if old is None or key < old:
                     smallest[text] = key
@@ -195,46 +188,34 @@ def remove_repeats(
                 for t, key, least in zip(part, own.tolist(), smallest_ids(part, own, length), strict=True):
                     answer[t] = np.packbits(least < key).tobytes()
                 begin, size = k + 1, 0
-        out = []
-        for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True):
-            keys = b"".join(xxhash.xxh3_128_digest(t) for t in texts)
-            out.append((g, bucket, pack(keys, np.array([smallest[t] for t in texts], np.int64), [answer[t] for t in texts])))
-        return packed(out)
+        return packed([
+            (g, bucket, pack(np.array([smallest[t] for t in texts], np.int64), [answer[t] for t in texts]))
+            for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
+        ])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        known: dict[bytes, tuple[int, bytes]] = {}
-        for blob in answers.column("blob").to_pylist():
-            keys, first, flags = unpack(blob)
-            for k, (key, bits) in enumerate(zip(first.tolist(), flags, strict=True)):
-                known[keys[16 * k : 16 * k + 16]] = key, bits
+        found = dict(answered(answers, buckets))
         out: list[list] = [[] for _ in range(6)]
+        document = 0
         for ids, texts in in_order(table, PORTION):
-            gone = [None] * len(texts)
-            if known:
-                owner, first, last, _ = _runs(texts, length, gram)
-                for k, low, high in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
-                    found = known.get(xxhash.xxh3_128_digest(texts[k][low : high + length]))
-                    if found is None:
-                        continue
-                    if gone[k] is None:
-                        gone[k] = np.zeros(len(texts[k]) + 1, np.int32)
-                    if found[0] < ids[k]:  # all strings are in the document that has them first
-                        gone[k][low] += 1
-                        gone[k][high + length] -= 1
-                    else:
-                        starts = low + np.flatnonzero(np.unpackbits(np.frombuffer(found[1], np.uint8), count=high + 1 - low))
-                        gone[k][starts] += 1
-                        gone[k][starts + length] -= 1
-            for key, text, marks in zip(ids, texts, gone, strict=True):
-                removed = spans = 0
-                if marks is not None:
+            for key, text in zip(ids, texts, strict=True):
+                size, removed, spans = len(text), 0, 0
+                if document in found:
+                    marks = np.zeros(size + 1, np.int32)
+                    for first, last, smallest, bits in found[document]:
+                        if smallest == key:
+                            starts = first + np.flatnonzero(bits)
+                            marks[starts] += 1
+                            marks[starts + length] -= 1
+                        else:  # a document before this one has the whole stretch
+                            marks[first] += 1
+                            marks[last + length] -= 1
                     covered = np.cumsum(marks[:-1]) > 0
                     removed, spans = int(covered.sum()), int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
-                    size, text = len(text), np.frombuffer(text, np.uint8)[~covered].tobytes()
-                else:
-                    size = len(text)
+                    text = np.frombuffer(text, np.uint8)[~covered].tobytes()
                 for column, value in zip(out, (key, size, removed, spans, hashlib.sha256(text).hexdigest(), text), strict=True):
                     column.append(value)
+                document += 1
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes]
         return pa.table({n: pa.array(v, kind) for n, v, kind in zip(names, out, kinds, strict=False)})
