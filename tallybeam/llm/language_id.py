@@ -6,7 +6,7 @@ score for each language. Every byte of a text is read. Stretches are grouped by
 thousand of them; gates use the rational function x / (1 + |x|), which costs less than the exponential.
 
 The network is fitted by backpropagation through time, on the driver, with a sample of at most ``SAMPLE`` labelled texts
-(those with the smallest hashed ids) and one stretch of each at most ``SAMPLE_STRETCHES`` times; both are parameters.
+(thinned and chosen by hashed ids) and one stretch of each at most ``SAMPLE_STRETCHES`` times; both are parameters.
 
 Null text and text without a letter get ``und`` and score 0. Rows without a language are predicted but not learned from.
 Without any labelled row every text is ``und``. Repeated rows are predicted each by itself; other columns are ignored.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybeam.llm.shared import batches_of, raw_texts
+from tallybeam.llm.shared import batches_of, hashed_sample, raw_texts
 
 UNDECIDED = "und"
 STRETCH = 96
@@ -187,7 +187,7 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, learnable: Column, size: int = SAMPLE) -> list[tuple[bytes, str]]:
     """At most ``size`` labelled texts, and of a long one 16 KB from its middle."""
     rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    chosen = hashed_sample(rows, size)
     middle = F.greatest(F.lit(1), (F.length("text") / 2 - 8192).cast("int"))
     return [(r[0].encode(), r[1]) for r in chosen.select(F.substring("text", middle, F.lit(16384)), "lang").collect()]
 
