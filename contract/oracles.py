@@ -170,15 +170,20 @@ EXTRACTED = [
     "function_duration_ms", "function_success", "tool_type", "mcp_server_name", "duration_ms", "status_code",
     "error", "error_message", "error_code", "resource_project_id", "user_email", "cli_version",
 ]
-NEVER_FILLED = {"event_domain", "event_timestamp", "model_name", "auth_type", "prompt_id", "gen_ai_request_model"}
+# Filled by the faults that the registry adds, in every third event that is no inference event.
+ADDED = {"event_domain", "event_timestamp", "model_name", "auth_type", "prompt_id", "gen_ai_request_model"}
 
 
 def _coverage() -> str:
+    def filled(name: str) -> str:
+        if name in ADDED:
+            return cnt("event_id % 3 = 0 AND event_id % 31 <> 0")
+        if name == "cli_version":
+            return cnt("cli_version IS NOT NULL AND event_id % 17 <> 0")
+        return f"count({name.replace('function_duration', 'duration')})"
+
     rows = " UNION ALL ".join(
-        f"SELECT '{name}' AS column_name, "
-        f"{'CAST(0 AS BIGINT)' if name in NEVER_FILLED else f'count({name.replace('function_duration', 'duration')})'} "
-        f"AS filled, count(*) AS total_rows FROM av"
-        for name in EXTRACTED
+        f"SELECT '{name}' AS column_name, {filled(name)} AS filled, count(*) AS total_rows FROM av" for name in EXTRACTED
     )
     return f"SELECT *, round(CAST(filled AS DOUBLE) / total_rows, 6) AS share FROM ({rows})"
 
@@ -186,10 +191,12 @@ def _coverage() -> str:
 def _validity() -> str:
     present = {
         "resource_json": "count(*)", "labels_json": "count(cli_version)", "operation_json": "count(operation_id)",
-        "httpRequest_json": "count(NULL)", "jsonPayload_json": "count(*)",
+        "httpRequest_json": cnt("event_id % 29 = 0"), "jsonPayload_json": "count(*)",
     }
+    invalid = {"labels_json": cnt("cli_version IS NOT NULL AND event_id % 17 = 0")}
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS column_name, {n} AS present, {n} AS valid, CAST(0 AS BIGINT) AS invalid FROM av"
+        f"SELECT '{name}' AS column_name, {n} AS present, {n} - {invalid.get(name, '0')} AS valid, "
+        f"CAST({invalid.get(name, '0')} AS BIGINT) AS invalid FROM av"
         for name, n in present.items()
     )
 
@@ -291,7 +298,7 @@ def _finals() -> dict[str, str]:
  UNION ALL SELECT 'diag-' || insert_id, CAST(1 AS BIGINT) FROM av WHERE event_id % 103 = 0""",
         "exclude_diagnostic": f"SELECT insert_id, CAST(1 + CASE WHEN {api_ids} THEN 1 ELSE 0 END AS BIGINT) AS messages FROM av",
         "dead_letter": f"""SELECT 'malformed_json' AS reason, {cnt('event_id % 101 = 0')} + {cnt('event_id % 211 = 0')}
- AS messages FROM av""",
+ AS messages FROM av UNION ALL SELECT 'not_an_object', {cnt('event_id % 41 = 0')} FROM av""",
         "dedup_insert_id": 'SELECT insert_id AS "insertId", "receiveTimestamp" FROM av',
         "raw_partition_counts": raw_days + " GROUP BY day",
         "raw_schema_doc": _schema_doc(),
@@ -554,12 +561,12 @@ def _finals() -> dict[str, str]:
  {cnt('event_id % 107 = 0')} AS other_logs, {cnt('event_id % 103 = 0')} AS diagnostics,
  count(*) + {cnt('event_id % 97 = 0')} AS routed, {cnt('event_id % 97 = 0')} AS duplicates, count(*) AS loaded
  FROM av)""",
-        "m_missing_ids": 'SELECT insert_id AS "insertId" FROM av WHERE false',
-        "m_structure": """SELECT count(*) AS total_rows, count(*) AS well_formed, CAST(0 AS BIGINT) AS without_timestamp,
- CAST(0 AS BIGINT) AS without_log_name FROM av""",
+        "m_missing_ids": 'SELECT insert_id AS "insertId" FROM av WHERE event_id % 37 = 0',
+        "m_structure": f"""SELECT count(*) AS total_rows, {cnt('event_id % 19 <> 0 AND event_id % 23 <> 0')} AS well_formed,
+ {cnt('event_id % 19 = 0')} AS without_timestamp, {cnt('event_id % 23 = 0')} AS without_log_name FROM av""",
         "m_latest_log": """SELECT max(ts) AS latest_timestamp, count(*) AS log_count FROM
  (SELECT ts FROM av WHERE ts >= TIMESTAMP '2024-01-29 23:59:00')""",
-        "m_inference_flags": f"""SELECT count(*) AS log_count, CAST(0 AS BIGINT) AS inference_logs,
+        "m_inference_flags": f"""SELECT count(*) AS log_count, {cnt('event_id % 31 = 0')} AS inference_logs,
  {cnt('event_id % 13 = 0')} AS tool_call_logs FROM av""",
         "m_audit_errors": """SELECT CASE WHEN event_id % 3 = 0 THEN 'google.logging.v2.ConfigServiceV2.CreateSink'
  ELSE 'google.logging.v2.ConfigServiceV2.UpdateSink' END AS method_name, count(*) AS error_count FROM av

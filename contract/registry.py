@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,11 @@ def exclude_diagnostic(spark, sf_dir):
 
 
 def dead_letter(spark, sf_dir):
-    rejected = ingest.dead_letters(adapter.messages(spark, sf_dir))
+    """Rejected messages by reason; every 41st event comes once more as a bare JSON string."""
+    messages = adapter.messages(spark, sf_dir)
+    scalars = adapter.flat_events(spark, sf_dir).filter("event_id % 41 = 0").select(F.to_json(F.array("insert_id")).alias("value"))
+    bare = scalars.select(F.expr("substring(value, 2, length(value) - 2)").alias("value"))
+    rejected = ingest.dead_letters(messages.unionByName(bare))
     return rejected.groupBy("reason").agg(F.count("*").alias("messages"))
 
 
@@ -365,8 +369,37 @@ def reconciliation(spark, sf_dir):
     return checks.reconciliation(adapter.messages(spark, sf_dir), adapter.raw(spark, sf_dir), adapter.PROJECT)
 
 
+def event_number() -> Column:
+    """The event that a stored row came from, by its id."""
+    return F.regexp_extract("insertId", r"(\d+)$", 1).cast("bigint")
+
+
+def with_faults(raw: DataFrame) -> DataFrame:
+    """Raw rows with what the checks look for: cut-off labels, lost times and log names, inference events, and the payload
+    keys and blobs that ordinary events leave out."""
+    number = event_number()
+    inference = F.replace("jsonPayload_json", F.lit('"event.name":"gemini_cli.'), F.lit('"event.name":"gen_ai.client.inference.'))
+    keys = ("event.domain", "event.timestamp", "model_name", "auth_type", "prompt_id", "gen_ai.request.model")
+    more = ",".join(f'"{key}":"x"' for key in keys)
+    filled = F.concat(F.lit(f"{{{more},"), F.substring("jsonPayload_json", F.lit(2), F.length("jsonPayload_json")))
+    return raw.withColumns({
+        "labels_json": F.when(number % 17 == 0, F.substring("labels_json", 1, 5)).otherwise(F.col("labels_json")),
+        "timestamp": F.when(number % 19 != 0, F.col("timestamp")),
+        "logName": F.when(number % 23 != 0, F.col("logName")),
+        "httpRequest_json": F.when(number % 29 == 0, F.lit('{"requestMethod":"GET"}')),
+        "spanId": F.when(number % 29 == 0, F.lit("span")),
+        "jsonPayload_json": F.when(number % 31 == 0, inference).when(number % 3 == 0, filled).otherwise(F.col("jsonPayload_json")),
+    })
+
+
+def faulty(function: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: function(with_faults(adapter.raw(spark, sf_dir)))
+
+
 def missing_ids(spark, sf_dir):
-    return checks.missing_ids(adapter.messages(spark, sf_dir), adapter.raw(spark, sf_dir), adapter.PROJECT)
+    """Ids that a table lost."""
+    raw = adapter.raw(spark, sf_dir).filter(event_number() % 37 != 0)
+    return checks.missing_ids(adapter.messages(spark, sf_dir), raw, adapter.PROJECT)
 
 
 def audit_errors(spark, sf_dir):
@@ -541,13 +574,13 @@ def all_queries() -> dict[str, Query]:
         "redacted_view": over_raw(redacted_view),
         "m_freshness": over_raw(checks.freshness, "2024-01-30 12:00:00"),
         "m_timestamp_match": over_raw(checks.timestamp_match, "2024-01-15 12:00:00", minutes=30),
-        "m_json_validity": over_raw(checks.json_validity),
-        "m_extraction_coverage": over_base(checks.extraction_coverage),
+        "m_json_validity": faulty(checks.json_validity),
+        "m_extraction_coverage": faulty(lambda raw: checks.extraction_coverage(base_view.analytics_view(raw))),
         "m_reconciliation": reconciliation,
         "m_missing_ids": missing_ids,
-        "m_structure": over_raw(checks.structure),
+        "m_structure": faulty(checks.structure),
         "m_latest_log": over_raw(checks.latest_log, "2024-01-30 23:59:00", minutes=1440),
-        "m_inference_flags": over_raw(checks.inference_flags),
+        "m_inference_flags": faulty(checks.inference_flags),
         "m_audit_errors": audit_errors,
         "m_ingest_lag": over_raw(checks.ingest_lag, limit_seconds=60),
         "m_dead_letter_rate": dead_letter_rate,
