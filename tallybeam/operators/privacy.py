@@ -104,9 +104,12 @@ def user_days(spark: SparkSession, root: str, email: str) -> list[date | None]:
     if not folders.exists(spark, base_path):
         return tables.stored_days(raw.filter(_of_user(raw, email)))
     days = tables.stored_days(tables.read_base(spark, base_path).filter(F.col(USER_EMAIL) == email))
-    stored = {path: set(folders.matching(spark, f"{path}/day=*/batch=*")) for path in (tables.raw_path(root), base_path)}
-    names = [{p.partition(path)[2] for p in found} for path, found in stored.items()]
-    behind = {n.rpartition("=")[2] for n in names[0] - names[1]}
+    # Folders of a day and batch that the raw table has and the base table doesn't.
+    raw_names, base_names = (
+        {p.rpartition("/day=")[2] for p in folders.matching(spark, f"{path}/day=*/batch=*")}
+        for path in (tables.raw_path(root), base_path)
+    )
+    behind = {n.rpartition("=")[2] for n in raw_names - base_names}
     if behind:
         days += tables.stored_days(raw.filter(F.col("batch").isin(sorted(behind)) & _of_user(raw, email)))
     return sorted(set(days), key=lambda d: (d is not None, d))
