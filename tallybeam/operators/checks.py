@@ -97,7 +97,8 @@ def missing_ids(messages: DataFrame, raw: DataFrame, project: str) -> DataFrame:
     moment = F.to_date(F.col("envelope.timestamp").try_cast("timestamp"))
     ids = routed.select(moment.alias("day"), F.col("envelope.insertId").alias("insertId")).filter("insertId is not null")
     first, last = ids.agg(F.min("day"), F.max("day")).first()
-    stored = raw.filter(F.col("day").between(F.lit(first), F.lit(last)) | F.col("day").isNull())
+    day = event_day(raw)
+    stored = raw.filter(day.between(F.lit(first), F.lit(last)) | day.isNull()).select(day.alias("day"), "insertId")
     same = ids["day"].eqNullSafe(stored["day"]) & (ids["insertId"] == stored["insertId"])
     return ids.join(stored, same, "left_anti").select("insertId").distinct()
 
