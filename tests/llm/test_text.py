@@ -86,7 +86,7 @@ def test_lm_windows_equal_one_pass():
     text = rng.integers(0, 60, 130)
     whole = lm_scoring.id_scores(model, [text])
     assert len(whole) == 130
-    for k in (0, 5, 23, 24, 77, 129):
+    for k in (0, 5, 15, 16, 77, 129):
         prefix = lm_scoring.id_scores(model, [text[: k + 1]])
         assert abs(prefix[-1] - whole[k]) < 1e-4
 
