@@ -188,7 +188,7 @@ def _as_lists(values: list[np.ndarray]) -> pa.Array:
 def shared_shingles(docs: DataFrame, nodes: DataFrame, size: int, percent: int, group_bytes: int) -> DataFrame:
     """Per row whose ``id`` is in ``nodes``: digest of its words, set size, prefix shingles that others have, all shingles that others have."""
     rows, groups = in_groups(docs, group_bytes)
-    buckets = max(1, groups // 4)
+    buckets = groups  # a bucket has about as many hashes as a group
     wanted = nodes.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("g").agg(F.collect_list("id").alias("ids"))
     wanted = wanted.select("g", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids")
 
@@ -275,7 +275,7 @@ def components(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group_bytes: int = GROUP_BYTES, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``."""
-    keyed = docs.select(id_or_least().alias("id"), normal_digest(text_or_empty()).alias("digest"))
+    keyed = stored(docs.select(id_or_least().alias("id"), normal_digest(text_or_empty()).alias("digest")), "jaccard-digests")
     same = keyed.groupBy("digest").agg(F.min("id").alias("node"))
     keyed = stored(keyed.join(same, "digest").select("id", "node", "digest"), "jaccard-nodes")
     nodes = stored(shared_shingles(docs, keyed.select(F.col("node").alias("id")).distinct(), size, percent, group_bytes), "jaccard-sets")
