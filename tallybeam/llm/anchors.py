@@ -180,22 +180,39 @@ class Passages:
         return packed([*rows, (g, buckets, pack(occurrences, bucket.astype(np.int32)))] if texts else [])
 
 
-def answered(answers: pa.Table, buckets: int) -> Iterator[tuple[int, list[tuple[int, int, list[int], np.ndarray]]]]:
-    """Per document that has any: first start, last start, first place and bits of each occurrence of a candidate.
+def answered(answers: pa.Table, buckets: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]]:
+    """Per document that has any candidates: first and last start, first place and bits of each occurrence.
 
-    A bucket answers with the first place of each stretch it got and, packed, one bit for each window.
+    A bucket answers with the first places of the stretches it got, one row each, and, packed, one bit for each window.
     """
     blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
     if buckets not in blobs:
         return
     occurrences, bucket = unpack(blobs.pop(buckets))
-    place, bits = [None] * len(bucket), [None] * len(bucket)
+    place, bits = None, [b""] * len(bucket)
     for b, own in split_by(bucket):
         places, flags = unpack(blobs[b])
-        for k, at, flag in zip(own.tolist(), places.tolist(), flags, strict=True):
-            place[k], bits[k] = at, flag
+        if place is None:
+            place = np.zeros((len(bucket), *places.shape[1:]), np.int64)
+        place[own] = places
+        for k, flag in zip(own.tolist(), flags, strict=True):
+            bits[k] = flag
     for document, rows in split_by(occurrences[:, 0]):
-        found = []
-        for _, first, last, k in occurrences[rows].tolist():
-            found.append((first, last, place[k], np.unpackbits(np.frombuffer(bits[k], np.uint8), count=last + 1 - first)))
-        yield document, found
+        _, first, last, k = occurrences[rows].T
+        yield document, (first, last, place[k], [bits[x] for x in k.tolist()])
+
+
+def covered(size: int, length: int, first: np.ndarray, last: np.ndarray, own: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which of a document's tokens a repeated window covers.
+
+    In an ``own`` occurrence, the first of its stretch, the windows with a bit are repeated, else all are.
+    """
+    marks = np.zeros(size + 1, np.int32)
+    np.add.at(marks, first[~own], 1)
+    np.add.at(marks, last[~own] + length, -1)
+    for k in np.flatnonzero(own).tolist():
+        if any(bits[k]):
+            starts = first[k] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[k], np.uint8), count=last[k] + 1 - first[k]))
+            marks[starts] += 1
+            marks[starts + length] -= 1
+    return np.cumsum(marks[:-1]) > 0

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, in_order, repeated
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, in_order, repeated
 from tallybeam.llm.shared import GROUP_BYTES, PACKED, WordHashes, bucket_of, id_or_null, in_groups, pack, packed, unpack
 
 LENGTH = 20
@@ -189,16 +189,10 @@ def remove_repeats(
                 words = text.split()
                 size = len(words)
                 if document in found:
-                    cover = np.zeros(size + 1, np.int64)
-                    for first, last, place, bits in found[document]:
-                        if place == [key, first]:
-                            starts = first + np.flatnonzero(bits)
-                            cover[starts] += 1
-                            cover[starts + length] -= 1
-                        else:  # a later place of the passage
-                            cover[first] += 1
-                            cover[last + length] -= 1
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()]
+                    first, last, place, bits = found[document]
+                    own = (place[:, 0] == key) & (place[:, 1] == first)
+                    gone = covered(size, length, first, last, own, bits)
+                    words = [words[k] for k in np.flatnonzero(~gone).tolist()]
                 kept = b" ".join(words)
                 row = key, size, size - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
                 for column, value in zip(out, row, strict=True):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, in_order, repeated
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, in_order, repeated
 from tallybeam.llm.shared import GROUP_BYTES, PACKED, hashed_sample, id_or_null, in_groups, mixed, pack, packed, unpack
 
 LENGTH = 50
@@ -133,7 +133,7 @@ def remove_repeats(
 ) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and the kept bytes if asked for."""
     rows, groups = in_groups(docs, group_bytes)
-    buckets = max(1, groups // 4)
+    buckets = max(1, groups // 2)
     splitters = sampled_splitters(docs, buckets, gram)
     schema = SCHEMA + (", kept binary" if with_bytes else "")
 
@@ -201,18 +201,10 @@ def remove_repeats(
             for key, text in zip(ids, texts, strict=True):
                 size, removed, spans = len(text), 0, 0
                 if document in found:
-                    marks = np.zeros(size + 1, np.int32)
-                    for first, last, smallest, bits in found[document]:
-                        if smallest == key:
-                            starts = first + np.flatnonzero(bits)
-                            marks[starts] += 1
-                            marks[starts + length] -= 1
-                        else:  # a document before this one has the whole stretch
-                            marks[first] += 1
-                            marks[last + length] -= 1
-                    covered = np.cumsum(marks[:-1]) > 0
-                    removed, spans = int(covered.sum()), int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
-                    text = np.frombuffer(text, np.uint8)[~covered].tobytes()
+                    first, last, smallest, bits = found[document]
+                    gone = covered(size, length, first, last, smallest == key, bits)
+                    removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                    text = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 for column, value in zip(out, (key, size, removed, spans, hashlib.sha256(text).hexdigest(), text), strict=True):
                     column.append(value)
                 document += 1
