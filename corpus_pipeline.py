@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallybeam.llm import exact_dedup, jaccard_join, language_id, packing, queries, secret_links
 from tallybeam.llm.shared import id_or_least, stored
 
+BROADCAST_IDS = 1_000_000  # about 16 MB
 LEAST_SCORE = 0.3  # of the language; a text whose best language is less likely has none
 
 
@@ -33,6 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group that shingle similarity links, the one with the smallest id."""
     found = stored(jaccard_join.components(docs), "components")
     gone = found.filter("not doc_id <=> component_id").select(id_or_least("doc_id").alias("gone")).distinct()
+    # Few enough ids go to every executor, so that the texts need no exchange; else Spark joins by exchange.
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, id_or_least("doc_id") == F.col("gone"), "left_anti")
 
 
