@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, lm_scoring, packing, pieces, secret_links, simhash, suffix_dedup
+from tallybeam.llm.shared import small_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
