@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybeam.llm import exact_dedup, jaccard_join, language_id, packing, queries, secret_links
-from tallybeam.llm.shared import id_or_least, stored
+from tallybeam.llm.shared import id_or_least, small_batches, stored
 
 BROADCAST_IDS = 1_000_000  # about 16 MB
 LEAST_SCORE = 0.3  # of the language; a text whose best language is less likely has none
@@ -21,6 +21,7 @@ LEAST_SCORE = 0.3  # of the language; a text whose best language is less likely
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or of which no language is likely, go."""
+    small_batches(spark)
     net = language_id.fit(language_id.training_sample(docs, F.lit(True)))
     return language_id.with_language(docs, net, LEAST_SCORE)
 
@@ -32,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle similarity links, the one with the smallest id."""
+    small_batches(spark)
     found = stored(jaccard_join.components(docs), "components")
     gone = found.filter("not doc_id <=> component_id").select(id_or_least("doc_id").alias("gone")).distinct()
     # Few enough ids go to every executor, so that the texts need no exchange; else Spark joins by exchange.
@@ -42,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret that the scan reports replaced by a mark; a given ``n_chars`` follows the text."""
+    small_batches(spark)
     clean = secret_links.redacted(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -51,6 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"))
 
 
