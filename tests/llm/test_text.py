@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallybeam.llm import language_id, lm_scoring, packing, pieces, queries, secret_links, simhash
 from tests.conftest import SF_DIR
-from tests.llm.samples import collected, frame, odd_rows
+from tests.llm.samples import collected, frame, odd_rows, sentences
 
 BYTE_BPE, PIECE_BPE = (queries.tokenizer(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -91,6 +91,22 @@ def test_lm_windows_equal_one_pass():
         assert abs(prefix[-1] - whole[k]) < 1e-4
 
 
+def test_lm_word_of_many_ids(spark):
+    """A word of more than 65,536 ids, scored like any other and without harm to the texts beside it."""
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 300_000))
+    rows = [(1, f"before {long} after"), *[(k, sentences(k, 40)) for k in range(2, 9)]]
+    found = {r.doc_id: r.score for r in lm_scoring.score_texts(frame(spark, rows), BYTE_BPE, F.lit(False)).collect()}
+    coder = lm_scoring.subwords(BYTE_BPE)
+    model = lm_scoring.new_model(np.zeros(coder.size, np.int64))
+    for key, text in rows:
+        words = lm_scoring.words_of(text.encode())
+        sizes, ids = coder.packed(words)
+        assert (sizes.max() > 65_536) == (key == 1)
+        direct = lm_scoring.id_scores(model, [ids]).sum(dtype=np.float64) + len(words) * math.log10(1 - lm_scoring.MIX)
+        assert math.isclose(found[key], direct, rel_tol=1e-4), key
+
+
 # Language
 
 
