@@ -8,7 +8,9 @@ each document the smallest id that links reach.
    have too. A node that links must share one of its rarest shingles, as many as may be missing plus one: its prefix.
    Nodes without a shared shingle there are done; the others are stored with their shared shingles.
 3. Nodes that share a prefix shingle form blocks (connected components, so a block holds every link of its nodes). Blocks
-   go to tasks; a block too large for a task is cut into chunks and each pair of chunks is a task.
+   go to tasks; a block too large for a task is cut into chunks and is searched in two rounds. First each chunk by itself,
+   beside a few pivots of the block that are in all chunks, so that a family of near copies hangs together already. Then
+   pairs of chunks, without the pairs inside the largest component, whose members need no more links.
 4. In a block, each node searches the inverted lists of its shingles for nodes that occur in at least T of them, T being
    the overlap that the sizes require: with DivideSkip, the long lists are set aside, the short ones are merged with a
    threshold lowered by their number, and the survivors are probed in the long lists by binary search. Nodes already
@@ -37,6 +39,7 @@ SHINGLE = 5
 PERCENT = 75
 PORTION = 1 << 20
 BLOCK_TOKENS = 3_000_000
+PIVOTS = 16
 SET_ASIDE = 12  # short lists must still share this many shingles, so that merging leaves few candidates
 
 HASHES = WordHashes()
@@ -233,6 +236,49 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, size: int, percent: int,
     return rows.groupBy("g").cogroup(answers.unionByName(wanted).groupBy("g")).applyInArrow(select, NODES)
 
 
+def first_round(members: DataFrame) -> DataFrame:
+    """Members of blocks dealt to chunks, and a few of each large block, its pivots, to all of its chunks."""
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    order = F.xxhash64("id", F.lit(7))
+    one = F.min_by(F.struct("chunks", "mine", "id", "n", "shared"), F.struct(order, "n")).alias("one")
+    pivots = dealt.filter("chunks > 1").groupBy("block", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(one).select("block", "one.*")
+    pivots = pivots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other != mine")
+    columns = ["block", "low", "high", "mine", "id", "n", "shared"]
+    return dealt.withColumns({"low": F.col("mine"), "high": F.col("mine")}).select(columns).unionByName(
+        pivots.withColumns({"low": F.col("other"), "high": F.col("other")}).select(columns)
+    )
+
+
+def second_round(members: DataFrame, roots: DataFrame, block_tokens: int) -> tuple[DataFrame, int]:
+    """What the first round left in large blocks: pairs of chunks, but none of two chunks of the block's largest component.
+
+    Members of one component need no link, so the largest component meets the other members only, and itself never. The
+    number is that of all dealt shingles, copies included.
+    """
+    members = members.join(roots.distinct(), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tokens = members.groupBy("block", "root").agg(F.sum(F.size("shared")).alias("tokens"))
+    most = F.max(F.struct("tokens", "root")).alias("most")
+    parts = tokens.groupBy("block").agg(most, (F.sum("tokens") - F.max("tokens")).alias("rest")).filter("rest > 0")
+    count = lambda of: F.ceil(F.col(of) / F.lit(block_tokens)).cast("int")
+    chunks = parts.select("block", F.col("most.root").alias("largest"), count("most.tokens").alias("large_chunks"), count("rest").alias("rest_chunks"))
+    most, rest = F.col("most.tokens"), F.col("rest")
+    total = parts.agg(F.sum(rest * (count("rest") + count("most.tokens")) + most * count("rest"))).first()[0] or 0
+    dealt = members.join(chunks, "block")
+    inside = F.col("root") == F.col("largest")
+    key = F.xxhash64("id", F.lit(11))
+    mine = F.when(inside, F.col("rest_chunks") + F.pmod(key, F.col("large_chunks"))).otherwise(F.pmod(key, F.col("rest_chunks")))
+    others = F.when(inside, F.col("rest_chunks")).otherwise(F.col("rest_chunks") + F.col("large_chunks"))
+    dealt = dealt.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))
+    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    return dealt.select("block", "low", "high", "mine", "id", "n", "shared"), total
+
+
+def in_tasks(dealt: DataFrame, total: int, block_tokens: int) -> DataFrame:
+    """Dealt rows with a task, of which there are as many as ``total`` shingles need."""
+    tasks = max(1, -(-total // max(1, block_tokens // 4)))
+    return dealt.withColumn("task", F.pmod(F.xxhash64("block", "low", "high"), F.lit(tasks)).cast("int"))
+
+
 def links(nodes: DataFrame, percent: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``u, v``: links that hold all linked nodes together."""
     active = nodes.filter("size(prefix) > 0")
@@ -244,14 +290,7 @@ def links(nodes: DataFrame, percent: int, block_tokens: int = BLOCK_TOKENS) -> D
     members = active.join(blocks, "id").select("id", "n", "shared", F.col("root").alias("block"))
     sizes = members.groupBy("block").agg(F.sum(F.size("shared")).alias("tokens"))
     chunks = F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int")
-    dealt = members.join(sizes.select("block", chunks.alias("chunks")), "block")
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    tasks = max(1, -(-total // (block_tokens // 4)))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("block", "low", "high"), F.lit(tasks)).cast("int"))
-    dealt = dealt.select("task", "block", "low", "high", "mine", "id", "n", "shared")
+    members = members.join(sizes.select("block", chunks.alias("chunks")), "block")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("low", "ascending"), ("high", "ascending"), ("n", "ascending"), ("id", "ascending")])
@@ -268,7 +307,17 @@ def links(nodes: DataFrame, percent: int, block_tokens: int = BLOCK_TOKENS) -> D
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.groupBy("task").applyInArrow(search, LINKS)
+    def searched(dealt: DataFrame, total: int) -> DataFrame:
+        return in_tasks(dealt, total, block_tokens).groupBy("task").applyInArrow(search, LINKS)
+
+    total, most = sizes.agg(F.sum("tokens"), F.max("tokens")).first()
+    found = searched(first_round(members), total or 0)
+    if (most or 0) <= block_tokens:  # no block was cut, so the second round has no rows
+        return found
+    found = stored(found, "jaccard-first-links")
+    large = members.filter("chunks > 1").drop("chunks")
+    roots = connected(found.join(large.select(F.col("id").alias("u")).distinct(), "u", "left_semi"), "jaccard-first-roots")
+    return found.unionByName(searched(*second_round(large, roots, block_tokens)))
 
 
 def components(

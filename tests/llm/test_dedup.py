@@ -175,6 +175,35 @@ def test_family_of_near_copies():
     assert forest.roots(np.arange(len(texts))).tolist() == [c for _, _, c in expected]
 
 
+def test_large_family_is_dealt_in_bounded_tasks(spark):
+    """A family of many chunks is not copied to every pair of them, and no task gets more than a pair of chunks or so."""
+    base, rng = [f"b{k}" for k in range(300)], np.random.default_rng(8)
+    rows = []
+    for key in range(400):
+        words = list(base)
+        words[rng.integers(len(words))] = f"e{rng.integers(10**6)}"
+        rows.append((key, " ".join(words)))
+    # Texts that hang together with the family by a shingle that is rare in both, but link with none of it.
+    rows += [(400 + k, " ".join(rows[k][1].split()[:40] + [f"o{k}x{j}" for j in range(60)])) for k in range(40)]
+    docs, limit, dealt = frame(spark, rows), 6000, []
+    original = jaccard_join.in_tasks
+
+    def watched(*arguments):
+        found = original(*arguments)
+        dealt.append(found.groupBy("task").agg(F.sum(F.size("shared"))).collect())
+        return found
+
+    jaccard_join.in_tasks = watched
+    try:
+        found = by_row(jaccard_join.components(docs, block_tokens=limit), "doc_id", "n_shingles", "component_id")
+    finally:
+        jaccard_join.in_tasks = original
+    assert found == sorted(expected_components(rows))
+    whole = 400 * 296
+    assert sum(tokens for tasks in dealt for _, tokens in tasks) < 4 * whole  # all pairs of chunks: 20 times
+    assert max(tokens for tasks in dealt for _, tokens in tasks) < 6 * limit
+
+
 def test_anchors_are_chosen_by_content():
     rng = np.random.default_rng(3)
     shared = rng.integers(0, 2**63, 60).astype(np.uint64)
