@@ -6,6 +6,9 @@ about half of ``length - gram`` windows. Only windows whose anchor occurs twice
 
 The exchange has two rounds. Each group of documents sends the sorted distinct anchor hashes it has to buckets of the hash;
 a bucket answers each group which of them were seen more than once. A list is answered in its own order by one bit each.
+
+An anchor in very many different stretches is hot: its windows go to tasks one by one, by the hash of the whole window, so
+equal windows still meet and no task gets all stretches of one anchor.
 """
 
 from __future__ import annotations
@@ -83,9 +86,33 @@ def unpack_sorted(planes: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def announcement(g: int, hashes: np.ndarray, buckets: int) -> tuple[pa.Table, np.ndarray]:
-    """Rows that tell the buckets which hashes group ``g`` has, each with its count."""
+def crowd(values: np.ndarray, counts: np.ndarray, stretches: Iterator[tuple[int, bytes]]) -> np.ndarray:
+    """Counts of a group's anchors of which those seen three times or more are of distinct stretches, but two at least.
+
+    ``stretches`` gives each anchor and its stretch for occurrences of anchors in ``values[counts > 2]``.
+    """
+    found: dict[int, set[bytes]] = {}
+    for anchor, text in stretches:
+        found.setdefault(anchor, set()).add(text)
+    often = np.flatnonzero(counts > 2)
+    out = counts.copy()
+    out[often] = [max(2, len(found[v])) for v in values[often].tolist()]
+    return out
+
+
+def hot_anchors(wanted: np.ndarray, totals: np.ndarray, limit: int, groups: int) -> np.ndarray:
+    """The sorted anchors that stand in too many different stretches for one task; the same in each group.
+
+    A stretch counts once or twice for each group that has it, so the limit isn't below four times the groups.
+    """
+    return wanted[totals > max(limit, 4 * groups)]
+
+
+def announcement(g: int, hashes: np.ndarray, buckets: int, counted: Callable | None = None) -> tuple[pa.Table, np.ndarray]:
+    """Rows that tell the buckets which hashes group ``g`` has, each with its count, or with what ``counted`` makes of these."""
     values, counts = np.unique(hashes, return_counts=True)
+    if counted is not None:
+        counts = counted(values, counts)
     counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
     rows = [(g, b, pack(pack_sorted(values[at]), counts[at])) for b, at in split_by(bucket_of(values, buckets))]
     return packed(rows), values

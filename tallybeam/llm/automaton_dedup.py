@@ -23,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, in_order, repeated
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, crowd, hot_anchors, in_order, repeated
 from tallybeam.llm.shared import GROUP_BYTES, PACKED, WordHashes, bucket_of, id_or_null, in_groups, pack, packed, unpack
 
 LENGTH = 20
 GRAM = 8
 SHARD_WORDS = 40_000
+HOT = 2000  # different stretches of an anchor that one automaton holds
 PORTION = 1 << 20
 
 HASHES = WordHashes()
@@ -121,7 +123,7 @@ SCHEMA = "id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, with_text: bool = False
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, with_text: bool = False, most: int = HOT
 ) -> DataFrame:
     """Per document ``doc_id, n_words, n_removed, kept_sha256``, and the kept words joined by a space if asked for."""
     rows, groups = in_groups(docs, group_bytes)
@@ -132,24 +134,45 @@ def remove_repeats(
         return [(ids, texts, *_runs(texts, length, gram)) for ids, texts in in_order(table, PORTION)]
 
     def announce(table: pa.Table) -> pa.Table:
-        return announcement(table.column("g")[0].as_py(), _group_anchors(runs_of(table)), buckets)[0]
+        portions = runs_of(table)
+
+        def counted(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            return crowd(values, counts, stretches(portions, values[counts > 2]))
+
+        return announcement(table.column("g")[0].as_py(), _group_anchors(portions), buckets, counted)[0]
+
+    def stretches(portions: list[tuple], of: np.ndarray):
+        for _, texts, *runs in portions:
+            keep = np.flatnonzero(among(runs[-1], of))
+            at = words = None
+            for owner, first, last, anchor in zip(*[r[keep].tolist() for r in runs], strict=True):
+                if owner != at:
+                    at, words = owner, texts[owner].split()
+                yield anchor, b" ".join(words[first : last + length])
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed([])
         portions = runs_of(table)
-        wanted, _ = repeated(_group_anchors(portions), answers, buckets)
-        passages, anchors, before = Passages(), [], 0
+        wanted, totals = repeated(_group_anchors(portions), answers, buckets)
+        hot = hot_anchors(wanted, totals, most, groups)
+        passages, anchors, singles, before = Passages(), [], [], 0
         for ids, texts, *runs in portions:
             keep = np.flatnonzero(among(runs[-1], wanted))
             at = words = None
-            for owner, first, last, anchor in zip(*[r[keep].tolist() for r in runs], strict=True):
+            alone = among(runs[-1][keep], hot).tolist()
+            for owner, first, last, anchor, single in zip(*[r[keep].tolist() for r in runs], alone, strict=True):
                 if owner != at:
                     at, words = owner, texts[owner].split()
-                if passages.add(b" ".join(words[first : last + length]), before + owner, (ids[owner], first), last):
-                    anchors.append(anchor)
+                # A stretch, or each window of a hot anchor by itself.
+                for low, high in [(k, k) for k in range(first, last + 1)] if single else [(first, last)]:
+                    text = b" ".join(words[low : high + length])
+                    if passages.add(text, before + owner, (ids[owner], low), high):
+                        anchors.append(xxhash.xxh3_64_intdigest(text) if single else anchor)
+                        singles.append(single)
             before += len(ids)
-        bucket = bucket_of(np.array(anchors, np.uint64), buckets)
+        # Buckets after that of the occurrences are those of single windows.
+        bucket = bucket_of(np.array(anchors, np.uint64), buckets) + (buckets + 1) * np.array(singles, np.int64)
         return passages.rows(table.column("g")[0].as_py(), bucket, buckets, anchors)
 
     def match(table: pa.Table) -> pa.Table:
@@ -164,6 +187,11 @@ def remove_repeats(
                 if text not in places or place < places[text]:
                     places[text] = place
                 anchor_of[text] = anchor
+        if bucket > buckets:  # windows of hot anchors, one by one: the first place has no earlier one, all others have
+            return packed([
+                (g, bucket, pack(np.array([places[t] for t in texts], np.int64).reshape(-1, 2), [b"\0"] * len(texts)))
+                for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
+            ])
         # Equal windows have equal anchors, so an automaton needs the passages of some anchors only.
         order = sorted(places, key=lambda t: (anchor_of[t], places[t]))
         answer: dict[bytes, bytes] = {}

@@ -21,16 +21,18 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, in_order, repeated
+from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, crowd, hot_anchors, in_order, repeated
 from tallybeam.llm.shared import GROUP_BYTES, PACKED, hashed_sample, id_or_null, in_groups, mixed, pack, packed, unpack
 
 LENGTH = 50
 GRAM = 16
 PORTION = 1 << 20
 PART_BYTES = 1 << 20
+HOT = 5000  # different stretches of an anchor that one task lays out
 SAMPLE_DOCUMENTS = 400
 SAMPLE_BYTES = 4096
 
@@ -129,7 +131,7 @@ SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 strin
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, with_bytes: bool = False
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, with_bytes: bool = False, most: int = HOT
 ) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and the kept bytes if asked for."""
     rows, groups = in_groups(docs, group_bytes)
@@ -141,22 +143,43 @@ def remove_repeats(
         return [(ids, texts, *_runs(texts, length, gram)) for ids, texts in in_order(table, PORTION)]
 
     def announce(table: pa.Table) -> pa.Table:
-        return announcement(table.column("g")[0].as_py(), _group_anchors(runs_of(table)), buckets)[0]
+        portions = runs_of(table)
+
+        def counted(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            return crowd(values, counts, stretches(portions, values[counts > 2]))
+
+        return announcement(table.column("g")[0].as_py(), _group_anchors(portions), buckets, counted)[0]
+
+    def stretches(portions: list[tuple], of: np.ndarray):
+        for _, texts, *runs in portions:
+            keep = np.flatnonzero(among(runs[-1], of))
+            for owner, first, last, anchor in zip(*[runs[c][keep].tolist() for c in (0, 1, 2, 4)], strict=True):
+                yield anchor, texts[owner][first : last + length]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return packed([])
         portions = runs_of(table)
-        wanted, _ = repeated(_group_anchors(portions), answers, buckets)
+        wanted, totals = repeated(_group_anchors(portions), answers, buckets)
+        hot = hot_anchors(wanted, totals, most, groups)
         found, heads, before = Passages(), [], 0
         for ids, texts, *runs in portions:
             keep = np.flatnonzero(among(runs[-1], wanted))
-            for owner, first, last, place in zip(*[r[keep].tolist() for r in runs[:4]], strict=True):
+            alone = among(runs[-1][keep], hot).tolist()
+            for owner, first, last, place, single in zip(*[r[keep].tolist() for r in runs[:4]], alone, strict=True):
                 text = texts[owner]
-                if found.add(text[first : last + length], before + owner, (ids[owner], first), last):
+                if single:
+                    for k in range(first, last + 1):
+                        if found.add(text[k : k + length], before + owner, (ids[owner], k), k):
+                            heads.append(b"")
+                elif found.add(text[first : last + length], before + owner, (ids[owner], first), last):
                     heads.append(text[place : place + gram])
             before += len(ids)
-        bucket = np.array([bisect_right(splitters, h) for h in heads], np.int64)
+        # Single windows have no head; buckets after that of the occurrences are theirs.
+        bucket = np.array([
+            bisect_right(splitters, h) if h else buckets + 1 + xxhash.xxh3_64_intdigest(t) % buckets
+            for h, t in zip(heads, found.number, strict=True)
+        ], np.int64)
         return found.rows(table.column("g")[0].as_py(), bucket, buckets, heads)
 
     def sort(table: pa.Table) -> pa.Table:
@@ -172,6 +195,11 @@ def remove_repeats(
                 if old is None or key < old:
                     smallest[text] = key
                 head_of[text] = head
+        if bucket > buckets:  # windows of hot anchors, one by one: the smallest id has no earlier one, all others have
+            return packed([
+                (g, bucket, pack(np.array([smallest[t] for t in texts], np.int64), [b"\0"] * len(texts)))
+                for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
+            ])
         low = splitters[bucket - 1] if bucket else b""
         high = splitters[bucket] if bucket < len(splitters) else None
         if not compare_across(low, list(head_of.values()), high):

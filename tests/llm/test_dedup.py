@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, queries, suffix_dedup
 from tallybeam.llm.anchors import anchored_runs, pack_sorted, unpack_sorted
 from tests.conftest import SF_DIR
-from tests.llm.samples import frame, odd_rows
+from tests.llm.samples import frame, odd_rows, sentences
 
 LEAST = -(10**30)
 
@@ -118,6 +120,35 @@ def test_suffix_dedup(spark, which, group):
     assert sum(r[2] for r in found) > 0
 
 
+def frequent_line():
+    """A line in many texts with different words around it, some of them in two texts, and copies of whole texts."""
+    rows = [(k, f"{sentences(k % 150, 30)} {' '.join(f'frequent{j}' for j in range(9))} {sentences(k % 150 + k // 170 * 500, 30)}") for k in range(200)]
+    return [*rows, *[(200 + k, text) for k, (_, text) in enumerate(rows[:20])], (7, rows[9][1]), (None, rows[11][1])]
+
+
+@pytest.mark.parametrize("run, expected, columns, stretch", [
+    (automaton_dedup.remove_repeats, lambda rows: expected_words(rows, 20), ("doc_id", "n_words", "n_removed", "kept_sha256"), "repeated_windows"),
+    (suffix_dedup.remove_repeats, lambda rows: expected_bytes(rows, 50), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "smallest_ids"),
+])
+def test_frequent_line_is_dealt_by_window(spark, tmp_path, run, expected, columns, stretch):
+    """With a low limit the line's anchors are hot: no task works on all its stretches at once, and rows stay the same."""
+    rows = frequent_line()
+    module, log = __import__(run.__module__, fromlist=["x"]), str(tmp_path)
+    original = getattr(module, stretch)
+
+    def watched(passages, *arguments):
+        size = sum(b"frequent3" in (p if isinstance(p, bytes) else b" ".join(p)) for p in passages)
+        with open(f"{log}/{size}", "w"):
+            return original(passages, *arguments)
+
+    # Functions go to workers by their globals, so the watched one does too in a copy of the function.
+    watching = types.FunctionType(run.__code__, run.__globals__ | {stretch: watched, "__name__": "__main__"}, run.__name__, run.__defaults__)
+    found = by_row(watching(frame(spark, rows), group_bytes=8000, most=20), *columns)
+    assert found == sorted(expected(rows), key=lambda r: [(x is not None, x) for x in r])
+    assert sum(r[2] for r in found) > 0
+    assert max(map(int, os.listdir(log)), default=0) < 130  # of 170 different ones
+
+
 def shingles(text, size=5):
     words = (text or "").encode().lower().split()
     return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
