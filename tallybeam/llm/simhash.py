@@ -5,8 +5,9 @@ bit gains or loses the weight; the signs are the fingerprint. Sums of two bits s
 as many sums as bits. A text's terms are exploded and summed in one stage, without an exchange.
 
 ``near_fingerprints`` finds all fingerprints within a Hamming radius with permuted block tables: the bits are cut into
-blocks, one more than the radius, and a table for each block brings it to the front as its key. Fingerprints within the
-radius agree in a block, so an equal join on table and key meets them all; a pair is reported by its first such table.
+blocks, ``AGREE`` more than the radius, and a table for each choice of ``AGREE`` blocks brings these to the front as its key.
+Fingerprints within the radius agree in so many blocks, so an equal join on table and key meets them all; a pair is reported
+by the table of the first blocks that agree.
 
 Null text is empty text, which has the fingerprint of zeros, as has any text without a word. The next document is the next
 row by ``doc_id`` and, among rows that share one, by text; a null ``doc_id`` comes first; the last row is followed by the
@@ -16,6 +17,7 @@ first. Other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from tallybeam.llm.shared import NO_ID, id_or_least, id_or_null, stored, text_or
 WORDS = 2  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 ROWS_PER_PART = 2000
-RADIUS = 3
+RADIUS = 16  # four of five near copies, at a similarity of 0.75 by five-word shingles, are within it
+AGREE = 2
 LANES = 0x100000001
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -93,17 +96,29 @@ def _block(words: Column, k: int, blocks: int) -> Column:
 
 def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``query, found, distance`` of distinct fingerprints (arrays ``words``) within ``radius``, itself included."""
-    blocks = radius + 1
+    blocks = radius + AGREE
+    # A table is the set of its blocks, one bit each.
+    choices = F.array(*[
+        F.struct(F.lit(sum(1 << k for k in own)).cast("long").alias("table"), F.array(*map(F.lit, own)).alias("own"))
+        for own in combinations(range(blocks), AGREE)
+    ])
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[_block(F.col("words"), k, blocks) for k in range(blocks)])
-        return df.select("words").distinct().select(F.col("words").alias(name), F.posexplode(keys).alias("table", "key"))
+        cut = F.array(*[_block(F.col("words"), k, blocks) for k in range(blocks)])
+        rows = df.select("words").distinct().select(F.col("words").alias(name), cut.alias("cut")).withColumn("one", F.explode(choices))
+        keys = [F.get("cut", F.get("one.own", k)) for k in range(AGREE)]
+        return rows.select(name, F.col("one.table").alias("table"), F.xxhash64(*keys).alias("key"))
 
     met = tables(queries, "query").join(tables(index, "found"), ["table", "key"])
-    agree = [_block(F.col("query"), k, blocks) == _block(F.col("found"), k, blocks) for k in range(blocks)]
-    first = reduce(lambda rest, k: F.when(agree[k], k).otherwise(rest), range(blocks - 1, -1, -1), F.lit(blocks))
     apart = distance(F.col("query"), F.col("found"))
-    return met.filter((apart <= radius) & (first == F.col("table"))).select("query", "found", apart.alias("distance"))
+    met = met.withColumn("distance", apart).filter(F.col("distance") <= radius)
+    agree = [F.when(_block(F.col("query"), k, blocks) == _block(F.col("found"), k, blocks), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)]
+    met = met.withColumn("left", reduce(Column.bitwiseOR, agree).cast("long"))
+    rest, first = F.col("left"), F.lit(0).cast("long")
+    for _ in range(AGREE):
+        first = first.bitwiseOR(rest.bitwiseAND(-rest))
+        rest = rest.bitwiseAND(rest - 1)
+    return met.filter(first == F.col("table")).select("query", "found", "distance")
 
 
 def with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, DataFrame]:

@@ -331,6 +331,20 @@ def test_fingerprint_by_hand(spark):
     assert found == {1: words, 2: [0, 0]}
 
 
+def test_near_copies_are_within_the_radius(spark):
+    """Copies with words changed to a shingle similarity of about 0.75: most are neighbours of their originals."""
+    rng, rows = np.random.default_rng(12), []
+    for k in range(60):
+        words = sentences(1000 + k, 300, 3000).split()
+        rows.append((2 * k, " ".join(words)))
+        for at in range(8):  # 8 x 5 of 296 shingles change: 256 / 336 are left, 0.76
+            words[at * 37 + int(rng.integers(30))] = f"new{k}x{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    found = simhash.edited_fingerprints(frame(spark, rows), queries=F.col("doc_id") % 2 == 0)
+    near = [r.n_near for r in found.filter("doc_id % 2 = 0").collect()]
+    assert len(near) == 60 and sum(n > 1 for n in near) >= 30
+
+
 def test_permuted_blocks_find_all(spark):
     rng = np.random.default_rng(9)
     prints = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
