@@ -91,6 +91,16 @@ def test_lm_windows_equal_one_pass():
         assert abs(prefix[-1] - whole[k]) < 1e-4
 
 
+def test_lm_sees_fifteen_ids_before():
+    model = lm_scoring.new_model(np.ones(60))
+    text = np.random.default_rng(2).integers(0, 60, 40)
+    whole = lm_scoring.id_scores(model, [text])
+    other = text.copy()
+    other[10] = (text[10] + 1) % 60
+    changed = np.flatnonzero(lm_scoring.id_scores(model, [other]) != whole)
+    assert changed.max() == 26 and model.weights["into"].shape == (48, 32)
+
+
 def test_lm_word_of_many_ids(spark):
     """A word of more than 65,536 ids, scored like any other and without harm to the texts beside it."""
     rng = np.random.default_rng(6)
