@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, language_id, lm_scoring, packing, pieces, secret_links, simhash, suffix_dedup
+from tallybeam.llm import (
+    automaton_dedup,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    packing,
+    pieces,
+    secret_links,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_alignment,
+    whitening,
+)
 from tallybeam.llm.shared import small_batches
 
 
@@ -71,6 +85,20 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    return token_alignment.summaries(documents(spark, sf_dir), *paths)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.even(documents(spark, sf_dir), 8)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentence_pieces,
         op9_exact_dedup,
         op10_automaton_dedup,
+        op11_whitening,
+        op12_token_alignment,
+        op13_sharding,
     )
 }
 
