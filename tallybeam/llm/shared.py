@@ -52,6 +52,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no frame has."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_or_least(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
