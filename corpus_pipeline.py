@@ -3,8 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns of ``docs``; the
 last returns the packed pieces. :func:`run` writes each stage's result as Parquet to the shared folder and reads it back.
 
-Rows without a ``doc_id`` are kept apart from each other only by the stages that say so: exact de-duplication keeps one of
-equal texts, and the similarity join treats them as the document with the smallest id.
+Stages decide about rows, not about ids: a null or repeated ``doc_id`` is never why a row goes. Equal texts share their
+fate in the similarity join; exact de-duplication before it leaves one of them.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybeam.llm import exact_dedup, jaccard_join, language_id, packing, queries, secret_links
-from tallybeam.llm.shared import id_or_least, small_batches, stored
+from tallybeam.llm.shared import id_or_least, small_batches, stored, text_or_empty, unused
 
-BROADCAST_IDS = 1_000_000  # about 16 MB
 LEAST_SCORE = 0.3  # of the language; a text whose best language is less likely has none
 
 
@@ -32,14 +31,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingle similarity links, the one with the smallest id."""
+    """One document of each group that shingle similarity links, the one with the smallest id.
+
+    The join works on texts, numbered by their hash, so that rows without an id or with a shared one stay apart. The few
+    hashes that two texts share are told apart by another hash. Of documents with equal least ids the smaller number stays.
+    """
     small_batches(spark)
-    found = stored(jaccard_join.components(docs), "components")
-    gone = found.filter("not doc_id <=> component_id").select(id_or_least("doc_id").alias("gone")).distinct()
-    # Few enough ids go to every executor, so that the texts need no exchange; else Spark joins by exchange.
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, id_or_least("doc_id") == F.col("gone"), "left_anti")
+    text = text_or_empty()
+    first, second = F.xxhash64(text), F.xxhash64(F.sha2(text, 256))
+    # Two of n texts share a hash with a chance of n * n / 2 ** 65, so this list has a row or two at any size.
+    shared = docs.groupBy(first.alias("hash")).agg(F.min(second).alias("low"), F.max(second).alias("high")).filter("low != high")
+    several = [r.hash for r in shared.select("hash").collect()]
+    number = F.when(first.isin(several), second).otherwise(first) if several else first
+    rows = docs.select(number.alias("doc_id"), "text")
+    found = stored(jaccard_join.components(rows).select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")), "components")
+    # Ids of texts in groups of several. The texts themselves move once, to the list of those that go.
+    linked = found.groupBy("component").agg(F.count_distinct("number").alias("n")).filter("n > 1").select("component")
+    members = found.join(linked, "component", "left_semi").distinct()
+    ids = docs.select(number.alias("number"), id_or_least().alias("id")).groupBy("number").agg(F.min("id").alias("id"))
+    placed = members.join(ids, "number").withColumn("place", F.struct("id", "number"))
+    kept = placed.groupBy("component").agg(F.min("place").alias("kept"))
+    gone = stored(placed.join(kept, "component").filter("place != kept").select("number"), "near-copies")
+    own = unused("number", docs)
+    others = gone.select(F.col("number").alias(unused("gone", docs))).hint("merge")
+    return docs.withColumn(own, number).join(others, F.col(own) == F.col(others.columns[0]), "left_anti").drop(own)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
