@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
@@ -31,3 +36,15 @@ def test_entry(spark):
 def test_all_telemetry_queries_have_sql():
     assert all_oracles().keys() == all_queries().keys()
     assert contract.oracle_sql().keys() <= contract.queries().keys()
+
+
+@pytest.mark.parametrize("removed", [["tallybeam/llm", "tests/llm"], ["tallybeam/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_text_operators(tmp_path, removed):
+    """The entry imports from a copy that lacks them, and has all telemetry queries."""
+    root = Path(contract.__file__).parent
+    skipped = {str(root / name) for name in [".git", *removed]}
+    ignore = lambda folder, names: [n for n in names if f"{folder}/{n}" in skipped or n == "__pycache__"]
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=ignore)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"})
+    assert found.stdout.split()[-2:] == [str(len(all_queries()))] * 2
