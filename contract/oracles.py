@@ -293,7 +293,10 @@ def _finals() -> dict[str, str]:
     return {
         "ingest_raw_logs": RAW,
         "stream_ingest": RAW,
+        "stream_exactly_once": RAW,
+        "ingest_only_new": RAW,
         "privacy_access": RAW + f" WHERE user_email = '{EMAIL}'",
+        "privacy_access_behind": RAW + f" WHERE user_email = '{EMAIL}'",
         "route_filter": f"""SELECT insert_id, CAST(1 + CASE WHEN {api_ids} THEN 1 ELSE 0 END AS BIGINT) AS messages FROM av
  UNION ALL SELECT 'diag-' || insert_id, CAST(1 AS BIGINT) FROM av WHERE event_id % 103 = 0""",
         "exclude_diagnostic": f"SELECT insert_id, CAST(1 + CASE WHEN {api_ids} THEN 1 ELSE 0 END AS BIGINT) AS messages FROM av",
@@ -335,6 +338,18 @@ def _finals() -> dict[str, str]:
  WHERE total_tokens IS NOT NULL AND hour(ts) < 12 GROUP BY ALL""",
         "chained_refresh": "SELECT * FROM token_usage",
         "compacted_day_counts": "SELECT day, 'compacted' AS batch, count(*) AS row_count FROM av GROUP BY day",
+        "batch_after_compaction": " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, day, CAST({total} AS BIGINT) AS row_count FROM {source} GROUP BY day"
+            for name, total, source in (
+                ("raw", "count(*)", "av"), ("base", "count(*)", "av"), ("requests", "count(*)", "av"),
+                ("minutes", "sum(requests_per_minute)", "minutes"),
+            )
+        ),
+        "tier_after_erasure": f"SELECT user_pseudonym, count(*) AS row_count FROM av WHERE {not_user} GROUP BY user_pseudonym",
+        "daily_rollup_incremental": rounded("rollup", "*", "average_duration_ms"),
+        "weekly_rollup_incremental": rounded("weekly", "*", "average_duration_ms"),
+        "daily_metrics_incremental": rounded("daily_metrics", "*", "average_duration_ms"),
+        "user_activity_incremental": rounded("user_activity", "*", "average_request_duration_ms"),
         "base_after_repair": rounded("daily_metrics", "*", "average_duration_ms"),
         "privacy_erasure_stored": " UNION ALL ".join(
             f"SELECT '{name}' AS table_name, CAST(0 AS BIGINT) AS of_user, count(*) AS of_others FROM {source}"
@@ -345,6 +360,8 @@ def _finals() -> dict[str, str]:
                 ("malformed_json_responses", "malformed_json_responses", "user_email"),
                 ("feature_adoption", "feature_adoption", "user_email"),
                 ("conversation_analysis", "conversation_analysis", "user_email"),
+                ("daily_metrics", "(SELECT DISTINCT day, event_name, model, user_email FROM av)", "user_email"),
+                ("user_activity", "(SELECT DISTINCT day, user_email, session_id FROM av)", "user_email"),
             )
         ),
         "token_usage_incremental": "SELECT * FROM token_usage",
@@ -529,6 +546,7 @@ def _finals() -> dict[str, str]:
         "privacy_erasure_preview": f"""SELECT count(*) AS records_to_delete, min(ts) AS oldest_record,
  max(ts) AS newest_record FROM av WHERE user_email = '{EMAIL}'""",
         "privacy_erasure_after": raw_days + f" WHERE {not_user} GROUP BY day",
+        "privacy_export_behind": f"""SELECT insert_id AS "insertId", severity FROM av WHERE user_email = '{EMAIL}'""",
         "privacy_export": f"""SELECT insert_id AS "insertId", severity FROM av WHERE user_email = '{EMAIL}'""",
         "privacy_active_users": f"""SELECT count(*) AS active_users FROM user_activity
  WHERE last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""",
@@ -574,6 +592,8 @@ def _finals() -> dict[str, str]:
         "m_ingest_lag": f"""SELECT day, {r6('avg(CAST(event_id % 90 AS DOUBLE))')} AS mean_lag_s,
  quantile_disc(CAST(event_id % 90 AS DOUBLE), 0.95) AS p95_lag_s, max(CAST(event_id % 90 AS DOUBLE)) AS max_lag_s,
  {cnt('event_id % 90 > 60')} AS rows_over_limit FROM av GROUP BY day""",
+        "m_ingest_lag_sketched": """SELECT day, round(avg(CAST(event_id % 90 AS DOUBLE)), 6) AS mean_lag_s,
+ max(CAST(event_id % 90 AS DOUBLE)) AS max_lag_s, true AS p95_near FROM av GROUP BY day""",
         "m_dead_letter_rate": f"""SELECT *, round(CAST(dead_letters AS DOUBLE) / (dead_letters + loaded), 6) AS rate,
  CAST(dead_letters AS DOUBLE) / (dead_letters + loaded) > 0.001 AS over_limit FROM (SELECT
  {cnt('event_id % 101 = 0')} + {cnt('event_id % 211 = 0')} AS dead_letters, count(*) AS loaded FROM av)""",

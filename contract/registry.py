@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,6 +248,125 @@ def base_after_repair(spark, sf_dir):
     return views.daily_metrics(tables.read_base(spark, tables.base_path(repaired_store(spark, sf_dir))))
 
 
+def batch_after_compaction(spark, sf_dir):
+    """Rows by table after a batch, whose days were compacted, was ingested and carried on once more."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        share = F.xxhash64("value")
+        rows = [messages.filter((F.pmod(share, F.lit(3)) == k) | (F.pmod(share, F.lit(31)) == 0)) for k in range(3)]
+        for k in (0, 1, 2):
+            tables.ingest_batch(rows[k], root, adapter.PROJECT, f"batch-{k}", AS_OF)
+            refresh.refresh_batch(spark, root, f"batch-{k}")
+        days = tables.stored_days(tables.read_raw(spark, root))
+        tables.repair_days(spark, root, days)
+        refresh.refresh_days(spark, root, days)
+        tables.ingest_batch(rows[1], root, adapter.PROJECT, "batch-1", AS_OF)
+        refresh.refresh_batch(spark, root, "batch-1")
+
+    root = adapter.prepared(spark, sf_dir, "again", fill)
+    counts = {
+        "raw": (tables.read_raw(spark, root), F.count("*")),
+        "base": (tables.read_base(spark, tables.base_path(root)), F.count("*")),
+        "requests": (incremental.read("daily_metrics", spark, tables.incremental_path(root, "daily_metrics")), F.sum("request_count")),
+        "minutes": (quota.read_quota_minutes(spark, tables.minutes_path(root)), F.sum("requests_per_minute")),
+    }
+    found = [
+        rows.groupBy(F.lit(name).alias("table_name"), "day").agg(total.alias("row_count")) for name, (rows, total) in counts.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def ingest_only_new(spark, sf_dir):
+    """Three batches with redeliveries among them, found by the id index."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        share = F.xxhash64("value")
+        for k in range(3):
+            rows = messages.filter((F.pmod(share, F.lit(3)) == k) | (F.pmod(share, F.lit(31)) == 0))
+            tables.ingest_batch(rows, root, adapter.PROJECT, f"batch-{k}", AS_OF, only_new=True)
+
+    return _raw_shape(tables.read_raw(spark, adapter.prepared(spark, sf_dir, "only-new", fill)))
+
+
+def lagging_store(spark, sf_dir) -> str:
+    """A log in two batches of which the base table has the first."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        for k in range(2):
+            rows = messages.filter(F.pmod(F.xxhash64(F.get_json_object("value", "$.insertId")), F.lit(2)) == k)
+            tables.ingest_batch(rows, root, adapter.PROJECT, f"batch-{k}", AS_OF)
+        refresh.refresh_batch(spark, root, "batch-0")
+
+    return adapter.prepared(spark, sf_dir, "lagging", fill)
+
+
+def privacy_access_behind(spark, sf_dir):
+    return _raw_shape(privacy.stored_access(spark, lagging_store(spark, sf_dir), EMAIL))
+
+
+def privacy_export_behind(spark, sf_dir):
+    path = tables.work_dir(spark, "export")
+    privacy.stored_export(spark, lagging_store(spark, sf_dir), EMAIL, path)
+    return spark.read.schema("insertId string, severity string").json(path)
+
+
+def tier_after_erasure(spark, sf_dir):
+    """Rows by user of the general-access copy that came along with two batches, a repair and an erasure."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        half = F.pmod(F.xxhash64("value"), F.lit(2))
+        for k in range(2):
+            tables.ingest_batch(messages.filter(half == k), root, adapter.PROJECT, f"batch-{k}", AS_OF)
+            refresh.refresh_batch(spark, root, f"batch-{k}")
+            if not k:
+                refresh.keep_general_copy(spark, root)
+        days = tables.stored_days(tables.read_raw(spark, root))
+        tables.repair_days(spark, root, days)
+        refresh.refresh_days(spark, root, days)
+        privacy.erase(spark, root, EMAIL)
+
+    copy = spark.read.parquet(tables.general_path(adapter.prepared(spark, sf_dir, "tiers", fill)))
+    return copy.groupBy(USER_PSEUDONYM).agg(F.count("*").alias("row_count"))
+
+
+def usage_partials(spark, sf_dir) -> str:
+    """Partials of the daily view, in two batches of which one came twice."""
+
+    def fill(path: str) -> None:
+        av = adapter.base(spark, sf_dir)
+        early = F.hour("timestamp") < 12
+        for batch, rows in (("0", early), ("1", ~early), ("1", ~early)):
+            incremental.refresh("daily_metrics", av.filter(rows), path, f"batch-{batch}")
+
+    return adapter.prepared(spark, sf_dir, "usage-partials", fill)
+
+
+def daily_rollup_incremental(spark, sf_dir):
+    return incremental.read_daily_rollup(spark, usage_partials(spark, sf_dir))
+
+
+def weekly_rollup_incremental(spark, sf_dir):
+    return incremental.read_weekly_rollup(spark, usage_partials(spark, sf_dir))
+
+
+def ingest_lag_sketched(spark, sf_dir):
+    """Lag by day from the sketches of three batches, and whether the percentile's rank among all rows is near enough."""
+    root = batched_store(spark, sf_dir, known=True)
+    found = checks.read_ingest_lag(spark, tables.lag_path(root))
+    raw = tables.read_raw(spark, root)
+    lag = (F.unix_micros("receiveTimestamp") - F.unix_micros("timestamp")) / 1e6
+    rows = raw.select(F.col("day").alias("of_day"), lag.alias("lag")).join(found, F.col("of_day") == F.col("day"))
+    ranks = rows.groupBy("day", "mean_lag_s", "max_lag_s").agg(
+        F.avg((F.col("lag") < F.col("p95_lag_s")).cast("double")).alias("below"),
+        F.avg((F.col("lag") <= F.col("p95_lag_s")).cast("double")).alias("up_to"),
+    )
+    return ranks.select("day", "mean_lag_s", "max_lag_s", ((F.col("below") <= 0.97) & (F.col("up_to") >= 0.93)).alias("p95_near"))
+
+
 def privacy_erasure_stored(spark, sf_dir):
     """What an erasure leaves: rows of the user, and of others, in each stored table."""
 
@@ -423,6 +543,41 @@ def stream_root(spark, sf_dir):
     return adapter.prepared(spark, sf_dir, "stream", run)
 
 
+def stream_exactly_once(spark, sf_dir):
+    """What a stream stores that is cut off once at each step of its commits and started again every time."""
+
+    def run(root: str) -> None:
+        from tallybeam.sources import commits
+        from tallybeam.sources.envelopes import stream_envelopes
+
+        seen: set[tuple[str, int]] = set()
+        calls: dict[str, int] = {}
+
+        def cut(step: str) -> None:
+            calls[step] = calls.get(step, 0) + 1
+            place = step, min(calls[step], 3)
+            if place not in seen:
+                seen.add(place)
+                raise InterruptedError(f"cut off at {step}")
+
+        untouched, commits.reached = commits.reached, cut
+        try:
+            for _ in range(20):
+                calls.clear()
+                stream = stream_envelopes(spark, adapter.messages_path(spark, sf_dir), max_files_per_trigger=5)
+                try:
+                    stream_ingest.start_ingest(stream, root, f"{root}/checkpoint", adapter.PROJECT, every=None).awaitTermination()
+                    break
+                except StreamingQueryException as failure:
+                    if "cut off at" not in str(failure):
+                        raise
+        finally:
+            commits.reached = untouched
+
+    root = adapter.prepared(spark, sf_dir, "cut-off", run)
+    return _raw_shape(tables.read_raw(spark, root))
+
+
 def streamed_rows(spark, sf_dir):
     return _raw_shape(tables.read_raw(spark, stream_root(spark, sf_dir)))
 
@@ -512,6 +667,13 @@ def all_queries() -> dict[str, Query]:
         "chained_refresh": chained_refresh,
         "compacted_day_counts": compacted_day_counts,
         "base_after_repair": base_after_repair,
+        "batch_after_compaction": batch_after_compaction,
+        "ingest_only_new": ingest_only_new,
+        "privacy_access_behind": privacy_access_behind,
+        "privacy_export_behind": privacy_export_behind,
+        "tier_after_erasure": tier_after_erasure,
+        "daily_rollup_incremental": daily_rollup_incremental,
+        "weekly_rollup_incremental": weekly_rollup_incremental,
         "privacy_erasure_stored": privacy_erasure_stored,
         "retention_raw": retention_raw,
         "retention_daily": retention_daily,
@@ -583,9 +745,11 @@ def all_queries() -> dict[str, Query]:
         "m_inference_flags": faulty(checks.inference_flags),
         "m_audit_errors": audit_errors,
         "m_ingest_lag": over_raw(checks.ingest_lag, limit_seconds=60),
+        "m_ingest_lag_sketched": ingest_lag_sketched,
         "m_dead_letter_rate": dead_letter_rate,
         "m_catalog_check": catalog_check,
         "stream_ingest": streamed_rows,
+        "stream_exactly_once": stream_exactly_once,
         "stream_quota_minute": stream_quota_minute,
         "late_data_days": late_data_days,
     }

@@ -68,6 +68,9 @@ PARSED = {
 BLOBS = tuple(PARSED.values())
 PARTITIONS = ("day", "batch")
 
+# Options of the general-access copy: no emails, no installations, no payload text.
+GENERAL_ACCESS = {"pseudonymize": True, "hash_installation": True, "redact_payload": True}
+
 
 def _typed(parsed: Column, blob: Column, key: str, kind: str) -> Column:
     if kind == "string":

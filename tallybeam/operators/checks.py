@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybeam import config
@@ -163,11 +163,45 @@ def audit_errors(messages: DataFrame, since: AsOf) -> DataFrame:
     )
 
 
+def _lag_seconds() -> Column:
+    return (F.unix_micros("receiveTimestamp") - F.unix_micros("timestamp")) / 1e6
+
+
+def lag_partial(rows: DataFrame, *keys: str, limit_seconds: int = config.LAG_LIMIT_SECONDS) -> DataFrame:
+    """Mergeable lag figures by day and ``keys``: number, sum, maximum, rows over the limit and a quantile sketch.
+
+    A sketch with ``LAG_SKETCH_SIZE`` items tells a rank within 0.7 % of the rows, however many partials are merged.
+    """
+    lags = rows.select(event_day(rows).alias("day"), *keys, _lag_seconds().alias("lag")).filter("lag is not null")
+    return lags.groupBy("day", *keys).agg(
+        F.count("lag").alias("lag_n"),
+        F.sum("lag").alias("lag_sum"),
+        F.max("lag").alias("lag_max"),
+        F.count_if(F.col("lag") > limit_seconds).alias("over_limit"),
+        F.kll_sketch_agg_double("lag", LAG_SKETCH_SIZE).alias("lags"),
+    )
+
+
+LAG_SKETCH_SIZE = 400
+LAG_PARTIALS = "lag_n bigint, lag_sum double, lag_max double, over_limit bigint, lags binary, day date, batch string"
+
+
+def read_ingest_lag(spark: SparkSession, path: str) -> DataFrame:
+    """The lag of every day, merged from the stored partials of all batches; days without any lag have no row."""
+    partials = spark.read.schema(LAG_PARTIALS).parquet(path)
+    sketch = F.kll_merge_agg_double("lags", LAG_SKETCH_SIZE)
+    return partials.groupBy("day").agg(
+        ratio(F.sum("lag_sum"), F.sum("lag_n")).alias("mean_lag_s"),
+        F.kll_sketch_get_quantile_double(sketch, F.lit(0.95)).alias("p95_lag_s"),
+        F.max("lag_max").alias("max_lag_s"),
+        F.sum("over_limit").alias("rows_over_limit"),
+    )
+
+
 def ingest_lag(raw: DataFrame, limit_seconds: int = config.LAG_LIMIT_SECONDS) -> DataFrame:
     """Seconds from event to receipt per day: mean, 95th percentile, maximum, rows over the limit."""
-    lag = (F.unix_micros("receiveTimestamp") - F.unix_micros("timestamp")) / 1e6
     return (
-        raw.select(event_day(raw).alias("day"), lag.alias("lag"))
+        raw.select(event_day(raw).alias("day"), _lag_seconds().alias("lag"))
         .groupBy("day")
         .agg(
             F.avg("lag").alias("mean_lag_s"),

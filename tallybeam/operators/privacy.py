@@ -11,18 +11,14 @@ from pyspark.sql import functions as F
 
 from tallybeam.config import USER_EMAIL, USER_PSEUDONYM
 from tallybeam.functions.identity import pseudonym
-from tallybeam.functions.jsonx import json_scalar
 from tallybeam.functions.measures import ratio
 from tallybeam.functions.timex import AsOf, day_before, event_day, ts_lit
-from tallybeam.operators import base_view, incremental, rollups, views
-from tallybeam.sources import folders, tables
+from tallybeam.operators import base_view, checks, incremental, rollups, views
+from tallybeam.sources import commits, folders, index, tables
+from tallybeam.sources.index import email_of
 from tallybeam.streaming import quota
 
 
-def email_of(raw_payload: Column) -> Column:
-    return json_scalar(raw_payload, f"$['{base_view.EMAIL_KEY}']")
-
-
 def lookup(pseudonymous_av: DataFrame, email: str) -> DataFrame:
     """Activity of one user in pseudonym mode, found by hashing the email."""
     activity = views.user_activity(pseudonymous_av, USER_PSEUDONYM)
@@ -39,17 +35,53 @@ def reverse_lookup(rows: DataFrame, pseudonyms: DataFrame) -> DataFrame:
 
 
 def _of_user(raw: DataFrame, email: str) -> Column:
-    """True for rows of the user; the text search spares other rows the JSON parse."""
+    """True for rows of the user; the text search spares other rows the JSON parse, but for those with escapes."""
     payload = F.col("jsonPayload_json")
-    return F.coalesce(payload.contains(email) & (email_of(payload) == email), F.lit(False))
+    likely = payload.contains(email) | payload.contains("\\")
+    return F.coalesce(likely & (email_of(payload) == email), F.lit(False))
 
 
 def on_user_days(raw: DataFrame, base: DataFrame | None, email: str) -> DataFrame:
-    """Raw rows of the days on which the base table has the user; reads no payload of other days.
+    """Raw rows of the days on which the base table has the user, and of batches that it doesn't have yet.
 
-    Without a base table, all rows. One day each reaches the driver, bounded by the retention.
+    Without a base table, all rows. Days and names of batches reach the driver, bounded by the retention.
     """
-    return raw if base is None else raw.filter(tables.of_days(tables.stored_days(base.filter(F.col(USER_EMAIL) == email))))
+    if base is None:
+        return raw
+    days = tables.of_days(tables.stored_days(base.filter(F.col(USER_EMAIL) == email)))
+    stored = base.select(F.col("day").alias("base_day"), F.col("batch").alias("base_batch")).distinct()
+    same = F.col("day").eqNullSafe(F.col("base_day")) & (F.col("batch") == F.col("base_batch"))
+    behind = raw.select("day", "batch").distinct().join(stored, same, "left_anti")
+    return raw.filter(days | of_folders([(r.day, r.batch) for r in behind.collect()]))
+
+
+def of_folders(found: list[tuple[date | None, str]]) -> Column:
+    """Rows of some days' batches, as a filter on the partition columns."""
+    kept = F.lit(False)
+    for batch in sorted({b for _, b in found}):
+        kept = kept | ((F.col("batch") == batch) & tables.of_days([d for d, b in found if b == batch]))
+    return kept
+
+
+def stored_rows(spark: SparkSession, root: str, email: str) -> DataFrame:
+    """Raw rows of the days that hold the user, by the user index; reads no payload of other days.
+
+    The index belongs to the raw table's own commits, so this is complete however far the base table lags. Folders from
+    before there was an index are read as a whole.
+    """
+    commits.finish(spark, root)
+    old = [name.partition("/batch=") for name in index.not_indexed(spark, root, tables.raw_path(root))]
+    found = [(None if day == folders.EMPTY_DAY else date.fromisoformat(day), batch) for day, _, batch in old]
+    return tables.read_raw(spark, root).filter(tables.of_days(index.user_days(spark, root, email)) | of_folders(found))
+
+
+def stored_access(spark: SparkSession, root: str, email: str) -> DataFrame:
+    """Every stored raw row of one user, newest first."""
+    return access(stored_rows(spark, root, email), email)
+
+
+def stored_export(spark: SparkSession, root: str, email: str, path: str) -> None:
+    export(stored_rows(spark, root, email), email, path)
 
 
 def access(raw: DataFrame, email: str, base: DataFrame | None = None) -> DataFrame:
@@ -98,30 +130,22 @@ def json_text_of(value: str) -> str:
 
 
 def user_days(spark: SparkSession, root: str, email: str) -> list[date | None]:
-    """Days that hold rows of the user: from the base table, and from raw rows of batches that it doesn't have yet."""
-    raw = tables.read_raw(spark, root)
-    base_path = tables.base_path(root)
-    if not folders.exists(spark, base_path):
-        return tables.stored_days(raw.filter(_of_user(raw, email)))
-    days = tables.stored_days(tables.read_base(spark, base_path).filter(F.col(USER_EMAIL) == email))
-    # Folders of a day and batch that the raw table has and the base table doesn't.
-    raw_names, base_names = (
-        {p.rpartition("/day=")[2] for p in folders.matching(spark, f"{path}/day=*/batch=*")}
-        for path in (tables.raw_path(root), base_path)
-    )
-    behind = {n.rpartition("=")[2] for n in raw_names - base_names}
-    if behind:
-        days += tables.stored_days(raw.filter(F.col("batch").isin(sorted(behind)) & _of_user(raw, email)))
-    return sorted(set(days), key=lambda d: (d is not None, d))
+    """Days that hold raw rows of the user."""
+    rows = stored_rows(spark, root, email)
+    return tables.stored_days(rows.filter(_of_user(rows, email)))
 
 
 def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None = None) -> Erasure:
-    """Delete one user from raw rows, base table, stored views, minute counts, dead letters and alerts.
+    """Delete one user from raw rows, base table, stored views, minute counts, general-access copy, user index, dead letters and
+    alerts.
 
     Tables that don't exist are passed over. A dead letter cannot be parsed, so it goes when its text holds the email as a
     JSON string. Rewrites that were cut off are finished first, so an erasure that failed is simply run again.
     """
-    logs = [tables.raw_path(root), tables.base_path(root), tables.dead_letter_path(root), tables.minutes_path(root)]
+    commits.finish(spark, root)
+    users = f"{root}/{index.USERS}"
+    logs = [tables.raw_path(root), tables.base_path(root), tables.general_path(root), tables.dead_letter_path(root)]
+    logs += [tables.minutes_path(root), tables.lag_path(root), users]
     views_of = {name: tables.incremental_path(root, name) for name in incremental.ROLLUPS}
     for path in [*logs, *views_of.values(), *([alerts_path] if alerts_path else [])]:
         folders.finish(spark, path)
@@ -137,12 +161,23 @@ def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None =
         if folders.exists(spark, tables.minutes_path(root)):
             minutes = quota.read_partials(spark, tables.minutes_path(root))
             tables.rewrite_days(spark, minutes, days, tables.minutes_path(root), lambda rows: rows.filter(other))
-        raw = tables.read_raw(spark, root)
+        raw = tables.read_stored(spark, root)
         if folders.exists(spark, tables.base_path(root)):
             # The base table is written from what stays of the raw rows, which also brings it up to date.
-            kept = stored_of(without_user(raw, email))
+            kept = stored_of(without_user(tables.read_raw(spark, root), email))
             tables.rewrite_days(spark, kept, days, tables.base_path(root), lambda rows: rows)
+            if folders.exists(spark, tables.lag_path(root)):
+                lags = checks.lag_partial(tables.read_base(spark, tables.base_path(root)), "batch")
+                tables.rewrite_days(spark, lags, days, tables.lag_path(root), lambda rows: rows)
+        if folders.exists(spark, tables.general_path(root)):
+            kept = without_user(tables.read_raw(spark, root), email)
+            copy = base_view.stored_columns(base_view.analytics_view(kept, **base_view.GENERAL_ACCESS))
+            tables.rewrite_days(spark, copy, days, tables.general_path(root), lambda rows: rows)
         tables.rewrite_days(spark, raw, days, tables.raw_path(root), lambda rows: without_user(rows, email))
+        if folders.exists(spark, users):
+            of_user = F.coalesce(F.col("user_pseudonym") == pseudonym(F.lit(email)), F.lit(False))
+            listed, indexed = index.user_days(spark, root, email), index.read_users(spark, root)
+            tables.rewrite_days(spark, indexed, listed, users, lambda rows: rows.filter(~of_user))
     if folders.exists(spark, tables.dead_letter_path(root)):
         dead = tables.read_dead_letters(spark, root)
         hit = F.coalesce(F.col("value").rlike(json_text_of(email)), F.lit(False))
@@ -232,6 +267,7 @@ def k_anonymous_stats(av: DataFrame, user_col: str = USER_PSEUDONYM, k: int = 5)
 def write_tiers(raw: DataFrame, analytics_path: str) -> None:
     """The general-access copy: pseudonyms, hashed installations and no payload text.
 
-    The raw table stays under its own root with its own access rules.
+    The raw table stays under its own root with its own access rules. ``plans.refresh.keep_general_copy`` keeps such a copy
+    beside the log, which follows it.
     """
-    tables.write_base(raw, analytics_path, pseudonymize=True, hash_installation=True, redact_payload=True)
+    tables.write_base(raw, analytics_path, **base_view.GENERAL_ACCESS)

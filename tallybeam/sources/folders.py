@@ -43,6 +43,30 @@ def make(spark: SparkSession, path: str) -> None:
     system.mkdirs(place)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    place, system = _system(spark, source)
+    if not system.rename(place, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"can't rename {source} to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    place, system = _system(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, system = _system(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the outer partition column, as folder names have them."""
     return sorted(p.rpartition("=")[2] for p in matching(spark, f"{path}/{column}=*"))

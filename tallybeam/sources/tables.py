@@ -4,12 +4,22 @@ Layout below one root::
 
     log/tier=raw/day=<event day>/batch=<id>/         raw rows
     log/tier=dead_letter/day=<arrival>/batch=<id>/   rejected messages
+    ids/day=<event day>/batch=<id>/                  hashed message ids, see sources.index
+    users/day=<event day>/batch=<id>/                pseudonyms that have rows, see sources.index
+    merged/day=<event day>/                          names of the batches that the compacted day holds
     base/day=<event day>/batch=<id>/                 typed base view
+    general/day=<event day>/batch=<id>/              the same for general access, where it is kept (plans.refresh)
     incremental/<view>/day=<event day>/batch=<id>/   mergeable aggregates, see operators.incremental
     quota_minutes/day=<event day>/batch=<id>/        minute counts, see streaming.quota
+    ingest_lag/day=<event day>/batch=<id>/           lag figures with quantile sketches, see operators.checks
 
-A batch owns its folders in all of them: running it again removes them, on whatever days they are, before it writes, so
-nothing of an earlier run stays, also where the later run has no rows. ``COMPACTED`` is the batch of a closed day.
+A batch owns its folders in all of them: running it again replaces them, on whatever days they are, so nothing of an
+earlier run stays, also where the later run has no rows. Log, ids and users of a batch are written aside and put in
+place by one commit (``sources.commits``), as are the tables that follow from them (``plans.refresh``).
+
+``COMPACTED`` is the batch of a closed day, into which its batches are merged. Each of its rows knows the batches that
+brought it (``ORIGINS``, in the files only), and ``merged`` lists them by day. A batch that is ingested again later takes
+its rows out of the compacted days it is in and puts the new ones there.
 """
 
 from __future__ import annotations
@@ -28,9 +38,10 @@ from tallybeam.config import RETENTION_DAYS, USER_EMAIL
 from tallybeam.functions.timex import AsOf, day_before, ts_lit
 from tallybeam.operators import ingest
 from tallybeam.operators.base_view import analytics_view, parsed_json, stored_columns
-from tallybeam.sources import folders
+from tallybeam.sources import commits, folders, index
 
 COMPACTED = "compacted"
+ORIGINS = "_origins"
 ROWS_PER_FILE = 500_000
 
 RAW_DOC = {
@@ -66,6 +77,10 @@ DEAD_SCHEMA = T.StructType([
 ])
 
 
+# What the files hold: rows of a compacted day also have the batches that brought them.
+STORED_SCHEMA = T.StructType([*RAW_SCHEMA.fields[:-2], T.StructField(ORIGINS, T.ArrayType(T.StringType())), *RAW_SCHEMA.fields[-2:]])
+MERGED_SCHEMA = "batch string, day date"
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -84,18 +99,29 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+RAW, DEAD_LETTERS, MERGED = "log/tier=raw", "log/tier=dead_letter", "merged"
+
+
 def raw_path(root: str) -> str:
-    return f"{root}/log/tier=raw"
+    return f"{root}/{RAW}"
 
 
 def dead_letter_path(root: str) -> str:
-    return f"{root}/log/tier=dead_letter"
+    return f"{root}/{DEAD_LETTERS}"
+
+
+def merged_path(root: str) -> str:
+    return f"{root}/{MERGED}"
 
 
 def base_path(root: str) -> str:
     return f"{root}/base"
 
 
+def general_path(root: str) -> str:
+    return f"{root}/general"
+
+
 def incremental_path(root: str, name: str) -> str:
     return f"{root}/incremental/{name}"
 
@@ -104,24 +130,23 @@ def minutes_path(root: str) -> str:
     return f"{root}/quota_minutes"
 
 
-def drop_batch(spark: SparkSession, path: str, batch: str) -> None:
-    """Remove what a batch wrote to a table, on any day."""
-    folders.remove(spark, folders.matching(spark, f"{path}/day=*/batch={folders.checked(batch)}"))
+def lag_path(root: str) -> str:
+    return f"{root}/ingest_lag"
+
+
+def write_folders(rows: DataFrame, path: str, *cluster: str) -> None:
+    """Store rows that have a ``day`` and a ``batch``, in files that follow their size."""
+    folders.make(rows.sparkSession, path)
+    spread = rows.hint("rebalance", "day").sortWithinPartitions("day", "batch", *cluster)
+    spread.write.mode("append").partitionBy("day", "batch").parquet(path)
 
 
 def write_batch(rows: DataFrame, path: str, batch: str, *cluster: str) -> None:
     """Store rows that have a ``day`` as the whole of one batch."""
     spark = rows.sparkSession
-    drop_batch(spark, path, batch)
-    folders.make(spark, path)
-    (
-        rows.withColumn("batch", F.lit(batch))
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day", *cluster)
-        .write.mode("append")
-        .partitionBy("day", "batch")
-        .parquet(path)
-    )
+    aside = commits.begin(spark, path, batch)
+    write_folders(rows.withColumn("batch", F.lit(batch)), aside, *cluster)
+    commits.commit(spark, path, batch, commits.replacing(spark, path, aside, "", batch))
 
 
 def spread_by_size(rows: DataFrame, keys: tuple[str, ...], salt: tuple[str, ...], rows_per_file: int) -> DataFrame:
@@ -136,16 +161,18 @@ def spread_by_size(rows: DataFrame, keys: tuple[str, ...], salt: tuple[str, ...]
 
 
 def write_log(
-    classified_rows: DataFrame, root: str, batch: str, arrived: Column, rows_per_file: int | None = None
+    classified_rows: DataFrame, root: str, batch: str, arrived: Column, rows_per_file: int | None = None, only_new: bool = False
 ) -> None:
-    """Store raw rows and dead letters of one batch in a single pass over the messages.
+    """Store raw rows and dead letters of one batch, in a single pass over the messages, as one commit.
 
     ``classified_rows`` comes from ``ingest.to_raw`` (de-duplicated). Rebalancing by day lets
     Spark split a day that holds most rows into many tasks and merge small ones, which a plain
     repartition by day would not; micro-batches give ``rows_per_file`` instead. A batch that is
-    repeated replaces its rows, also if it arrives on another day.
+    repeated replaces its rows, also if it arrives on another day or if its days were compacted since. With ``only_new``
+    messages that other batches stored are left out, found in the id index.
     """
     spark = classified_rows.sparkSession
+    aside = commits.begin(spark, root, batch)
     rejected = F.col("outcome") == ingest.DEAD_LETTER
     rows = classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER)).select(
         *ingest.RAW_COLUMNS,
@@ -160,15 +187,49 @@ def write_log(
         spread = spread_by_size(rows, ("tier", "day"), ("insertId", "value", "jsonPayload_json"), rows_per_file)
     else:
         spread = rows.hint("rebalance", "tier", "day")
-    for path in (raw_path(root), dead_letter_path(root)):
-        drop_batch(spark, path, batch)
-        folders.make(spark, path)
     (
         spread.sortWithinPartitions("tier", "day", "batch", "logName", "severity")
         .write.mode("append")
         .partitionBy("tier", "day", "batch")
-        .parquet(f"{root}/log")
+        .parquet(f"{aside}/log")
     )
+    merged = merged_days(spark, root, batch)
+    names = [day_folder(day) for day in merged]
+    if only_new:
+        _drop_known(spark, root, aside, batch, skip=names)
+    for path in (raw_path(aside), raw_path(root), dead_letter_path(root)):
+        folders.make(spark, path)
+    index.write(spark, read_raw(spark, aside), aside, skip=merged)
+    moves = [
+        move
+        for table in (RAW, index.IDS, index.USERS)
+        for move in commits.replacing(spark, root, aside, table, batch, frozenset(names))
+    ] + commits.replacing(spark, root, aside, DEAD_LETTERS, batch)
+    if merged:
+        # The rows of the batch leave the compacted days, and the new ones are merged into them.
+        without = F.array_remove(ORIGINS, batch)
+        others = read_stored(spark, root).filter(of_days(merged) & (F.col("batch") != batch))
+        others = others.withColumn(ORIGINS, without).filter(F.col(ORIGINS).isNull() | (F.size(ORIGINS) > 0))
+        again = others.unionByName(read_stored(spark, aside).filter(of_days(merged)))
+        moves += _merge(spark, root, f"{aside}/again", again, merged, "again/")
+    commits.commit(spark, root, batch, moves)
+
+
+def _drop_known(spark: SparkSession, root: str, aside: str, batch: str, skip: list[str]) -> None:
+    """Rewrite the staged rows if other batches stored messages that are among them."""
+    path, before = raw_path(aside), f"{aside}/before"
+    days = [v for v in folders.partition_values(spark, path, "day") if v not in skip]
+    if not days:
+        return
+    folders.rename(spark, path, before)
+    staged = spark.read.schema(RAW_SCHEMA).parquet(before)
+    found = index.redelivered(spark, root, batch, staged, days)
+    if found is None:
+        folders.rename(spark, before, path)
+        return
+    found = found.select(F.col("day").alias("found_day"), F.col("insertId").alias("found_id"))
+    same = F.col("day").eqNullSafe(F.col("found_day")) & (F.col("insertId") == F.col("found_id"))
+    write_folders(staged.join(found, same, "left_anti"), path, "logName", "severity")
 
 
 def ingest_batch(
@@ -178,10 +239,12 @@ def ingest_batch(
     batch: str = "batch-0",
     ingest_ts: AsOf | None = None,
     known: DataFrame | None = None,
+    only_new: bool = False,
 ) -> None:
     """Messages to stored raw rows and dead letters, redelivered copies removed.
 
-    ``known`` are raw rows of other batches (``known_rows``); messages among them are redeliveries and left out.
+    Messages that other batches stored are redeliveries, too. ``only_new`` finds them in the id index and leaves them out;
+    ``known`` does so for given raw rows (``known_rows``), whose ids are read.
     ``plans.refresh.refresh_batch`` carries the batch on to the base table and the stored views.
     """
     arrived = ts_lit(ingest_ts) if ingest_ts else F.current_timestamp()
@@ -189,7 +252,7 @@ def ingest_batch(
     kept = ingest.deduplicate(ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER))
     if known is not None:
         kept = ingest.only_new(kept.withColumn("day", F.to_date("timestamp")), known).drop("day")
-    write_log(kept, root, batch, arrived)
+    write_log(kept, root, batch, arrived, only_new=only_new)
 
 
 def known_rows(spark: SparkSession, root: str, batch: str, since: date | None = None) -> DataFrame | None:
@@ -204,6 +267,22 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).parquet(raw_path(root))
 
 
+def read_stored(spark: SparkSession, root: str) -> DataFrame:
+    """Raw rows with the batches that brought them, where they were merged."""
+    return spark.read.schema(STORED_SCHEMA).parquet(raw_path(root))
+
+
+def merged_days(spark: SparkSession, root: str, batch: str) -> list[date | None]:
+    """Compacted days that hold, or held, rows of a batch."""
+    if not folders.exists(spark, merged_path(root)):
+        return []
+    return stored_days(read_merged(spark, root).filter(F.col("batch") == batch))
+
+
+def read_merged(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(MERGED_SCHEMA).parquet(merged_path(root))
+
+
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DEAD_SCHEMA).parquet(dead_letter_path(root))
 
@@ -220,15 +299,6 @@ def write_base(raw: DataFrame, path: str, **view_options) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", "batch").parquet(path)
 
 
-def write_base_batch(raw: DataFrame, path: str, batch: str, **view_options) -> None:
-    """Store the base view of one batch in place of what it had."""
-    spark = raw.sparkSession
-    rows = _base_rows(raw.filter(F.col("batch") == batch), **view_options)
-    drop_batch(spark, path, batch)
-    folders.make(spark, path)
-    rows.write.mode("append").partitionBy("day", "batch").parquet(path)
-
-
 def read_base(spark: SparkSession, path: str) -> DataFrame:
     """The stored base view; the parsed JSON columns are computed only when selected."""
     return parsed_json(spark.read.schema(base_schema(spark)).parquet(path))
@@ -291,13 +361,42 @@ def repair_days(spark: SparkSession, root: str, days: list[date | None]) -> None
     this is the repair for both. File counts follow the size (``rebalance``), not the batches that
     came in. ``plans.refresh.refresh_days`` carries the days on to the base table and stored views.
     """
+    aside = commits.begin(spark, root, COMPACTED)
+    folders.finish(spark, raw_path(root))
+    if days:
+        moves = _merge(spark, root, aside, read_stored(spark, root).filter(of_days(days)), days)
+        commits.commit(spark, root, COMPACTED, moves)
+
 
-    def compacted(rows: DataFrame) -> DataFrame:
-        numbered = rows.withColumn("row_id", F.monotonically_increasing_id().cast("string"))
-        unique = ingest.deduplicate(numbered.withColumn("tie", F.xxhash64(*ingest.RAW_COLUMNS)))
-        return unique.withColumn("batch", F.lit(COMPACTED))
+def _merge(
+    spark: SparkSession, root: str, aside: str, rows: DataFrame, days: list[date | None], prefix: str = ""
+) -> commits.Moves:
+    """Stage ``rows`` as all that some days have, each message once, and say what takes which place.
 
-    rewrite_days(spark, read_raw(spark, root), days, raw_path(root), compacted)
+    ``prefix`` is what precedes the staged folders within the commit. A row that came in several batches belongs to all of
+    them. Only ids that did are collected by id.
+    """
+    brought = F.coalesce(F.col(ORIGINS), F.array("batch"))
+    numbered = rows.withColumn(ORIGINS, brought).withColumn("row_id", F.monotonically_increasing_id().cast("string"))
+    unique = ingest.deduplicate(numbered.withColumn("tie", F.xxhash64(*ingest.RAW_COLUMNS)))
+    pairs = rows.filter("insertId is not null").select("insertId", F.explode(brought).alias("origin"))
+    several = pairs.groupBy("insertId").agg(F.collect_set("origin").alias("all")).filter(F.size("all") > 1)
+    several = several.select(F.col("insertId").alias("same_id"), "all")
+    joined = unique.join(several, F.col("insertId") == F.col("same_id"), "left")
+    compacted = joined.withColumns({ORIGINS: F.coalesce("all", ORIGINS), "batch": F.lit(COMPACTED)})
+    write_folders(compacted.select(*STORED_SCHEMA.names), raw_path(aside), "logName", "severity")
+    index.write(spark, read_raw(spark, aside), aside)
+    names = read_stored(spark, aside).select(F.explode(ORIGINS).alias("batch"), "day")
+    if folders.exists(spark, merged_path(root)):
+        # A batch stays listed when its last row has gone, so that what follows from the day is brought up to date with it.
+        names = names.unionByName(read_merged(spark, root).filter(of_days(days)))
+    names.distinct().repartition("day").write.partitionBy("day").parquet(merged_path(aside))
+    values = [day_folder(day) for day in days]
+    return [
+        (staged and prefix + staged, place)
+        for table in (RAW, index.IDS, index.USERS, MERGED)
+        for staged, place in commits.whole_days(spark, aside, table, values)
+    ]
 
 
 def stored_days(frame: DataFrame) -> list[date | None]:
@@ -317,6 +416,7 @@ def expire(spark: SparkSession, path: str, as_of: AsOf, keep_days: int, column:
 def expire_all(spark: SparkSession, root: str, table_root: str, as_of: AsOf) -> dict[str, list[date]]:
     """Apply the documented retention to the log with all that is derived from it, and to the scheduled tables."""
     logs = [raw_path(root), dead_letter_path(root), base_path(root), minutes_path(root)]
+    logs += [general_path(root), lag_path(root), merged_path(root), *index.paths(root)]
     logs += folders.matching(spark, f"{root}/incremental/*")
     removed = {path: expire(spark, path, as_of, RETENTION_DAYS["raw"]) for path in logs}
     for name, column in SCHEDULED.items():

@@ -40,20 +40,22 @@ def start_ingest(
     horizon: str = "1 day",
     rows_per_file: int = tables.ROWS_PER_FILE,
     refresh: bool = True,
+    only_new: bool = False,
 ) -> StreamingQuery:
     """Write a message stream to the log tables; ``every=None`` takes what is there and stops.
 
     Each micro-batch owns the partition ``batch=stream-<id>`` in the log and, with ``refresh``, in
     the base table and every stored view. A batch that is repeated, after a failure at any place,
     replaces all of them, so every row is stored and counted once. The tasks of a batch follow its
-    size. ``tables.repair_days`` compacts a day once it is complete.
+    size. ``tables.repair_days`` compacts a day once it is complete. ``only_new`` also leaves out messages that other
+    batches stored, however long ago, by the id index.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
         batch = f"stream-{batch_id}"
         kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            tables.write_log(kept, root, batch, F.col("arrived"), rows_per_file)
+            tables.write_log(kept, root, batch, F.col("arrived"), rows_per_file, only_new)
         finally:
             kept.unpersist()
         if refresh:
