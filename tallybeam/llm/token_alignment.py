@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallybeam.llm.shared import pack, raw_texts, stored, unpack
 
 LANE = 2048
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 MARK = "▁"  # fixed value: a space in the piece model's vocabulary
 
 
