@@ -602,6 +602,8 @@ def _finals() -> dict[str, str]:
         # streaming
         "stream_quota_minute": """SELECT day, "minute", user_email, model, requests_per_minute,
  error_429_count_per_minute, total_errors_per_minute FROM minutes""",
+        "stream_quota_alerts": """SELECT day, "minute", user_email, model, requests_per_minute,
+ CAST(1 AS BIGINT) AS times_raised FROM minutes WHERE requests_per_minute > 0""",
         "late_data_days": f"""SELECT day, count(*) AS row_count,
  {cnt('CAST("receiveTimestamp" AS DATE) > day')} AS received_later FROM av GROUP BY day""",
     }

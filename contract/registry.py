@@ -17,6 +17,7 @@ from tallybeam.functions.jsonx import json_scalar
 from tallybeam.operators import base_view, checks, error_summary, incremental, ingest, privacy, rollups, views
 from tallybeam.plans import build, dashboards, panels, refresh
 from tallybeam.sources import tables
+from tallybeam.streaming import alerts as stream_alerts
 from tallybeam.streaming import ingest as stream_ingest
 from tallybeam.streaming import quota
 
@@ -537,7 +538,7 @@ def stream_root(spark, sf_dir):
 
         # Several micro-batches, so that most minutes get events from more than one.
         stream = stream_envelopes(spark, adapter.messages_path(spark, sf_dir), max_files_per_trigger=3)
-        query = stream_ingest.start_ingest(stream, root, f"{root}/checkpoint", adapter.PROJECT, every=None)
+        query = stream_ingest.start_ingest(stream, root, f"{root}/checkpoint", adapter.PROJECT, every=None, alert_limit=0)
         query.awaitTermination()
 
     return adapter.prepared(spark, sf_dir, "stream", run)
@@ -591,6 +592,17 @@ def late_data_days(spark, sf_dir):
     )
 
 
+def stream_quota_alerts(spark, sf_dir):
+    """Minutes over the limit as the micro-batches reported them, and how often each was raised."""
+    root = stream_root(spark, sf_dir)
+    reports = stream_alerts.read_reports(spark, root)
+    raised = reports.groupBy(*stream_alerts.KEY).agg(F.count_if(F.col("kind") == stream_alerts.RAISED).alias("times_raised"))
+    found = stream_alerts.read_alerts(spark, root)
+    names = {name: f"of_{name}" for name in stream_alerts.KEY}
+    same = functools.reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(of)) for name, of in names.items()])
+    return found.join(raised.withColumnsRenamed(names), same).select(*found.columns, "times_raised")
+
+
 def stream_quota_minute(spark, sf_dir):
     """Counts that the micro-batches stored, added up."""
     return quota.read_quota_minutes(spark, tables.minutes_path(stream_root(spark, sf_dir)))
@@ -751,6 +763,7 @@ def all_queries() -> dict[str, Query]:
         "stream_ingest": streamed_rows,
         "stream_exactly_once": stream_exactly_once,
         "stream_quota_minute": stream_quota_minute,
+        "stream_quota_alerts": stream_quota_alerts,
         "late_data_days": late_data_days,
     }
     for name, function in USER_VIEWS.items():

@@ -16,7 +16,7 @@ from tallybeam.functions.timex import AsOf, day_before, event_day, ts_lit
 from tallybeam.operators import base_view, checks, incremental, rollups, views
 from tallybeam.sources import commits, folders, index, tables
 from tallybeam.sources.index import email_of
-from tallybeam.streaming import quota
+from tallybeam.streaming import alerts, quota
 
 
 def lookup(pseudonymous_av: DataFrame, email: str) -> DataFrame:
@@ -145,7 +145,7 @@ def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None =
     commits.finish(spark, root)
     users = f"{root}/{index.USERS}"
     logs = [tables.raw_path(root), tables.base_path(root), tables.general_path(root), tables.dead_letter_path(root)]
-    logs += [tables.minutes_path(root), tables.lag_path(root), users]
+    logs += [tables.minutes_path(root), tables.alerts_path(root), tables.lag_path(root), users]
     views_of = {name: tables.incremental_path(root, name) for name in incremental.ROLLUPS}
     for path in [*logs, *views_of.values(), *([alerts_path] if alerts_path else [])]:
         folders.finish(spark, path)
@@ -161,6 +161,9 @@ def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None =
         if folders.exists(spark, tables.minutes_path(root)):
             minutes = quota.read_partials(spark, tables.minutes_path(root))
             tables.rewrite_days(spark, minutes, days, tables.minutes_path(root), lambda rows: rows.filter(other))
+        if folders.exists(spark, tables.alerts_path(root)):
+            reports = alerts.read_reports(spark, root)
+            tables.rewrite_days(spark, reports, days, tables.alerts_path(root), lambda rows: rows.filter(other))
         raw = tables.read_stored(spark, root)
         if folders.exists(spark, tables.base_path(root)):
             # The base table is written from what stays of the raw rows, which also brings it up to date.
@@ -185,11 +188,11 @@ def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None =
         path = tables.dead_letter_path(root)
         tables.rewrite_days(spark, dead, result.dead_letter_days, path, lambda rows: rows.filter(~hit))
     if alerts_path and folders.exists(spark, alerts_path):
-        alerts = rollups.read_alerts(spark, alerts_path)
+        scheduled = rollups.read_alerts(spark, alerts_path)
         hit = F.coalesce(F.col("user_identifier") == email, F.lit(False))
-        dates = [r[0] for r in alerts.filter(hit).select("alert_date").distinct().collect()]
+        dates = [r[0] for r in scheduled.filter(hit).select("alert_date").distinct().collect()]
         if dates:
-            kept = alerts.filter(F.col("alert_date").isin(dates) & ~hit)
+            kept = scheduled.filter(F.col("alert_date").isin(dates) & ~hit)
             tables.rewrite(spark, kept, dates, alerts_path, ("alert_date", "run"))
         result.alert_dates = sorted(dates)
     return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,16 @@ def keep_general_copy(spark: SparkSession, root: str) -> None:
     tables.write_base(tables.read_raw(spark, root), tables.general_path(root), **GENERAL_ACCESS)
 
 
+def write_together(found: dict[str, DataFrame], aside: str) -> None:
+    """Stage small tables side by side; one after the other, each would leave most of a cluster idle."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for written in [pool.submit(tables.write_folders, rows, f"{aside}/{table}") for table, rows in found.items()]:
+            written.result()
+
+
+AT_ONCE = 5
+
+
 def _staged(spark: SparkSession, root: str, aside: str, raw: DataFrame) -> None:
     """Stage base rows, and the general-access copy where there is one."""
     tables.write_folders(stored_columns(analytics_view(raw)), tables.base_path(aside), "event_name")
@@ -60,10 +71,9 @@ def refresh_batch(spark: SparkSession, root: str, batch: str) -> None:
     aside = commits.begin(spark, root, name)
     _staged(spark, root, aside, tables.read_raw(spark, root).filter(F.col("batch") == batch))
     found = derived(tables.read_base(spark, tables.base_path(aside)))
+    write_together({table: rows.withColumn("batch", F.lit(batch)) for table, rows in found.items()}, aside)
     moves: commits.Moves = []
     for table in ("base", "general", *found):
-        if table in found:
-            tables.write_folders(found[table].withColumn("batch", F.lit(batch)), f"{aside}/{table}")
         if table != "general":
             folders.make(spark, f"{root}/{table}")
         moves += commits.replacing(spark, root, aside, table, batch)
@@ -81,10 +91,9 @@ def refresh_days(spark: SparkSession, root: str, days: list[date | None]) -> Non
     aside = commits.begin(spark, root, name)
     _staged(spark, root, aside, tables.read_raw(spark, root).filter(tables.of_days(days)))
     found = derived_by_batch(tables.read_base(spark, tables.base_path(aside)))
+    write_together({table: rows for table, rows in found.items() if folders.exists(spark, f"{root}/{table}")}, aside)
     moves: commits.Moves = []
     for table in ("base", "general", *found):
         if folders.exists(spark, f"{root}/{table}"):
-            if table in found:
-                tables.write_folders(found[table], f"{aside}/{table}")
             moves += commits.whole_days(spark, aside, table, [tables.day_folder(day) for day in days])
     commits.commit(spark, root, name, moves)

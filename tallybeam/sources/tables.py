@@ -11,6 +11,7 @@ Layout below one root::
     general/day=<event day>/batch=<id>/              the same for general access, where it is kept (plans.refresh)
     incremental/<view>/day=<event day>/batch=<id>/   mergeable aggregates, see operators.incremental
     quota_minutes/day=<event day>/batch=<id>/        minute counts, see streaming.quota
+    minute_alerts/day=<event day>/batch=<id>/        minutes over the limit, see streaming.alerts
     ingest_lag/day=<event day>/batch=<id>/           lag figures with quantile sketches, see operators.checks
 
 A batch owns its folders in all of them: running it again replaces them, on whatever days they are, so nothing of an
@@ -130,6 +131,10 @@ def minutes_path(root: str) -> str:
     return f"{root}/quota_minutes"
 
 
+def alerts_path(root: str) -> str:
+    return f"{root}/minute_alerts"
+
+
 def lag_path(root: str) -> str:
     return f"{root}/ingest_lag"
 
@@ -416,7 +421,7 @@ def expire(spark: SparkSession, path: str, as_of: AsOf, keep_days: int, column:
 def expire_all(spark: SparkSession, root: str, table_root: str, as_of: AsOf) -> dict[str, list[date]]:
     """Apply the documented retention to the log with all that is derived from it, and to the scheduled tables."""
     logs = [raw_path(root), dead_letter_path(root), base_path(root), minutes_path(root)]
-    logs += [general_path(root), lag_path(root), merged_path(root), *index.paths(root)]
+    logs += [general_path(root), lag_path(root), alerts_path(root), merged_path(root), *index.paths(root)]
     logs += folders.matching(spark, f"{root}/incremental/*")
     removed = {path: expire(spark, path, as_of, RETENTION_DAYS["raw"]) for path in logs}
     for name, column in SCHEDULED.items():

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallybeam.operators import ingest
 from tallybeam.plans.refresh import refresh_batch
 from tallybeam.sources import tables
+from tallybeam.streaming import alerts
 
 
 def deduplicated_stream(messages: DataFrame, project: str, horizon: str = "1 day") -> DataFrame:
@@ -41,6 +42,7 @@ def start_ingest(
     rows_per_file: int = tables.ROWS_PER_FILE,
     refresh: bool = True,
     only_new: bool = False,
+    alert_limit: int | None = None,
 ) -> StreamingQuery:
     """Write a message stream to the log tables; ``every=None`` takes what is there and stops.
 
@@ -48,7 +50,8 @@ def start_ingest(
     the base table and every stored view. A batch that is repeated, after a failure at any place,
     replaces all of them, so every row is stored and counted once. The tasks of a batch follow its
     size. ``tables.repair_days`` compacts a day once it is complete. ``only_new`` also leaves out messages that other
-    batches stored, however long ago, by the id index.
+    batches stored, however long ago, by the id index. With ``alert_limit`` each batch reports the minutes that it brought
+    over this many requests (``streaming.alerts``).
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
@@ -60,6 +63,8 @@ def start_ingest(
             kept.unpersist()
         if refresh:
             refresh_batch(rows.sparkSession, root, batch)
+            if alert_limit is not None:
+                alerts.report(rows.sparkSession, root, batch, alert_limit)
 
     writer = (
         deduplicated_stream(messages, project, horizon)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallybeam.operators import checks, incremental, ingest, privacy, rollups, views
 from tallybeam.plans import refresh
 from tallybeam.sources import commits, folders, index, tables
-from tallybeam.streaming import quota
+from tallybeam.streaming import alerts, quota
 from tests.samples import envelope, event, messages
 from tests.test_tables import ME, OTHER, days_and_ids, ingested, response
 
@@ -273,6 +273,38 @@ def test_lag_sketches_merge(spark):
     assert checks.read_ingest_lag(spark, tables.lag_path(root)).count() == 1
 
 
+def reports(spark, root):
+    return sorted((r.batch, r.kind, r.user_email, str(r.minute)[11:16], r.requests_per_minute) for r in alerts.read_reports(spark, root).collect())
+
+
+def test_minutes_are_raised_once_and_corrected(spark):
+    """A late event corrects, one in a minute that stays below does nothing, a repeated batch reports the same."""
+
+    def at(name, *seconds, minute=0, user=ME):
+        return [response(f"{name}{s}", f"2024-01-05T10:{minute:02d}:{s:02d}Z", user) for s in seconds]
+
+    batches = [[*at("a", 1, 2), *at("b", 1, 2, 3, minute=1), *at("o", 5, user=OTHER)], at("c", 7, 8), [*at("d", 9), *at("e", 1, minute=2)]]
+    root = None
+    for k, values in enumerate(batches):
+        root = carried(spark, *values, batch=f"b{k}", root=root)
+        alerts.report(spark, root, f"b{k}", 2)
+    expected = [("b0", "raised", ME, "10:01", 3), ("b1", "raised", ME, "10:00", 4), ("b2", "corrected", ME, "10:00", 5)]
+    assert reports(spark, root) == expected
+    assert sorted(r.requests_per_minute for r in alerts.read_alerts(spark, root).collect()) == [3, 5]
+    assert [str(r.minute)[11:16] for r in alerts.held(spark, root, 2).collect()] == ["10:01"]
+    assert alerts.held(spark, root, 3).count() == 0
+    alerts.report(spark, root, "b2", 2)
+    assert reports(spark, root) == expected
+    tables.repair_days(spark, root, DAYS[:1])
+    refresh.refresh_days(spark, root, DAYS[:1])
+    carried(spark, *batches[1], batch="b1", root=root)
+    alerts.report(spark, root, "b1", 2)
+    assert {r[2:4] for r in reports(spark, root)} == {(ME, "10:01"), (ME, "10:00")}
+    assert sorted(r.requests_per_minute for r in alerts.read_alerts(spark, root).collect()) == [3, 5]
+    privacy.erase(spark, root, ME)
+    assert reports(spark, root) == []
+
+
 def test_distinct_users_and_sessions_add_up(spark):
     """One user in two batches, two sessions, events and days; a row without a user."""
     one = [response("a", "2024-01-05T10:00:00Z", **{"session.id": "s1", "duration_ms": 4}), response("b", "2024-01-06T10:00:00Z", **{"session.id": "s1"})]
