@@ -105,6 +105,36 @@ def unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+FAN_IN = 32  # blobs that one task of a tree adds up
+
+
+def added_up(parts: DataFrame, tasks: int, fan_in: int = FAN_IN) -> tuple | None:
+    """The sum, entry by entry, of packed tuples in the column ``blob``; None if there are none.
+
+    ``tasks`` is about how many there are. Tasks add up ``fan_in`` of them at a time, in a tree, so the driver gets as few.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                total = _added(total, unpack(blob))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(*total)], pa.binary())], ["blob"])
+
+    while tasks > fan_in:
+        tasks = math.ceil(tasks / fan_in)
+        parts = parts.repartition(tasks, F.xxhash64("blob")).mapInArrow(merge, "blob binary")
+    total = None
+    for row in parts.toLocalIterator():
+        total = _added(total, unpack(bytes(row.blob)))
+    return total
+
+
+def _added(total: tuple | None, values: tuple) -> tuple:
+    return values if total is None else tuple(a + b for a, b in zip(total, values, strict=True))
+
+
 def raw_texts(table: pa.Table | pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of the texts; null is empty."""
     return [t or b"" for t in pc.cast(table.column(column), pa.large_binary()).to_pylist()]
