@@ -14,6 +14,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,11 +72,11 @@ def linked_parts(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak parts that a part of a complementing kind, weak or strong, joins within the scope."""
     weak = {kind: [(kind, m.start(1), m.end(1)) for m in pattern.finditer(text)] for kind, pattern in WEAK.items()}
     covered = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in covered]
+    starts, furthest = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
 
     def free(span: Span) -> bool:
         at = bisect_left(starts, span[2])
-        return all(e <= span[1] for _, e in covered[max(0, at - 3) : at])
+        return not at or furthest[at - 1] <= span[1]
 
     weak = {kind: [s for s in spans if free(s)] for kind, spans in weak.items()}
     # Strong findings are parts too: an access key identifies, an assigned or hex value is a secret.
