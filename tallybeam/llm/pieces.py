@@ -139,6 +139,8 @@ class PieceModel:
             raise ValueError("models that do not escape spaces are not supported")
         self.pairs = {name[k : k + 2] for name in self.scores for k in range(len(name) - 1)}
         self.words, self.stretches = Remembered(self._word_ids, keep), Remembered(self._stretch_ids, keep)
+        self.width_of = np.array([1 if k in self.bytes_of else len(name.encode()) for k, name in enumerate(self.names)])
+        self.is_byte = np.array([k in self.bytes_of for k in range(len(self.names))])
         self.text_of = [
             bytes([self.bytes_of[k]]) if k in self.bytes_of
             else b"" if k in self.silent
@@ -232,37 +234,42 @@ class PieceModel:
 
     def encode(self, text: bytes) -> np.ndarray:
         """All ids, with begin and end."""
-        clean, _ = self.normalised(text)
+        return self._encoded(self.normalised(text)[0])
+
+    def _encoded(self, clean: bytes) -> np.ndarray:
         ends = [struct.pack("<I", k) for k in (self.begin, self.end)]
         return np.frombuffer(b"".join([ends[0], *map(self.words.__getitem__, self._words(clean)), ends[1]]), "<u4")
 
-    def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """Id, first and last-plus-one original byte of every piece, without begin and end."""
+    def encode_aligned(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, with begin and end, and for each the first and last-plus-one byte of the original that it stands for.
+
+        Begin and end stand for the empty stretches before and after the text.
+        """
         clean, source = self.normalised(text)
+        ids = self._encoded(clean)
+        # Pieces lie end to end in the marked text, where a space is as long as a mark and the added mark has no source.
+        high = np.cumsum(self.width_of[ids[1:-1]])
+        low = high - self.width_of[ids[1:-1]]
+        raw = np.frombuffer(clean, np.uint8)
+        wide = np.where(raw == 32, len(MARK_BYTES), 1)
+        added = len(MARK_BYTES) * (self.prefix and len(raw) > 0)
+        if len(self.bytes_of) and (parts := self.is_byte[ids[1:-1]]).any():
+            # The bytes of a character without a piece all stand for that character.
+            lead = np.repeat((raw & 0xC0) != 0x80, wide)
+            lead[1:] &= np.repeat(np.arange(len(raw)), wide)[1:] != np.repeat(np.arange(len(raw)), wide)[:-1]
+            begins = np.concatenate([np.arange(1) if added else np.arange(0), np.flatnonzero(lead) + added, [len(lead) + added]])
+            at = np.searchsorted(begins, low[parts], "right")
+            low[parts], high[parts] = begins[at - 1], begins[at]
         if source is None:
-            source = np.arange(len(clean) + 1)
-        # The same alignment for the marked text, where a space is as long as a mark and the added mark has no source.
-        wide = np.where(np.frombuffer(clean, np.uint8) == 32, len(MARK_BYTES), 1)
-        added = len(MARK_BYTES) * self.prefix
-        source = np.concatenate([np.repeat(source[:1], added), np.repeat(source[:-1], wide), source[-1:]])
-        out, at = [], 0
-        for word in self._words(clean):
-            raw, low = word.encode(), 0
-            for k in np.frombuffer(self.words[word], "<u4").tolist():
-                if k in self.bytes_of:  # the bytes of a character without a piece all stand for that character
-                    start, used = low, 1
-                    while raw[start] & 0xC0 == 0x80:
-                        start -= 1
-                    high = low + 1
-                    while high < len(raw) and raw[high] & 0xC0 == 0x80:
-                        high += 1
-                else:
-                    start, used = low, len(self.names[k].encode())
-                    high = low + used
-                out.append((k, int(source[at + start]), int(source[at + high])))
-                low += used
-            at += len(raw)
-        return out
+            source = np.arange(len(raw) + 1)
+        place = np.concatenate([np.repeat(source[:1], added), np.repeat(source[:-1], wide), source[-1:]])
+        edge = np.array([0]), np.array([len(text)])
+        starts, ends = (np.concatenate([edge[0], place[x], edge[1]]) for x in (low, high))
+        return ids, starts, ends
+
+    def spans(self, text: bytes) -> list[tuple[int, int, int]]:
+        """Id, first and last-plus-one original byte of every piece, without begin and end."""
+        return list(zip(*(x[1:-1].tolist() for x in self.encode_aligned(text)), strict=True))
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters, control ids are silent."""
@@ -320,24 +327,28 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: number of ids, digests of the ids and of the text decoded from them."""
+    """Per document: number of ids, digests of the ids, of the text decoded from them, and of their spans.
+
+    ``spans_sha256`` is of ids, first and last-plus-one original bytes, one piece after another, in the form of the ids.
+    """
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches_of(rows):
-            counts, ids_digests, text_digests = [], [], []
+            counts, ids_digests, text_digests, span_digests = [], [], [], []
             for text in batch.column("text").to_pylist():
-                ids = m.encode(text.encode())
+                ids, *places = m.encode_aligned(text.encode())
                 counts.append(len(ids))
+                span_digests.append(hashlib.sha256(np.stack([ids, *places], 1).astype("<u4").tobytes()).hexdigest())
                 ids_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_digests.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), *map(pa.array, (ids_digests, text_digests, span_digests))],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
