@@ -10,8 +10,8 @@ Fingerprints within the radius agree in so many blocks, so an equal join on tabl
 by the table of the first blocks that agree.
 
 Null text is empty text, which has the fingerprint of zeros, as has any text without a word. The next document is the next
-row by ``doc_id`` and, among rows that share one, by text; a null ``doc_id`` comes first; the last row is followed by the
-first. Other columns are ignored.
+row by ``doc_id`` and, among rows that share one, by text (where so many share one that they are cut into parts, by part
+first); a null ``doc_id`` comes first; the last row is followed by the first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from tallybeam.llm.shared import NO_ID, id_or_least, id_or_null, stored, text_or
 WORDS = 2  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 ROWS_PER_PART = 2000
-RADIUS = 16  # four of five near copies, at a similarity of 0.75 by five-word shingles, are within it
+RANGES = 64
+RADIUS = 18  # nine of ten near copies, at a similarity of 0.75 by five-word shingles, are within it
 AGREE = 2
 LANES = 0x100000001
 SPACE = " \t\n\x0b\x0c\r"
@@ -109,7 +110,7 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS
         keys = [F.get("cut", F.get("one.own", k)) for k in range(AGREE)]
         return rows.select(name, F.col("one.table").alias("table"), F.xxhash64(*keys).alias("key"))
 
-    met = tables(queries, "query").join(tables(index, "found"), ["table", "key"])
+    met = tables(queries, "query").join(tables(index, "found").hint("merge"), ["table", "key"])
     apart = distance(F.col("query"), F.col("found"))
     met = met.withColumn("distance", apart).filter(F.col("distance") <= radius)
     agree = [F.when(_block(F.col("query"), k, blocks) == _block(F.col("found"), k, blocks), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)]
@@ -121,29 +122,54 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS
     return met.filter(first == F.col("table")).select("query", "found", "distance")
 
 
+def id_ranges(rows: DataFrame, ranges: int = RANGES) -> list[int]:
+    """First ids of about ``ranges`` ranges that hold about as many rows each; an id that fills one is a range by itself."""
+    ends = rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)
+    limits = [min(int(v), 2**63 - 1) for v in ends]
+    alone = {v for v, after in zip(limits, limits[1:], strict=False) if v == after}
+    return sorted({NO_ID, NO_ID + 1, *limits, *(v + 1 for v in alone if v < 2**63 - 1)})
+
+
 def with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, DataFrame]:
     """All rows but the last of each part, and those: ``part, place, id, text, next_part, next_place, next_text``.
 
-    Parts are ranges of ids of equal width. A part's last row takes its next text from the first row of the next part that
-    has rows; these ends alone are joined.
+    Ids are cut into a fixed number of ranges at their quantiles, and a range into parts of equal width; where a range is
+    one id, which may be that of a third of all rows, parts are those of the texts' hash. A part's last row takes its next
+    text from the first row of the next part that has rows; these ends alone are joined.
     """
-    rows = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    known = F.when(F.col("id") != NO_ID, F.col("id"))
-    low, high, count = rows.agg(F.min(known), F.max(known), F.count("*")).first()
-    parts = max(1, count // rows_per_part)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    part = F.when(F.col("id") == NO_ID, 0).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width))).cast("long")
-    rows = rows.withColumn("part", part)
-    order = stored(rows.groupBy("part").agg(F.count("*").alias("last")), "parts")
-    first_part = order.agg(F.min("part")).first()[0]
-    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(first_part))
-    order = order.withColumn("following", following)
+    rows = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
+    limits = id_ranges(rows)
+    at = F.lit(0)
+    for k, limit in enumerate(limits[1:], 1):
+        at = F.when(F.col("id") >= F.lit(limit), F.lit(k)).otherwise(at)
+    rows = rows.withColumn("range", at)
+    found = {r["range"]: r for r in rows.groupBy("range").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).collect()}
+    begin, sizes = 0, []
+    for k in range(len(limits)):
+        low, high, n = (found[k]["low"], found[k]["high"], found[k]["n"]) if k in found else (0, 0, 0)
+        parts = max(1, n // rows_per_part)
+        sizes.append((k, begin, parts, low, min(max(1, -(-(high - low + 1) // parts)), 2**63 - 1), low == high))
+        begin += parts
+    # One row for each range, of which there is a fixed number.
+    plan = docs.sparkSession.createDataFrame(sizes, "range int, begin long, parts long, low long, width long, alone boolean")
+    rows = rows.join(F.broadcast(plan), "range")
+    by_hash = F.floor((F.shiftrightunsigned("hash", 33) * F.col("parts")) / F.lit(2**31))
+    by_id = F.floor((F.col("id").cast("double") - F.col("low").cast("double")) / F.col("width"))
+    within = F.least(F.when(F.col("alone"), by_hash).otherwise(by_id).cast("long"), F.col("parts") - 1)
+    rows = rows.select("id", "text", "hash", "range", (F.col("begin") + within).alias("part"))
+    order = stored(rows.groupBy("range", "part").agg(F.count("*").alias("last")), "parts")
+    firsts = {r["range"]: r["first"] for r in order.groupBy("range").agg(F.min("part").alias("first")).collect()}
+    # A range's last part is followed by the first of the next range that has rows, the last of all by the first of all.
+    after_range = [(k, min((f for r, f in firsts.items() if r > k), default=min(firsts.values()))) for k in firsts]
+    after = docs.sparkSession.createDataFrame(after_range, "range int, after long")
+    following = F.coalesce(F.lead("part").over(Window.partitionBy("range").orderBy("part")), F.col("after"))
+    order = order.join(F.broadcast(after), "range").select("part", following.alias("following"))
     inside = Window.partitionBy("part").orderBy("id", "text")
-    placed = rows.withColumns({"place": F.row_number().over(inside).cast("long"), "next_text": F.lead("text").over(inside)})
+    placed = rows.drop("range", "hash").withColumns({"place": F.row_number().over(inside).cast("long"), "next_text": F.lead("text").over(inside)})
     # Every row has a text, so only the last of a part has no next one.
-    ends = placed.filter("next_text is null").drop("next_text").join(order.select("part", "following"), "part")
+    ends = placed.filter("next_text is null").drop("next_text").join(order.hint("merge"), "part")
     heads = placed.filter("place = 1").select(F.col("part").alias("following"), F.col("text").alias("next_text"))
-    ends = ends.join(heads, "following").withColumns({"next_part": F.col("following"), "next_place": F.lit(1).cast("long")})
+    ends = ends.join(heads.hint("merge"), "following").withColumns({"next_part": F.col("following"), "next_place": F.lit(1).cast("long")})
     others = placed.filter("next_text is not null").withColumns({"next_part": F.col("part"), "next_place": F.col("place") + 1})
     columns = ["part", "place", "id", "text", "next_part", "next_place", "next_text"]
     return others.select(*columns), ends.select(*columns)
@@ -173,9 +199,10 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, queries: Column |
 
     inner, ends = with_next(docs)
     prints = of(inner).unionByName(of(ends))
-    found = stored(prints.join(facts(inner).unionByName(facts(ends)), ["part", "place"]), "fingerprints")
+    found = stored(prints.join(facts(inner).unionByName(facts(ends)).hint("merge"), ["part", "place"]), "fingerprints")
     after = found.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("words").alias("next_words"))
-    result = found.join(after, ["next_part", "next_place"]).select(
+    # Fingerprints grow with the table, whatever their files' size says, so they are never broadcast.
+    result = found.join(after.hint("merge"), ["next_part", "next_place"]).select(
         id_or_null("id").alias("doc_id"), "n_chars", "edited_sha256",
         as_text(F.col("words")).alias("fingerprint"), as_text(F.col("edited_words")).alias("edited_fingerprint"),
         likeness(F.col("words"), F.col("edited_words")).alias("near_edited"),
@@ -184,6 +211,8 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, queries: Column |
     if queries is not None:
         asked = found.withColumn("doc_id", id_or_null("id")).filter(queries)
         near = near_fingerprints(asked, found, radius).groupBy("query").agg(F.count("*").alias("n_near"))
-        result = result.join(near.withColumnRenamed("query", "words"), "words", "left")
-        result = result.withColumn("n_near", F.when(queries, F.col("n_near")))
+        asks = F.coalesce(queries, F.lit(False))
+        counted = result.filter(asks).join(near.withColumnRenamed("query", "words").hint("merge"), "words", "left")
+        others = result.filter(~asks).withColumn("n_near", F.lit(None).cast("long"))
+        result = counted.unionByName(others)
     return result.drop("words")

@@ -79,6 +79,78 @@ def test_lm_is_a_distribution_and_learns():
     assert loss() < before
 
 
+def small_language(seed=7):
+    """Sequences of words of one to three ids, ids below 20 begin a word; a model of them and its untrained weights."""
+    rng = np.random.default_rng(seed)
+    begins = np.arange(40) < 20
+    words = [np.concatenate([rng.integers(0, 20, 1), rng.integers(20, 40, rng.integers(0, 3))]) for _ in range(30)]
+    texts = [np.concatenate([words[k] for k in rng.integers(0, 30, 25)]) for _ in range(60)]
+    counts = np.bincount(np.concatenate(texts), minlength=40)
+    return begins, texts, lm_scoring.new_model(counts, families=4, members=5, width=8, hidden=12, begins=begins)
+
+
+@pytest.mark.parametrize("steps", [0, 300])
+def test_lm_words_have_a_probability_of_at_most_one(steps):
+    """Over all words of one, two and three ids after some text, trained or not; with long words it comes near 1."""
+    begins, texts, model = small_language()
+    if steps:
+        lm_scoring.fit(model, [model.class_of[t] for t in texts], steps=steps)
+    word_ids, others = np.flatnonzero(begins), np.flatnonzero(~begins)
+    for before in (texts[0][:0], texts[1][:7], texts[2][:33]):
+
+        def mass(words):
+            # After each word stands a begin of the next; its probability doesn't depend on which.
+            ids, begin = lm_scoring.scores(model, [np.concatenate([before, w, [0]]) for w in words])
+            size = len(before) + len(words[0]) + 1
+            ids, begin = ids.reshape(-1, size).astype(float), begin.reshape(-1, size).astype(float)
+            at = len(before)
+            return (10 ** (ids[:, at:-1].sum(1) - begin[:, at] + begin[:, -1])).sum()
+
+        one = mass([[b] for b in word_ids])
+        two = mass([[b, k] for b in word_ids for k in others])
+        three = mass([[b, k, m] for b in word_ids for k in others for m in others])
+        assert one + two + three <= 1 + 1e-5
+        assert one + two + three > (0.9 if steps else 0.5)
+
+
+def test_lm_chain_of_words():
+    """Each word by itself, with its end, from the probabilities of ids and begins."""
+    begins, texts, model = small_language()
+    ends = [t.copy() for t in texts[:3]]
+    for t in ends:
+        t[-1] = 3  # the end token is a word of one id
+    first = np.flatnonzero(begins[np.concatenate(ends)])
+    found = lm_scoring.word_chains(model, ends, first)
+    expected = []
+    for t in ends:
+        ids, begin = lm_scoring.scores(model, [t])
+        starts = np.flatnonzero(begins[t])
+        for k, low in enumerate(starts):
+            high = starts[k + 1] if k + 1 < len(starts) else len(t)
+            expected.append(ids[low:high].sum() - begin[low] + (begin[high] if high < len(t) else 0))
+    assert np.allclose(found, expected, atol=1e-4)
+
+
+def test_lm_learns_from_every_training_text(spark):
+    """Trainers of all texts, none of the held-out ones; the average of theirs is better than their common start."""
+    docs = queries.documents(spark, SF_DIR.replace("0.001", "0.01"))
+    coder = lm_scoring.subwords(BYTE_BPE)
+    sequences = lm_scoring.training_sequences(docs, F.lit(True), coder, 200)
+    counts = np.bincount(np.concatenate(sequences), minlength=coder.size)
+    start = lm_scoring.new_model(counts, begins=coder.begins())
+    lm_scoring.fit(start, [start.class_of[s] for s in sequences[:60]], steps=60)
+    fitted = [lm_scoring.fit_on_all(start, docs, ~queries.fold(5), BYTE_BPE, 2, 150) for _ in range(2)]
+    held = [s for s in lm_scoring.training_sequences(docs, queries.fold(5), coder, 100)]
+    score = [lm_scoring.id_scores(m, held).mean() for m in (start, fitted[0])]
+    assert score[1] > score[0]
+    assert all(np.allclose(fitted[0].weights[k], fitted[1].weights[k], atol=1e-5) for k in start.weights)
+    none = lm_scoring.fit_on_all(start, docs, F.lit(False), BYTE_BPE)
+    assert none is start
+    other = docs.withColumn("text", F.when(queries.fold(5), F.lit("other words")).otherwise(F.col("text")))
+    same = lm_scoring.fit_on_all(start, other, ~queries.fold(5), BYTE_BPE, 2, 150)
+    assert all(np.allclose(fitted[0].weights[k], same.weights[k], atol=1e-5) for k in start.weights)
+
+
 def test_lm_windows_equal_one_pass():
     """A text cut into overlapping windows scores as if each id had its own window with the whole context."""
     rng = np.random.default_rng(1)
@@ -108,12 +180,14 @@ def test_lm_word_of_many_ids(spark):
     rows = [(1, f"before {long} after"), *[(k, sentences(k, 40)) for k in range(2, 9)]]
     found = {r.doc_id: r.score for r in lm_scoring.score_texts(frame(spark, rows), BYTE_BPE, F.lit(False)).collect()}
     coder = lm_scoring.subwords(BYTE_BPE)
-    model = lm_scoring.new_model(np.zeros(coder.size, np.int64))
+    model = lm_scoring.new_model(np.zeros(coder.size, np.int64), begins=coder.begins())
     for key, text in rows:
         words = lm_scoring.words_of(text.encode())
         sizes, ids = coder.packed(words)
         assert (sizes.max() > 65_536) == (key == 1)
-        direct = lm_scoring.id_scores(model, [ids]).sum(dtype=np.float64) + len(words) * math.log10(1 - lm_scoring.MIX)
+        # A word's end is the next word's begin, so all but the first begin of the text cancel.
+        of_ids, begin = lm_scoring.scores(model, [ids])
+        direct = of_ids.sum(dtype=np.float64) - float(begin[0]) + len(words) * math.log10(1 - lm_scoring.MIX)
         assert math.isclose(found[key], direct, rel_tol=1e-4), key
 
 
@@ -286,6 +360,10 @@ def test_weak_parts_need_their_complement():
         text = " ".join(words[k] + " x" * int(rng.integers(0, 40)) for k in rng.integers(0, len(words), 9))
         found = secret_links.linked_parts(text, secret_links.base_spans(text), 120)
         assert set(found) == linked_slowly(text, 120) and len(found) == len(set(found))
+    # A long base span that covers many later ones also covers a weak part behind them.
+    covering = [("assign", 0, 200), *[("hex", k, k + 24) for k in range(5, 105, 25)]]
+    inside = " " * 120 + "client_id=svc_account and k9Xw27QmZp41Lr8TbV3c" + " " * 40
+    assert secret_links.linked_parts(inside, covering) == []
     alone = "the id k9Xw27QmZp41Lr8TbV3c stands alone"
     assert secret_links.linked_parts(alone, []) == []
     both = "client_id=svc_account and k9Xw27QmZp41Lr8TbV3c"
@@ -324,6 +402,28 @@ def test_fingerprints_of_edited_texts(spark):
             assert near != near
 
 
+def test_next_document_in_uneven_ids(spark):
+    """One id that half of the rows share, far-off ids, null ids: parts stay small and each row has one successor."""
+    rows = [(7, f"same id {k}") for k in range(400)] + [(k * 3 + 10, f"text {k}") for k in range(200)]
+    rows += [(2**62, "far"), (-(2**62), "far below"), *[(None, f"none {k}") for k in range(150)]]
+    docs = frame(spark, rows).repartition(6)
+    others, ends = simhash.with_next(docs, 20)
+    found = others.unionByName(ends).collect()
+    assert len(found) == len(rows)
+    sizes = Counter(r.part for r in found)
+    assert max(sizes.values()) <= 120
+    at = {(r.part, r.place): r for r in found}
+    assert len(at) == len(rows)
+    here, seen = at[min(at)], []
+    for _ in rows:
+        seen.append((here.id, here.text))
+        after = at[here.next_part, here.next_place]
+        assert here.next_text == after.text
+        here = after
+    assert len(set(seen)) == len(rows)
+    assert [k for k, _ in seen] == sorted(k for k, _ in seen)
+
+
 def test_fingerprint_by_hand(spark):
     docs = spark.createDataFrame([(1, "One two two."), (2, "")], "k int, text string")
     hashed = spark.sql(
@@ -405,6 +505,7 @@ def test_pieces_equal_library(spark):
             assert low <= at <= high or low == at
             at = max(at, high)
         assert at == len(raw)
+        assert spans == spans_slowly(model, raw, ids[1:-1])
     for ids in ([259, 200, 200, 13, 300], [3, 131, 260, 0, 5], [1, 2], [231, 154, 136, 233]):
         assert model.decode(np.array(ids)) == library.decode(ids)
     rows = [*odd_rows(), *enumerate(ODD, 300)]
@@ -413,10 +514,33 @@ def test_pieces_equal_library(spark):
     for key, text in rows:
         ids = library.encode(text or "", add_bos=True, add_eos=True)
         digests = (hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), library.decode(ids).encode()))
-        expected.append((str(key), len(ids), *digests))
+        raw = (text or "").encode()
+        spans = [(ids[0], 0, 0), *spans_slowly(model, raw, ids[1:-1]), (ids[-1], len(raw), len(raw))]
+        placed = hashlib.sha256(np.array(spans, "<u4").tobytes()).hexdigest()
+        expected.append((str(key), len(ids), *digests, placed))
     assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(expected)
 
 
+def spans_slowly(model, raw, ids):
+    """Original bytes of each piece, character by character; the mark that is put before a text has none."""
+    places, at = [(0, 0)] if raw else [], 0
+    for character in raw.decode():
+        places.append((at, at + len(character.encode())))
+        at = places[-1][1]
+    out, k, used = [], 0, 0
+    for piece in ids:
+        if piece in model.bytes_of:
+            out.append((piece, *places[k]))
+            used += 1
+            if used == places[k][1] - places[k][0]:
+                k, used = k + 1, 0
+        else:
+            more = k + len(model.names[piece])
+            out.append((piece, places[k][0], places[more - 1][1]))
+            k = more
+    return out
+
+
 def test_character_map_takes_the_longest_prefix():
     """A small double-array trie: 'a' -> 'x', 'ab' -> 'yz'; spans go back to the bytes read."""
     model = pieces.PieceModel(PIECE_BPE)
