@@ -255,16 +255,16 @@ class PieceModel:
         added = len(MARK_BYTES) * (self.prefix and len(raw) > 0)
         if len(self.bytes_of) and (parts := self.is_byte[ids[1:-1]]).any():
             # The bytes of a character without a piece all stand for that character.
-            lead = np.repeat((raw & 0xC0) != 0x80, wide)
-            lead[1:] &= np.repeat(np.arange(len(raw)), wide)[1:] != np.repeat(np.arange(len(raw)), wide)[:-1]
-            begins = np.concatenate([np.arange(1) if added else np.arange(0), np.flatnonzero(lead) + added, [len(lead) + added]])
+            first = np.cumsum(wide) - wide + added
+            begins = np.concatenate([[0], first[(raw & 0xC0) != 0x80], first[-1:] + wide[-1:]])
             at = np.searchsorted(begins, low[parts], "right")
             low[parts], high[parts] = begins[at - 1], begins[at]
         if source is None:
             source = np.arange(len(raw) + 1)
         place = np.concatenate([np.repeat(source[:1], added), np.repeat(source[:-1], wide), source[-1:]])
-        edge = np.array([0]), np.array([len(text)])
-        starts, ends = (np.concatenate([edge[0], place[x], edge[1]]) for x in (low, high))
+        starts, ends = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        starts[1:-1], ends[1:-1] = place[low], place[high]
+        starts[-1] = ends[-1] = len(text)
         return ids, starts, ends
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
