@@ -556,7 +556,7 @@ def stream_exactly_once(spark, sf_dir):
 
         def cut(step: str) -> None:
             calls[step] = calls.get(step, 0) + 1
-            place = step, min(calls[step], 3)
+            place = step, min(calls[step], 2)
             if place not in seen:
                 seen.add(place)
                 raise InterruptedError(f"cut off at {step}")

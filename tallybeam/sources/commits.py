@@ -11,12 +11,14 @@ One commit of a name runs at a time. A reader that lists folders while they are
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
 from tallybeam.sources import folders
 
 Moves = list[tuple[str | None, str]]
+AT_ONCE = 8  # folders moved side by side; on shared storage each waits for the answer
 
 
 def reached(step: str) -> None:
@@ -56,7 +58,7 @@ def finish(spark: SparkSession, root: str) -> None:
 
 
 def _carry_out(spark: SparkSession, root: str, aside: str) -> None:
-    for staged, place in json.loads(folders.read_text(spark, f"{aside}/record")):
+    def move(staged: str | None, place: str) -> None:
         reached("moving")
         target = f"{root}/{place}"
         if staged is None:
@@ -65,6 +67,11 @@ def _carry_out(spark: SparkSession, root: str, aside: str) -> None:
             folders.remove(spark, [target])
             folders.make(spark, target.rpartition("/")[0])
             folders.rename(spark, f"{aside}/{staged}", target)
+
+    moves = json.loads(folders.read_text(spark, f"{aside}/record"))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for moved in [pool.submit(move, *one) for one in moves]:
+            moved.result()
     reached("moved")
     # The record goes last, so that a cut within the removal leaves nothing that looks unrecorded but half moved.
     folders.remove(spark, [p for p in folders.matching(spark, f"{aside}/*") if not p.endswith("/record")])

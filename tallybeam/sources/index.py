@@ -9,6 +9,7 @@ have no user, so every day of a batch is listed.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from urllib.parse import unquote
 
@@ -41,11 +42,17 @@ def write(spark: SparkSession, raw: DataFrame, root: str, skip: list[date | None
     ids = raw.filter("insertId is not null").select(F.xxhash64("insertId").alias("id_hash"), "insertId", "day", "batch")
     email = email_of(F.col("jsonPayload_json"))
     users = raw.select(F.when(email.isNotNull(), pseudonym(email)).alias("user_pseudonym"), "day", "batch").distinct()
-    # Raw files are split by day already, so ids need no exchange; users are few.
-    for rows, table, key in ((ids, IDS, "id_hash"), (users.repartition("day"), USERS, "user_pseudonym")):
+
+    def store(rows: DataFrame, table: str, key: str) -> None:
         folders.make(spark, f"{root}/{table}")
         rows.sortWithinPartitions("day", "batch", key).write.mode("append").partitionBy("day", "batch").parquet(f"{root}/{table}")
 
+    # Raw files are split by day already, so ids need no exchange; users are few. Both jobs are short, so they run together.
+    with ThreadPoolExecutor(2) as pool:
+        written = [pool.submit(store, ids, IDS, "id_hash"), pool.submit(store, users.repartition("day"), USERS, "user_pseudonym")]
+        for job in written:
+            job.result()
+
 
 def read_ids(spark: SparkSession, root: str, *parts: str) -> DataFrame:
     """The whole id index, or some of its folders or files."""
