@@ -579,6 +579,12 @@ def _finals() -> dict[str, str]:
  {cnt('event_id % 107 = 0')} AS other_logs, {cnt('event_id % 103 = 0')} AS diagnostics,
  count(*) + {cnt('event_id % 97 = 0')} AS routed, {cnt('event_id % 97 = 0')} AS duplicates, count(*) AS loaded
  FROM av)""",
+        "m_batch_reconciliation": f"""SELECT CAST(3 AS BIGINT) AS batches, messages, dead_letters, other_logs, diagnostics,
+ messages - dead_letters - other_logs - diagnostics AS routed, loaded, loaded AS stored, repeats, true AS balanced, compacted
+ FROM (SELECT count(*) + {' + '.join(cnt(f'event_id % {k} = 0') for k in (97, 101, 211, 103, 107))} AS messages,
+ {cnt('event_id % 101 = 0')} + {cnt('event_id % 211 = 0')} AS dead_letters, {cnt('event_id % 107 = 0')} AS other_logs,
+ {cnt('event_id % 103 = 0')} AS diagnostics, count(*) AS loaded, {cnt('event_id % 97 = 0')} AS repeats FROM av)
+ CROSS JOIN (VALUES (false), (true)) v(compacted)""",
         "m_missing_ids": 'SELECT insert_id AS "insertId" FROM av WHERE event_id % 37 = 0',
         "m_structure": f"""SELECT count(*) AS total_rows, {cnt('event_id % 19 <> 0 AND event_id % 23 <> 0')} AS well_formed,
  {cnt('event_id % 19 = 0')} AS without_timestamp, {cnt('event_id % 23 = 0')} AS without_log_name FROM av""",

@@ -517,6 +517,35 @@ def faulty(function: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: function(with_faults(adapter.raw(spark, sf_dir)))
 
 
+def batch_reconciliation(spark, sf_dir):
+    """Three batches with redeliveries across them, balanced from the ledger before and after their days are compacted."""
+
+    def fill(root: str) -> None:
+        messages = adapter.messages(spark, sf_dir)
+        for k in range(3):
+            rows = messages.filter(F.pmod(F.xxhash64("value"), F.lit(3)) == k)
+            tables.ingest_batch(rows, root, adapter.PROJECT, f"batch-{k}", AS_OF, only_new=True)
+
+    def balanced(root: str) -> DataFrame:
+        found = checks.batch_reconciliation(
+            tables.read_fates(spark, root), tables.read_stored(spark, root), tables.read_dead_letters(spark, root)
+        )
+        counts = ("messages", "dead_letters", "other_logs", "diagnostics", "routed", "loaded", "stored")
+        return found.agg(
+            F.count("*").alias("batches"),
+            *[F.sum(name).alias(name) for name in counts],
+            F.sum(F.col("duplicates") + F.col("redelivered")).alias("repeats"),
+            F.every("balanced").alias("balanced"),
+        )
+
+    def compacted(root: str) -> None:
+        fill(root)
+        tables.repair_days(spark, root, tables.stored_days(tables.read_raw(spark, root)))
+
+    fresh = balanced(adapter.prepared(spark, sf_dir, "fates", fill)).withColumn("compacted", F.lit(False))
+    return fresh.unionByName(balanced(adapter.prepared(spark, sf_dir, "fates-compacted", compacted)).withColumn("compacted", F.lit(True)))
+
+
 def missing_ids(spark, sf_dir):
     """Ids that a table lost."""
     raw = adapter.raw(spark, sf_dir).filter(event_number() % 37 != 0)
@@ -751,6 +780,7 @@ def all_queries() -> dict[str, Query]:
         "m_json_validity": faulty(checks.json_validity),
         "m_extraction_coverage": faulty(lambda raw: checks.extraction_coverage(base_view.analytics_view(raw))),
         "m_reconciliation": reconciliation,
+        "m_batch_reconciliation": batch_reconciliation,
         "m_missing_ids": missing_ids,
         "m_structure": faulty(checks.structure),
         "m_latest_log": over_raw(checks.latest_log, "2024-01-30 23:59:00", minutes=1440),

@@ -91,14 +91,37 @@ def _fate(outcome: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("outcome") == outcome, F.col("n"))), F.lit(0))
 
 
+def batch_reconciliation(fates: DataFrame, stored: DataFrame, dead: DataFrame) -> DataFrame:
+    """Per batch: its fates as counted at ingest against what the table holds of it now. No message is read again.
+
+    ``fates``, ``stored`` and ``dead`` come from ``tables.read_fates``, ``read_stored`` and ``read_dead_letters``. A row of a
+    compacted day counts for every batch that brought it. Erasure and retention take rows, so their batches don't balance.
+    """
+    brought = F.explode(F.coalesce("_origins", F.array("batch"))).alias("batch")
+    rows = stored.select(brought).groupBy("batch").agg(F.count("*").alias("stored"))
+    rejected = dead.groupBy("batch").agg(F.count("*").alias("stored_dead_letters"))
+    joined = fates.join(rows, "batch", "left").join(rejected, "batch", "left").fillna(0, ["stored", "stored_dead_letters"])
+    dropped = F.col("dead_letters") + F.col("other_logs") + F.col("diagnostics")
+    return joined.withColumn(
+        "balanced",
+        (F.col("messages") == dropped + F.col("routed"))
+        & (F.col("routed") == F.col("duplicates") + F.col("redelivered") + F.col("loaded"))
+        & (F.col("stored") == F.col("loaded"))
+        & (F.col("stored_dead_letters") == F.col("dead_letters")),
+    )
+
+
 def missing_ids(messages: DataFrame, raw: DataFrame, project: str) -> DataFrame:
-    """Ids that were routed but are not in the table, looked for on the days of the messages."""
+    """Ids that were routed but are not in the table, looked for on the days of the messages.
+
+    First and last day are subqueries, which prune the table's partitions at run time; the operator itself runs no job.
+    """
     routed = ingest.with_outcome(ingest.classify(messages, project), ingest.ROUTED)
     moment = F.to_date(F.col("envelope.timestamp").try_cast("timestamp"))
     ids = routed.select(moment.alias("day"), F.col("envelope.insertId").alias("insertId")).filter("insertId is not null")
-    first, last = ids.agg(F.min("day"), F.max("day")).first()
+    first, last = ids.agg(F.min("day")).scalar(), ids.agg(F.max("day")).scalar()
     day = event_day(raw)
-    stored = raw.filter(day.between(F.lit(first), F.lit(last)) | day.isNull()).select(day.alias("day"), "insertId")
+    stored = raw.filter(day.between(first, last) | day.isNull()).select(day.alias("day"), "insertId")
     same = ids["day"].eqNullSafe(stored["day"]) & (ids["insertId"] == stored["insertId"])
     return ids.join(stored, same, "left_anti").select("insertId").distinct()
 

@@ -135,6 +135,23 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     )
 
 
+def deduplicate_counted(rows: DataFrame) -> DataFrame:
+    """As :func:`deduplicate`, for the messages of every outcome, with ``copies``: how many messages a row stands for.
+
+    Messages that are not stored become one row for each task and outcome, without their text. The counts are part of the
+    rows, not metrics of a run, so tasks that are repeated after a loss count nothing twice. Partial aggregates run before
+    the exchange, so a hot id sends one row per map task.
+    """
+    stored = F.col("outcome").isin(ROUTED, DEAD_LETTER)
+    kept = [c for c in rows.columns if c not in ("outcome", "tie", "row_id")]
+    received = F.col("receiveTimestamp")
+    row = F.struct(received.isNull().alias("last"), received.alias("received"), "tie", F.struct(*kept).alias("row"))
+    uncounted = F.concat(F.lit("task:"), F.spark_partition_id().cast("string"))
+    keyed = rows.select("outcome", F.when(stored, dedup_key()).otherwise(uncounted).alias("_key"), F.when(stored, row).alias("_row"))
+    first = keyed.groupBy("outcome", "_key").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"))
+    return first.select("outcome", "_row.row.*", "copies")
+
+
 def raw_rows(messages: DataFrame, project: str) -> DataFrame:
     """Batch path from messages to de-duplicated raw rows."""
     routed = with_outcome(to_raw(classify(messages, project)), ROUTED)

@@ -7,6 +7,7 @@ Layout below one root::
     ids/day=<event day>/batch=<id>/                  hashed message ids, see sources.index
     users/day=<event day>/batch=<id>/                pseudonyms that have rows, see sources.index
     merged/day=<event day>/                          names of the batches that the compacted day holds
+    fates/batch=<id>/                                how many messages of the batch had which fate
     base/day=<event day>/batch=<id>/                 typed base view
     general/day=<event day>/batch=<id>/              the same for general access, where it is kept (plans.refresh)
     incremental/<view>/day=<event day>/batch=<id>/   mergeable aggregates, see operators.incremental
@@ -25,6 +26,7 @@ its rows out of the compacted days it is in and puts the new ones there.
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 import uuid
@@ -43,6 +45,7 @@ from tallybeam.sources import commits, folders, index
 
 COMPACTED = "compacted"
 ORIGINS = "_origins"
+COPIES = "_copies"
 ROWS_PER_FILE = 500_000
 
 RAW_DOC = {
@@ -81,6 +84,10 @@ DEAD_SCHEMA = T.StructType([
 # What the files hold: rows of a compacted day also have the batches that brought them.
 STORED_SCHEMA = T.StructType([*RAW_SCHEMA.fields[:-2], T.StructField(ORIGINS, T.ArrayType(T.StringType())), *RAW_SCHEMA.fields[-2:]])
 MERGED_SCHEMA = "batch string, day date"
+FATES_SCHEMA = (
+    "messages bigint, dead_letters bigint, other_logs bigint, diagnostics bigint, routed bigint, "
+    "duplicates bigint, redelivered bigint, loaded bigint, batch string"
+)
 
 _LOCAL: dict[str, str] = {}
 
@@ -100,7 +107,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-RAW, DEAD_LETTERS, MERGED = "log/tier=raw", "log/tier=dead_letter", "merged"
+RAW, DEAD_LETTERS, MERGED, FATES = "log/tier=raw", "log/tier=dead_letter", "merged", "fates"
 
 
 def raw_path(root: str) -> str:
@@ -174,17 +181,21 @@ def write_log(
     Spark split a day that holds most rows into many tasks and merge small ones, which a plain
     repartition by day would not; micro-batches give ``rows_per_file`` instead. A batch that is
     repeated replaces its rows, also if it arrives on another day or if its days were compacted since. With ``only_new``
-    messages that other batches stored are left out, found in the id index.
+    messages that other batches stored are left out, found in the id index. Rows from ``ingest.deduplicate_counted`` also
+    give the fates of the batch, in the same commit (``read_fates``).
     """
     spark = classified_rows.sparkSession
     aside = commits.begin(spark, root, batch)
-    rejected = F.col("outcome") == ingest.DEAD_LETTER
-    rows = classified_rows.filter(F.col("outcome").isin(ingest.ROUTED, ingest.DEAD_LETTER)).select(
+    counted = "copies" in classified_rows.columns
+    rejected, routed = F.col("outcome") == ingest.DEAD_LETTER, F.col("outcome") == ingest.ROUTED
+    stored = classified_rows if counted else classified_rows.filter(rejected | routed)
+    rows = stored.select(
         *ingest.RAW_COLUMNS,
         "value",
-        "reason",
+        F.when(rejected | routed, F.col("reason")).otherwise(F.col("outcome")).alias("reason"),
         F.when(rejected, arrived).alias("ingest_ts"),
-        F.when(rejected, "dead_letter").otherwise("raw").alias("tier"),
+        *([F.col("copies").alias(COPIES)] if counted else []),
+        F.when(rejected, "dead_letter").when(routed, "raw").otherwise("not_stored").alias("tier"),
         F.to_date(F.when(rejected, arrived).otherwise(F.col("timestamp"))).alias("day"),
         F.lit(batch).alias("batch"),
     )
@@ -200,6 +211,7 @@ def write_log(
     )
     merged = merged_days(spark, root, batch)
     names = [day_folder(day) for day in merged]
+    fates = _fates(spark, aside) if counted else None
     if only_new:
         _drop_known(spark, root, aside, batch, skip=names)
     for path in (raw_path(aside), raw_path(root), dead_letter_path(root)):
@@ -210,6 +222,13 @@ def write_log(
         for table in (RAW, index.IDS, index.USERS)
         for move in commits.replacing(spark, root, aside, table, batch, frozenset(names))
     ] + commits.replacing(spark, root, aside, DEAD_LETTERS, batch)
+    ledger = f"{FATES}/batch={batch}"
+    if fates:
+        loaded = read_raw(spark, aside).count() if only_new else fates["loaded"]
+        fates |= {"redelivered": fates["loaded"] - loaded, "loaded": loaded}
+        folders.make(spark, f"{aside}/{ledger}")
+        folders.write_text(spark, f"{aside}/{ledger}/counts.json", json.dumps(fates))
+    moves.append((ledger if fates else None, ledger))
     if merged:
         # The rows of the batch leave the compacted days, and the new ones are merged into them.
         without = F.array_remove(ORIGINS, batch)
@@ -220,6 +239,23 @@ def write_log(
     commits.commit(spark, root, batch, moves)
 
 
+def _fates(spark: SparkSession, aside: str) -> dict[str, int]:
+    """Messages of a staged batch by fate, from the copies that its rows stand for."""
+    staged = spark.read.schema(f"reason string, {COPIES} bigint, tier string").parquet(f"{aside}/log")
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col(COPIES))), F.lit(0))
+    raw = F.col("tier") == "raw"
+    counts = staged.agg(
+        total(F.lit(True)).alias("messages"),
+        total(F.col("tier") == "dead_letter").alias("dead_letters"),
+        total((F.col("tier") == "not_stored") & (F.col("reason") == ingest.OTHER_LOG)).alias("other_logs"),
+        total((F.col("tier") == "not_stored") & (F.col("reason") == ingest.DIAGNOSTIC)).alias("diagnostics"),
+        total(raw).alias("routed"),
+        F.count_if(raw).alias("loaded"),
+    )
+    found = counts.withColumn("duplicates", F.col("routed") - F.col("loaded")).first()
+    return found.asDict()
+
+
 def _drop_known(spark: SparkSession, root: str, aside: str, batch: str, skip: list[str]) -> None:
     """Rewrite the staged rows if other batches stored messages that are among them."""
     path, before = raw_path(aside), f"{aside}/before"
@@ -249,13 +285,15 @@ def ingest_batch(
     """Messages to stored raw rows and dead letters, redelivered copies removed.
 
     Messages that other batches stored are redeliveries, too. ``only_new`` finds them in the id index and leaves them out;
-    ``known`` does so for given raw rows (``known_rows``), whose ids are read.
+    ``known`` does so for given raw rows (``known_rows``), whose ids are read, and leaves the batch without a count of fates.
     ``plans.refresh.refresh_batch`` carries the batch on to the base table and the stored views.
     """
     arrived = ts_lit(ingest_ts) if ingest_ts else F.current_timestamp()
     classified = ingest.to_raw(ingest.classify(messages, project))
-    kept = ingest.deduplicate(ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER))
-    if known is not None:
+    if known is None:
+        kept = ingest.deduplicate_counted(classified)
+    else:
+        kept = ingest.deduplicate(ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER))
         kept = ingest.only_new(kept.withColumn("day", F.to_date("timestamp")), known).drop("day")
     write_log(kept, root, batch, arrived, only_new=only_new)
 
@@ -288,6 +326,11 @@ def read_merged(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MERGED_SCHEMA).parquet(merged_path(root))
 
 
+def read_fates(spark: SparkSession, root: str) -> DataFrame:
+    """Messages of each batch by fate, as counted when it was ingested; streamed batches have no count."""
+    return spark.read.schema(FATES_SCHEMA).json(f"{root}/{FATES}")
+
+
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DEAD_SCHEMA).parquet(dead_letter_path(root))
 
