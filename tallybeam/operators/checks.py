@@ -114,14 +114,14 @@ def batch_reconciliation(fates: DataFrame, stored: DataFrame, dead: DataFrame) -
 def missing_ids(messages: DataFrame, raw: DataFrame, project: str) -> DataFrame:
     """Ids that were routed but are not in the table, looked for on the days of the messages.
 
-    First and last day are subqueries, which prune the table's partitions at run time; the operator itself runs no job.
+    First and last day are taken beforehand, so that the partitions of other days are not read.
     """
     routed = ingest.with_outcome(ingest.classify(messages, project), ingest.ROUTED)
     moment = F.to_date(F.col("envelope.timestamp").try_cast("timestamp"))
     ids = routed.select(moment.alias("day"), F.col("envelope.insertId").alias("insertId")).filter("insertId is not null")
-    first, last = ids.agg(F.min("day")).scalar(), ids.agg(F.max("day")).scalar()
+    first, last = ids.agg(F.min("day"), F.max("day")).first()
     day = event_day(raw)
-    stored = raw.filter(day.between(first, last) | day.isNull()).select(day.alias("day"), "insertId")
+    stored = raw.filter(day.between(F.lit(first), F.lit(last)) | day.isNull()).select(day.alias("day"), "insertId")
     same = ids["day"].eqNullSafe(stored["day"]) & (ids["insertId"] == stored["insertId"])
     return ids.join(stored, same, "left_anti").select("insertId").distinct()
 

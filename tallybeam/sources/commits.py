@@ -60,13 +60,10 @@ def finish(spark: SparkSession, root: str) -> None:
 def _carry_out(spark: SparkSession, root: str, aside: str) -> None:
     def move(staged: str | None, place: str) -> None:
         reached("moving")
-        target = f"{root}/{place}"
         if staged is None:
-            folders.remove(spark, [target])
-        elif folders.exists(spark, f"{aside}/{staged}"):  # else it is in place already
-            folders.remove(spark, [target])
-            folders.make(spark, target.rpartition("/")[0])
-            folders.rename(spark, f"{aside}/{staged}", target)
+            folders.remove(spark, [f"{root}/{place}"])
+        else:
+            folders.replace(spark, f"{aside}/{staged}", f"{root}/{place}")
 
     moves = json.loads(folders.read_text(spark, f"{aside}/record"))
     with ThreadPoolExecutor(AT_ONCE) as pool:

@@ -49,6 +49,17 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"can't rename {source} to {target}")
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in the place of another; one that is not there is in place already."""
+    place, system = _system(spark, source)
+    if system.exists(place):
+        to = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if not system.delete(to, True):
+            system.mkdirs(to.getParent())
+        if not system.rename(place, to):
+            raise OSError(f"can't rename {source} to {target}")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     place, system = _system(spark, path)
     stream = system.create(place, True)

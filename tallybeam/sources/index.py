@@ -48,8 +48,14 @@ def write(spark: SparkSession, raw: DataFrame, root: str, skip: list[date | None
         rows.sortWithinPartitions("day", "batch", key).write.mode("append").partitionBy("day", "batch").parquet(f"{root}/{table}")
 
     # Raw files are split by day already, so ids need no exchange; users are few. Both jobs are short, so they run together.
+    # With a number Spark keeps the tasks apart, which else become one that writes a small file for each day in turn.
+    days = len(folders.partition_values(spark, f"{root}/log/tier=raw", "day"))
+    tasks = max(1, min(days, spark.sparkContext.defaultParallelism))
     with ThreadPoolExecutor(2) as pool:
-        written = [pool.submit(store, ids, IDS, "id_hash"), pool.submit(store, users.repartition("day"), USERS, "user_pseudonym")]
+        written = [
+            pool.submit(store, ids, IDS, "id_hash"),
+            pool.submit(store, users.repartition(tasks, "day"), USERS, "user_pseudonym"),
+        ]
         for job in written:
             job.result()
 

@@ -31,6 +31,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -211,12 +212,16 @@ def write_log(
     )
     merged = merged_days(spark, root, batch)
     names = [day_folder(day) for day in merged]
-    fates = _fates(spark, aside) if counted else None
-    if only_new:
-        _drop_known(spark, root, aside, batch, skip=names)
-    for path in (raw_path(aside), raw_path(root), dead_letter_path(root)):
-        folders.make(spark, path)
-    index.write(spark, read_raw(spark, aside), aside, skip=merged)
+    with ThreadPoolExecutor(1) as beside:  # the count is a short job of its own, beside those of the indexes
+        counting = beside.submit(_fates, spark, aside) if counted else None
+        if only_new:
+            if counting:
+                counting.result()
+            _drop_known(spark, root, aside, batch, skip=names)
+        for path in (raw_path(aside), raw_path(root), dead_letter_path(root)):
+            folders.make(spark, path)
+        index.write(spark, read_raw(spark, aside), aside, skip=merged)
+        fates = counting.result() if counting else None
     moves = [
         move
         for table in (RAW, index.IDS, index.USERS)

@@ -326,3 +326,45 @@ def test_distinct_users_and_sessions_add_up(spark):
         assert sorted(merged.columns) == sorted(whole.columns)
         assert sorted(map(str, merged.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
     assert cases["weekly"][1].first().distinct_users == 2
+
+
+def fates(spark, root):
+    found = checks.batch_reconciliation(
+        tables.read_fates(spark, root), tables.read_stored(spark, root), tables.read_dead_letters(spark, root)
+    )
+    names = ("messages", "dead_letters", "other_logs", "diagnostics", "duplicates", "redelivered", "loaded", "balanced")
+    return {r.batch: tuple(r[name] for name in names) for r in found.collect()}
+
+
+def test_fates_of_a_batch_are_counted_with_it(spark):
+    other = envelope("x", logName="projects/demo/logs/other")
+    rows = [*FIRST, FIRST[0], envelope(..., "2024-01-05T11:00:00Z"), "{", "[1]", other, other, other]
+    root = ingested(spark, *rows, batch="b0")
+    assert fates(spark, root) == {"b0": (10, 2, 3, 0, 1, 0, 4, True)}
+    tables.ingest_batch(messages(spark, *SECOND), root, "demo", "b1", only_new=True)
+    assert fates(spark, root)["b1"] == (4, 0, 0, 0, 0, 1, 3, True)
+    ingested(spark, *FIRST[:2], batch="b0", root=root)  # the same batch again, with less in it
+    assert fates(spark, root) == {"b0": (2, 0, 0, 0, 0, 0, 2, True), "b1": (4, 0, 0, 0, 0, 1, 3, True)}
+    tables.repair_days(spark, root, DAYS)
+    assert all(found[-1] for found in fates(spark, root).values())
+    privacy.erase(spark, root, "u@example.com", f"{root}/tables/quota_alerts_table")
+    ingested(spark, batch="empty", root=root)
+    found = fates(spark, root)
+    assert found["empty"] == (0, 0, 0, 0, 0, 0, 0, True)
+
+
+def test_lost_rows_do_not_balance(spark):
+    root = ingested(spark, *FIRST, "{", batch="b0")
+    folders.remove(spark, [f"{tables.raw_path(root)}/day=2024-01-06"])
+    assert fates(spark, root)["b0"][-1] is False
+
+
+def test_counted_rows_are_the_deduplicated_ones(spark):
+    late = envelope("a", received="2024-01-05T12:00:00Z", severity="WARN")
+    rows = [late, envelope("a", severity="ERROR"), envelope("a", received=..., severity="NONE"), envelope(...), envelope(...), "x"]
+    classified = ingest.to_raw(ingest.classify(messages(spark, *rows), "demo"))
+    counted = {(r.insertId, r.severity, r.value): r.copies for r in ingest.deduplicate_counted(classified).collect() if r.insertId}
+    plain = ingest.deduplicate(ingest.with_outcome(classified, ingest.ROUTED, ingest.DEAD_LETTER)).collect()
+    assert counted == {("a", "ERROR", None): 3}
+    assert [(r.insertId, r.severity) for r in plain if r.insertId] == [("a", "ERROR")]
+    assert ingest.deduplicate_counted(classified).count() == len(plain) == 4
