@@ -8,7 +8,8 @@ candidate passages to the shard of their anchor. A shard lays its passages in or
 the suffix automaton of the passages before it: the matching statistic at a word is the longest suffix that the automaton
 holds, and where it reaches ``length`` the window ending there has an earlier place. Only then the passage joins the
 automaton, if it had a window that was new. The shard answers each group with the first place of each passage and its
-repeated windows; a passage at any later place is repeated throughout. The reference being the whole table, its automata
+repeated windows; a passage at any later place is repeated throughout. Where rows that share an id have different texts,
+the windows of passages that meet are judged by their places instead, within the shard. The reference being the whole table, its automata
 have no size bound as a whole, so no automaton is sent to every executor: shards, each with its own, go to tasks, and
 passages are streamed to the shard that can hold them.
 
@@ -105,6 +106,37 @@ def repeated_windows(passages: list[list[bytes]], length: int) -> list[np.ndarra
     return found
 
 
+def contested(spans: list[tuple[int, int, int]]) -> list[int]:
+    """Of spans ``id, first, last`` in order, those that meet another of their id.
+
+    Runs of one document never do, so these are of different rows under one id.
+    """
+    out, widest = set(), 0
+    for k, (key, first, last) in enumerate(spans):
+        if k and spans[widest][0] == key and first <= spans[widest][2]:
+            out |= {k, widest}
+        if not k or spans[widest][0] != key or last > spans[widest][2]:
+            widest = k
+    return sorted(out)
+
+
+def judge_contested(passages: list[list[bytes]], places: list[tuple[int, int]], flags: list[np.ndarray], length: int) -> None:
+    """Set the flags of passages whose order of first places isn't that of their windows, by the places of all windows."""
+    spans = [(key, first, first + len(own) - 1) for (key, first), own in zip(places, flags, strict=True)]
+    doubtful = contested(spans)
+    if not doubtful:
+        return
+    windows = lambda words: (tuple(words[k : k + length]) for k in range(len(words) - length + 1))
+    least = dict.fromkeys((w for k in doubtful for w in windows(passages[k])), (2**63, 0))
+    for words, (key, first) in zip(passages, places, strict=True):
+        for at, window in enumerate(windows(words), first):
+            if window in least and (key, at) < least[window]:
+                least[window] = key, at
+    for k in doubtful:
+        key, first = places[k]
+        flags[k] = np.array([least[w] < (key, at) for at, w in enumerate(windows(passages[k]), first)], bool)
+
+
 def _runs(texts: list[bytes], length: int, gram: int):
     """Of each run of windows: text, first word, last window's first word, anchor hash."""
     lists = [t.split() for t in texts]  # bytes split at the six ASCII white-space characters
@@ -200,7 +232,9 @@ def remove_repeats(
             size += text.count(b" ") + 1
             if k + 1 == len(order) or size >= SHARD_WORDS and anchor_of[order[k + 1]] != anchor_of[text]:
                 shard = sorted(order[begin : k + 1], key=places.get)
-                flags = repeated_windows([t.split(b" ") for t in shard], length)
+                passages = [t.split(b" ") for t in shard]
+                flags = repeated_windows(passages, length)
+                judge_contested(passages, [places[t] for t in shard], flags, length)
                 answer.update(zip(shard, [np.packbits(f).tobytes() for f in flags], strict=True))
                 begin, size = k + 1, 0
         return packed([
