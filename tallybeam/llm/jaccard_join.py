@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybeam.llm.anchors import announcement, count_in_buckets, in_order, repeated
-from tallybeam.llm.shared import GROUP_BYTES, PACKED, WordHashes, gram_hashes, id_or_least, id_or_null, in_groups, mixed, packed, stored, text_or_empty
+from tallybeam.llm.shared import GROUP_BYTES, NO_ID, PACKED, WordHashes, gram_hashes, id_or_least, id_or_null, in_groups, mixed, packed, stored, text_or_empty
 
 SHINGLE = 5
 PERCENT = 75
@@ -114,13 +114,14 @@ def links_in_block(sets: list[np.ndarray], sizes: np.ndarray, percent: int, side
     nodes = np.repeat(np.arange(n), lengths)[by_token]
     list_sizes = np.bincount(where, minlength=len(tokens))
     list_ends = np.cumsum(list_sizes)
+    entries = where[by_token].astype(np.int64) * n + nodes  # all lists in one sorted array
     forest, found = Forest(n), []
     for x in range(n):
         size = int(sizes[x])
         smallest = -(-percent * size // 100)  # of any partner: the union is at least this set
         if len(own[x]) < smallest:
             continue
-        mine = own[x][np.argsort(list_sizes[own[x]], kind="stable")]
+        mine = own[x][np.argsort(list_sizes[own[x]], kind="stable")].astype(np.int64)
         aside = max(0, smallest - SET_ASIDE)
         short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
         merged = np.concatenate([nodes[list_ends[t] - list_sizes[t] : list_ends[t]] for t in short.tolist()])
@@ -143,8 +144,9 @@ def links_in_block(sets: list[np.ndarray], sizes: np.ndarray, percent: int, side
             for k, y in enumerate(candidates.tolist()):
                 overlap = int(counts[y])
                 if len(long):  # binary probes of the node in the lists set aside
-                    at = np.searchsorted(own[y], long)
-                    overlap += int((own[y][np.minimum(at, len(own[y]) - 1)] == long).sum())
+                    probes = long * n + y
+                    at = np.searchsorted(entries, probes)
+                    overlap += int((entries[np.minimum(at, len(entries) - 1)] == probes).sum())
                 if overlap >= needed[k]:
                     forest.join(x, y)
                     found.append((x, y))
@@ -192,7 +194,10 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, size: int, percent: int,
     """Per row whose ``id`` is in ``nodes``: digest of its words, set size, prefix shingles that others have, all shingles that others have."""
     rows, groups = in_groups(docs, group_bytes)
     buckets = groups  # a bucket has about as many hashes as a group
-    wanted = nodes.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("g").agg(F.collect_list("id").alias("ids"))
+    # Rows without an id are in any group.
+    own = F.array(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    at = F.when(F.col("id") == NO_ID, F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(own)
+    wanted = nodes.withColumn("g", F.explode(at)).groupBy("g").agg(F.collect_list("id").alias("ids"))
     wanted = wanted.select("g", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids")
 
     def sets(table: pa.Table, ids: set[int]):
@@ -237,8 +242,11 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, size: int, percent: int,
 
 
 def first_round(members: DataFrame) -> DataFrame:
-    """Members of blocks dealt to chunks, and a few of each large block, its pivots, to all of its chunks."""
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    """Members of blocks dealt to chunks, and a few of each large block, its pivots, to all of its chunks.
+
+    The sets are part of the hash, since there may be many under one id: those of the rows without an id.
+    """
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id", "shared"), F.col("chunks")).cast("int"))
     order = F.xxhash64("id", F.lit(7))
     one = F.min_by(F.struct("chunks", "mine", "id", "n", "shared"), F.struct(order, "n")).alias("one")
     pivots = dealt.filter("chunks > 1").groupBy("block", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(one).select("block", "one.*")
@@ -265,7 +273,7 @@ def second_round(members: DataFrame, roots: DataFrame, block_tokens: int) -> tup
     total = parts.agg(F.sum(rest * (count("rest") + count("most.tokens")) + most * count("rest"))).first()[0] or 0
     dealt = members.join(chunks, "block")
     inside = F.col("root") == F.col("largest")
-    key = F.xxhash64("id", F.lit(11))
+    key = F.xxhash64("id", "shared", F.lit(11))
     mine = F.when(inside, F.col("rest_chunks") + F.pmod(key, F.col("large_chunks"))).otherwise(F.pmod(key, F.col("rest_chunks")))
     others = F.when(inside, F.col("rest_chunks")).otherwise(F.col("rest_chunks") + F.col("large_chunks"))
     dealt = dealt.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))

@@ -90,11 +90,12 @@ def in_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFram
     """Documents as ``id, text, g`` partitioned by ``g``, and the number of groups.
 
     Groups follow the hash of the id and hold about ``group_bytes`` of text, so one group fits a Python task at any
-    input size. The exchange is the same wherever the frame is used in one query, so Spark writes it once.
+    input size. Rows without an id, which may be many, follow the hash of their text as well. The exchange is the same wherever the frame is used in one query, so Spark writes it once.
     """
     groups = max(1, math.ceil(text_bytes(docs) / group_bytes))
     rows = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    return rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition("g"), groups
+    spread = F.when(F.col("id") == NO_ID, F.xxhash64("text"))  # null, which changes no hash, where there is an id
+    return rows.withColumn("g", F.pmod(F.xxhash64("id", spread), F.lit(groups)).cast("int")).repartition("g"), groups
 
 
 def pack(*values) -> bytes:

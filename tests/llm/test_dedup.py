@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, queries, suffix_dedup
 from tallybeam.llm.anchors import anchored_runs, pack_sorted, unpack_sorted
+from tallybeam.llm.shared import NO_ID, in_groups
 from tests.conftest import SF_DIR
 from tests.llm.samples import frame, odd_rows, sentences
 
@@ -188,6 +189,37 @@ def test_jaccard_components(spark, which, group, block):
     assert found == sorted(expected_components(rows), key=lambda r: [(x is not None, x) for x in r])
 
 
+def third_without_id():
+    """A third of the rows have no id; some are copies and near copies of rows that have one."""
+    rows = [(None if k % 3 == 0 else k, sentences(k % 70, 60 + k % 70)) for k in range(120)]
+    near = [sentences(k, 60 + k).split() for k in range(0, 30, 5)]
+    return [*rows, *[(None, " ".join([*words[:-2], "another", "end"])) for words in near], (None, None), (None, "")]
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows, groups = in_groups(frame(spark, third_without_id()), 2000)
+    sizes = {r.g: r["count"] for r in rows.filter(F.col("id") == NO_ID).groupBy("g").count().collect()}
+    assert groups > 10
+    assert len(sizes) > groups / 2
+    assert max(sizes.values()) < 12
+
+
+@pytest.mark.parametrize(
+    ("run", "expected", "columns"),
+    [
+        (lambda d: jaccard_join.components(d, group_bytes=4000, block_tokens=300), lambda rows: expected_components(rows),
+         ("doc_id", "n_shingles", "component_id")),
+        (lambda d: automaton_dedup.remove_repeats(d, group_bytes=4000), lambda rows: expected_words(rows, 20),
+         ("doc_id", "n_words", "n_removed", "kept_sha256")),
+        (lambda d: suffix_dedup.remove_repeats(d, group_bytes=4000), lambda rows: expected_bytes(rows, 50),
+         ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")),
+    ],
+)
+def test_a_third_of_rows_without_an_id(spark, run, expected, columns):
+    found = by_row(run(frame(spark, third_without_id())), *columns)
+    assert found == sorted(expected(third_without_id()), key=lambda r: [(x is not None, x) for x in r])
+
+
 def test_family_of_near_copies():
     """A family in which most pairs don't link: the forest holds the components of all links."""
     rng = np.random.default_rng(4)
