@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tallybeam.operators import ingest, views
@@ -130,3 +132,21 @@ def test_a_large_micro_batch_uses_many_tasks(spark):
     raw = tables.read_raw(spark, root)
     assert raw.count() == 400
     assert len(raw.inputFiles()) > 4
+
+
+def test_tables_of_a_micro_batch_have_few_files(spark):
+    """What a batch derives is written as in a batch run, not one file for each shuffle partition and day."""
+    source, root = tables.work_dir(spark, "source"), tables.work_dir(spark, "stream")
+    add_file(spark, source, *[response(f"f{i}", "2024-01-05T10:00:00Z", f"user{i}@example.com") for i in range(60)])
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream = stream_envelopes(spark, source)
+        start_ingest(stream, root, f"{root}/checkpoint", "demo", every=None, alert_limit=0).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    for path in (tables.incremental_path(root, "daily_metrics"), tables.minutes_path(root), tables.alerts_path(root)):
+        stored = spark.read.parquet(path)
+        assert stored.count() == 60 and len(stored.inputFiles()) == 1
+    assert 1 <= len(list(Path(f"{root}/checkpoint/state/0").glob("[0-9]*"))) <= 2 * spark.sparkContext.defaultParallelism
