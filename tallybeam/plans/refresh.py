@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybeam.config import USER_EMAIL
 from tallybeam.operators import checks, incremental
-from tallybeam.operators.base_view import GENERAL_ACCESS, analytics_view, stored_columns
+from tallybeam.operators.base_view import GENERAL_ACCESS
 from tallybeam.sources import commits, folders, tables
 from tallybeam.streaming import quota
 
@@ -35,11 +35,6 @@ def derived_by_batch(base: DataFrame) -> dict[str, DataFrame]:
     return by_user | {"ingest_lag": checks.lag_partial(base, "batch")}
 
 
-def general_copy(raw: DataFrame) -> DataFrame:
-    """Raw rows as the general-access copy has them."""
-    return stored_columns(analytics_view(raw, **GENERAL_ACCESS))
-
-
 def keep_general_copy(spark: SparkSession, root: str) -> None:
     """Begin the general-access copy of a log. From now on batches, repairs, erasure and retention carry it along."""
     tables.write_base(tables.read_raw(spark, root), tables.general_path(root), **GENERAL_ACCESS)
@@ -57,9 +52,9 @@ AT_ONCE = 5
 
 def _staged(spark: SparkSession, root: str, aside: str, raw: DataFrame) -> None:
     """Stage base rows, and the general-access copy where there is one."""
-    tables.write_folders(stored_columns(analytics_view(raw)), tables.base_path(aside), "event_name")
+    tables.add_base(raw, tables.base_path(aside))
     if folders.exists(spark, tables.general_path(root)):
-        tables.write_folders(general_copy(raw), tables.general_path(aside), "event_name")
+        tables.add_base(raw, tables.general_path(aside), **GENERAL_ACCESS)
 
 
 def refresh_batch(spark: SparkSession, root: str, batch: str) -> None:

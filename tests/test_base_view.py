@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallybeam import config
 from tallybeam.functions.jsonx import json_scalar, with_payload_keys
 from tallybeam.operators import base_view, ingest
+from tallybeam.sources import tables
 from tests.samples import envelope, messages
 
 
@@ -100,3 +102,20 @@ def test_nested_looking_text(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "jsonPayload_json string")
     found = with_payload_keys(rows, {"error": "error"}).collect()
     assert {r.jsonPayload_json: r.error for r in found} == cases
+
+
+def test_a_task_takes_little_of_what_it_sorts(spark):
+    """Rows are many times their compressed size when they are sorted, so the package asks for small tasks."""
+    for name in config.SIZE_CONF:
+        assert spark.conf.get(name) == "16m"
+
+
+def test_base_rows_of_a_batch_need_no_exchange(spark):
+    """Raw files are split by day already; carrying a batch on stores its base rows beside those of others."""
+    root = tables.work_dir(spark, "beside")
+    for batch, day in (("one", "05"), ("two", "06")):
+        raw = ingest.raw_rows(messages(spark, envelope(batch, f"2024-01-{day}T10:00:00Z")), "demo")
+        rows = raw.withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch)}).localCheckpoint()
+        assert "Exchange" not in tables._base_rows(rows)._jdf.queryExecution().executedPlan().toString()
+        tables.add_base(rows, tables.base_path(root))
+    assert {r.insertId for r in tables.read_base(spark, tables.base_path(root)).collect()} == {"one", "two"}
