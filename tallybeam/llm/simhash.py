@@ -7,7 +7,7 @@ as many sums as bits. A text's terms are exploded and summed in one stage, witho
 ``near_fingerprints`` finds all fingerprints within a Hamming radius with permuted block tables: the bits are cut into
 blocks, ``AGREE`` more than the radius, and a table for each choice of ``AGREE`` blocks brings these to the front as its key.
 Fingerprints within the radius agree in so many blocks, so an equal join on table and key meets them all; a pair is reported
-by the table of the first blocks that agree.
+by the table of the first blocks that agree. Fingerprints move between tasks once for each first block, not for each table.
 
 Null text is empty text, which has the fingerprint of zeros, as has any text without a word. The next document is the next
 row by ``doc_id`` and, among rows that share one, by text (where so many share one that they are cut into parts, by part
@@ -16,10 +16,12 @@ first); a null ``doc_id`` comes first; the last row is followed by the first. Ot
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybeam.llm.shared import NO_ID, id_or_least, id_or_null, stored, text_or_empty
@@ -96,21 +98,33 @@ def _block(words: Column, k: int, blocks: int) -> Column:
 
 
 def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``query, found, distance`` of distinct fingerprints (arrays ``words``) within ``radius``, itself included."""
+    """Pairs ``query, found, distance`` of distinct fingerprints (arrays ``words``) within ``radius``, itself included.
+
+    Rows are exchanged by the first block of their tables, one row for each such block, and only then get a row for each
+    table. This holds where the join is planned within ``joined_by_first_block``; elsewhere Spark exchanges the rows of all
+    tables once more, to the same result.
+    """
     blocks = radius + AGREE
     # A table is the set of its blocks, one bit each.
     choices = F.array(*[
-        F.struct(F.lit(sum(1 << k for k in own)).cast("long").alias("table"), F.array(*map(F.lit, own)).alias("own"))
-        for own in combinations(range(blocks), AGREE)
+        F.array(*[
+            F.struct(F.lit(sum(1 << k for k in (first, *rest))).cast("long").alias("table"), F.array(*map(F.lit, rest)).alias("rest"))
+            for rest in combinations(range(first + 1, blocks), AGREE - 1)
+        ])
+        for first in range(blocks - AGREE + 1)
     ])
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        cut = F.array(*[_block(F.col("words"), k, blocks) for k in range(blocks)])
-        rows = df.select("words").distinct().select(F.col("words").alias(name), cut.alias("cut")).withColumn("one", F.explode(choices))
-        keys = [F.get("cut", F.get("one.own", k)) for k in range(AGREE)]
-        return rows.select(name, F.col("one.table").alias("table"), F.xxhash64(*keys).alias("key"))
-
-    met = tables(queries, "query").join(tables(index, "found").hint("merge"), ["table", "key"])
+    cut = F.array(*[_block(F.col("words"), k, blocks) for k in range(blocks)])
+
+    def tables(df: DataFrame) -> DataFrame:
+        firsts = F.explode(F.sequence(F.lit(0), F.lit(blocks - AGREE)))
+        rows = df.select("words").distinct().select("words", firsts.alias("first"))
+        rows = rows.withColumn("near", F.xxhash64("first", F.get(cut, F.col("first")))).repartition("near")
+        rows = rows.select("words", "near", cut.alias("cut"), F.explode(F.get(choices, F.col("first"))).alias("one"))
+        keys = [F.get("cut", F.get("one.rest", k)) for k in range(AGREE - 1)]
+        return rows.select("words", "near", F.col("one.table").alias("table"), F.xxhash64("one.table", *keys).alias("key"))
+
+    asked = tables(queries).withColumnRenamed("words", "query").hint("shuffle_hash")
+    met = asked.join(tables(index).withColumnRenamed("words", "found"), ["near", "table", "key"])
     apart = distance(F.col("query"), F.col("found"))
     met = met.withColumn("distance", apart).filter(F.col("distance") <= radius)
     agree = [F.when(_block(F.col("query"), k, blocks) == _block(F.col("found"), k, blocks), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)]
@@ -122,6 +136,18 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS
     return met.filter(first == F.col("table")).select("query", "found", "distance")
 
 
+@contextmanager
+def joined_by_first_block(spark: SparkSession) -> Iterator[None]:
+    """Let a join use an exchange by one of its keys, which Spark else repeats by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def id_ranges(rows: DataFrame, ranges: int = RANGES) -> list[int]:
     """First ids of about ``ranges`` ranges that hold about as many rows each; an id that fills one is a range by itself."""
     ends = rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)
@@ -210,7 +236,8 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, queries: Column |
     )
     if queries is not None:
         asked = found.withColumn("doc_id", id_or_null("id")).filter(queries)
-        near = near_fingerprints(asked, found, radius).groupBy("query").agg(F.count("*").alias("n_near"))
+        with joined_by_first_block(docs.sparkSession):
+            near = stored(near_fingerprints(asked, found, radius).groupBy("query").agg(F.count("*").alias("n_near")), "near")
         asks = F.coalesce(queries, F.lit(False))
         counted = result.filter(asks).join(near.withColumnRenamed("query", "words").hint("merge"), "words", "left")
         others = result.filter(~asks).withColumn("n_near", F.lit(None).cast("long"))

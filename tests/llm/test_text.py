@@ -475,6 +475,16 @@ def test_permuted_blocks_find_all(spark):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+def test_near_fingerprints_exchanged_once_for_each_first_block(spark):
+    index = spark.range(300).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("words"))
+    with simhash.joined_by_first_block(spark):
+        found = simhash.near_fingerprints(index.limit(5), index)
+        assert found.count() == 5
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert exchanged and not any("key" in by or "table" in by for by in exchanged), exchanged
+
+
 def test_fingerprints_native_and_of_empty_table(spark):
     df = simhash.edited_fingerprints(frame(spark, odd_rows()))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
