@@ -7,9 +7,9 @@ one, so the first softmax also tells how likely a word ends. One layer of causal
 a query from the id, keys and values from the ids in reach, with a learned weight for each distance; a feed-forward layer
 reads what attention brings beside the id and the one before it, and the softmaxes follow.
 
-It is trained in numpy by gradient descent, first on a few texts to a common start, and then on all training texts: each
-gives a stretch of ``STRETCH`` characters from a place that its hash picks. Rounds of a part of the texts each deal them
-to trainers of about ``TRAINER_TEXTS``; every trainer goes on from the same weights, and the round ends with their average.
+It is trained in numpy by gradient descent, first on a few texts to a common start, and then on the whole of all training
+texts. Rounds of a part of the texts each deal them to trainers of about ``TRAINER_BYTES``, and no more than
+``TRAINER_TEXTS``; every trainer goes on from the same weights, and the round ends with their average.
 
 Long texts are scored in windows that overlap by the context: each window scores its last ``STRIDE`` ids, so each id is
 scored once with its whole context. Windows of many texts go through the attention as one batch under one mask.
@@ -47,6 +47,7 @@ from tallybeam.llm.shared import (
     id_or_null,
     pack,
     packed,
+    raw_texts,
     split_by,
     stored,
     text_bytes,
@@ -63,9 +64,9 @@ MEMBERS = 32
 SAMPLE = 1500
 SAMPLE_IDS = 400
 STEPS = 1000
-STRETCH = 80
 ROUNDS = 2
 TRAINER_TEXTS = 20_000
+TRAINER_BYTES = 8 << 20
 MIX = 0.5
 PORTION = 1 << 19
 AT_ONCE = 2048
@@ -362,14 +363,14 @@ def fit(model: Model, sequences: list[np.ndarray], steps: int | None = STEPS, se
 
 
 def fit_on_all(model: Model, docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, trainer_texts: int = TRAINER_TEXTS) -> Model:
-    """Train on a stretch of every training text: rounds of trainers that go on from the same weights, then their average.
+    """Train on the whole of every training text: rounds of trainers that go on from the same weights, then their average.
 
-    A text belongs to one round and one trainer, by its hash. Weights of a trainer count as often as it has windows.
+    A text belongs to one round and one trainer, by its hash. Weights of a trainer count as often as it has ids.
     """
-    texts = docs.filter(training & (F.length("text") > 0))
-    rows = texts.select(F.xxhash64("doc_id", "text").alias("key"), stretch(STRETCH).alias("text"), (_begin(STRETCH) == 1).alias("whole"))
-    many = rows.count()
-    trainers = max(1, -(-many // (rounds * trainer_texts)))
+    texts = docs.filter(training).select("doc_id", text_or_empty().alias("text"))
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    many, size_of_all = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    trainers = max(1, -(-many // (rounds * trainer_texts)), -(-size_of_all // (rounds * TRAINER_BYTES)))
     place = F.pmod("key", F.lit(rounds * trainers))
     for turn in range(rounds if many else 0):
         start = model
@@ -377,21 +378,20 @@ def fit_on_all(model: Model, docs: DataFrame, training: Column, path: str, round
         def train(table: pa.Table) -> pa.Table:
             table = table.sort_by([("key", "ascending"), ("text", "ascending")])
             coder, known, sequences = subwords(path), {}, []
-            for text, whole in zip(table.column("text").to_pylist(), table.column("whole").to_pylist(), strict=True):
+            for text in raw_texts(table):
                 ids = []
-                for word in stretch_words(text, whole, STRETCH):
+                for word in words_of(text):
                     if word not in known:
                         known[word] = coder.ids(word)
                     ids += known[word]
-                if ids:
-                    sequences.append(start.class_of[ids])
+                sequences.append(start.class_of[ids])
             own = Model(start.class_of, start.share, {k: v.copy() for k, v in start.weights.items()}, start.word_families)
             fit(own, sequences, None, rate=LOCAL_RATE / (turn + 1))
             size = sum(map(len, sequences))
             return pa.table({"blob": pa.array([pack(size, *[v * np.float64(size) for v in own.weights.values()])], pa.binary())})
 
         dealt = rows.filter(F.floor(place / F.lit(trainers)) == turn).withColumn("trainer", place % trainers)
-        # Few bytes, much work: a stated number of partitions keeps Spark from putting trainers together.
+        # Much work: a stated number of partitions keeps Spark from putting trainers together.
         dealt = dealt.repartition(2 * trainers, "trainer")
         total = added_up(dealt.groupBy("trainer").applyInArrow(train, "blob binary"), trainers)
         if total is not None and total[0]:

@@ -151,6 +151,24 @@ def test_lm_learns_from_every_training_text(spark):
     assert all(np.allclose(fitted[0].weights[k], same.weights[k], atol=1e-5) for k in start.weights)
 
 
+def test_lm_learns_from_whole_texts(spark):
+    """Words anywhere in a long text change what is learned from it."""
+    coder = lm_scoring.subwords(BYTE_BPE)
+    words = ["apple", "bread", "chair", "dance"] * 100
+    counts = np.ones(coder.size)
+    counts[coder.packed([b"apple", b"bread", b"chair", b"dance", b"eagle"])[1]] = 1000
+    start = lm_scoring.new_model(counts, begins=coder.begins())
+
+    def learned(words):
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        return lm_scoring.fit_on_all(start, docs, F.lit(True), BYTE_BPE, 1).weights["member_bias"]
+
+    plain = learned(words)
+    for at in range(0, 400, 80):
+        other = words[:at] + ["eagle"] * 10 + words[at + 10 :]
+        assert not np.array_equal(learned(other), plain), at
+
+
 def test_lm_windows_equal_one_pass():
     """A text cut into overlapping windows scores as if each id had its own window with the whole context."""
     rng = np.random.default_rng(1)
