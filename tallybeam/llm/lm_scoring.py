@@ -393,7 +393,9 @@ def fit_on_all(model: Model, docs: DataFrame, training: Column, path: str, round
         dealt = rows.filter(F.floor(place / F.lit(trainers)) == turn).withColumn("trainer", place % trainers)
         # Much work: a stated number of partitions keeps Spark from putting trainers together.
         dealt = dealt.repartition(2 * trainers, "trainer")
-        total = added_up(dealt.groupBy("trainer").applyInArrow(train, "blob binary"), trainers)
+        # Stored, because the sum reads one partition after the other, which would run the trainers one by one.
+        trained = stored(dealt.groupBy("trainer").applyInArrow(train, "blob binary"), "trained")
+        total = added_up(trained, trainers)
         if total is not None and total[0]:
             weights = {k: (v / total[0]).astype(x.dtype) for (k, x), v in zip(model.weights.items(), total[1:], strict=True)}
             model = Model(model.class_of, model.share, weights, model.word_families)
