@@ -140,3 +140,13 @@ def test_only_new_rows(spark):
     fresh = ingest.raw_rows(messages(spark, envelope("a"), envelope("b"), envelope(...)), "demo")
     kept = ingest.only_new(fresh.withColumn("day", day), stored)
     assert sorted(str(r.insertId) for r in kept.collect()) == ["None", "b"]
+
+
+def test_groups_of_messages_are_sorted_by_hash(spark):
+    """Keys begin alike, so sorting by them would compare whole strings."""
+    rows = ingest.to_raw(ingest.classify(messages(spark, envelope("a"), envelope("a"), envelope(...)), "demo"))
+    for kept in (ingest.deduplicate(rows), ingest.deduplicate_counted(rows)):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        sorts = [line.partition("Sort [")[2] for line in plan.splitlines() if "Sort [" in line]
+        assert sorts and all(line.startswith("_hash#") for line in sorts)
+        assert sorted(str(r.insertId) for r in kept.collect()) == ["None", "a"]
