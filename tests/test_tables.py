@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
@@ -341,3 +342,15 @@ def test_narrow_exchange_of_ingest(spark):
     assert [r.value for r in raw.orderBy("outcome").collect()] == ["{cut", None]
     plan = ingest.deduplicate(raw)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2
+
+
+def test_compaction_exchanges_rows_by_message_once(spark, two_users):
+    """Joining the batches of an id needs neither an exchange nor a sort of its own."""
+    root = ingested(spark, *two_users)
+    ingested(spark, two_users[0], response("g", "2024-01-05T12:00:00Z"), batch="batch-1", root=root)
+    joined = tables._compacted(tables.read_stored(spark, root))
+    plan = joined._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [line for node in ("Exchange", "Sort") for line in re.findall(rf"\(\d+\) {node}\nInput [^\n]*", plan) if "jsonPayload_json" in line]
+    assert len(moved) <= 3 and sum(" Exchange\n" in line for line in moved) == 1
+    found = {r.insertId: sorted(r[tables.ORIGINS]) for r in joined.collect()}
+    assert found["a"] == ["batch-0", "batch-1"] and found["b"] == ["batch-0"] and found["g"] == ["batch-1"] and len(found) == 7
