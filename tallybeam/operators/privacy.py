@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -114,6 +116,9 @@ class Erasure:
     alert_dates: list[date | None] = field(default_factory=list)
 
 
+AT_ONCE = 5
+
+
 def json_text_of(value: str) -> str:
     """A pattern for ``value`` as a whole JSON string, in whatever way its characters are escaped.
 
@@ -153,29 +158,40 @@ def erase(spark: SparkSession, root: str, email: str, alerts_path: str | None =
     other = ~F.coalesce(F.col(USER_EMAIL) == email, F.lit(False))
     if folders.exists(spark, tables.raw_path(root)):
         days = result.days = user_days(spark, root, email)
-        # Raw rows last: they tell the days when an erasure that failed is run again.
-        for name, path in views_of.items():
-            if folders.exists(spark, path):
-                partials = incremental.read_partials(name, spark, path)
-                tables.rewrite_days(spark, partials, days, path, lambda rows: rows.filter(other))
-        if folders.exists(spark, tables.minutes_path(root)):
-            minutes = quota.read_partials(spark, tables.minutes_path(root))
-            tables.rewrite_days(spark, minutes, days, tables.minutes_path(root), lambda rows: rows.filter(other))
-        if folders.exists(spark, tables.alerts_path(root)):
-            reports = alerts.read_reports(spark, root)
-            tables.rewrite_days(spark, reports, days, tables.alerts_path(root), lambda rows: rows.filter(other))
-        raw = tables.read_stored(spark, root)
-        if folders.exists(spark, tables.base_path(root)):
+
+        def without(table: DataFrame, path: str) -> None:
+            tables.rewrite_days(spark, table, days, path, lambda rows: rows.filter(other))
+
+        def base_and_lags() -> None:
             # The base table is written from what stays of the raw rows, which also brings it up to date.
             kept = stored_of(without_user(tables.read_raw(spark, root), email))
             tables.rewrite_days(spark, kept, days, tables.base_path(root), lambda rows: rows)
             if folders.exists(spark, tables.lag_path(root)):
                 lags = checks.lag_partial(tables.read_base(spark, tables.base_path(root)), "batch")
-                tables.rewrite_days(spark, lags, days, tables.lag_path(root), lambda rows: rows)
-        if folders.exists(spark, tables.general_path(root)):
+                tables.rewrite_days(spark, lags, days, tables.lag_path(root), lambda rows: rows, exchanged=True)
+
+        def general() -> None:
             kept = without_user(tables.read_raw(spark, root), email)
             copy = base_view.stored_columns(base_view.analytics_view(kept, **base_view.GENERAL_ACCESS))
             tables.rewrite_days(spark, copy, days, tables.general_path(root), lambda rows: rows)
+
+        def view(name: str) -> None:
+            without(incremental.read_partials(name, spark, views_of[name]), views_of[name])
+
+        minutes, reports = tables.minutes_path(root), tables.alerts_path(root)
+        rewrites = {
+            tables.base_path(root): base_and_lags,
+            tables.general_path(root): general,
+            **{path: functools.partial(view, name) for name, path in views_of.items()},
+            minutes: lambda: without(quota.read_partials(spark, minutes), minutes),
+            reports: lambda: without(alerts.read_reports(spark, root), reports),
+        }
+        # Most of these tables are small; one after the other, each would leave most of a cluster idle.
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for written in [pool.submit(one) for path, one in rewrites.items() if folders.exists(spark, path)]:
+                written.result()
+        # Raw rows last: they tell the days when an erasure that failed is run again.
+        raw = tables.read_stored(spark, root)
         tables.rewrite_days(spark, raw, days, tables.raw_path(root), lambda rows: without_user(rows, email))
         if folders.exists(spark, users):
             of_user = F.coalesce(F.col("user_pseudonym") == pseudonym(F.lit(email)), F.lit(False))

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tallybeam.config import USER_EMAIL
 from tallybeam.operators import incremental, ingest, privacy, rollups, views
 from tallybeam.plans import build, refresh
 from tallybeam.sources import folders, tables
@@ -354,3 +355,29 @@ def test_compaction_exchanges_rows_by_message_once(spark, two_users):
     assert len(moved) <= 3 and sum(" Exchange\n" in line for line in moved) == 1
     found = {r.insertId: sorted(r[tables.ORIGINS]) for r in joined.collect()}
     assert found["a"] == ["batch-0", "batch-1"] and found["b"] == ["batch-0"] and found["g"] == ["batch-1"] and len(found) == 7
+
+
+def moved_whole(frame):
+    """Exchanges of rows with their payload."""
+    spark = frame.sparkSession
+    plan = frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [line for line in re.findall(r"\(\d+\) Exchange\nInput [^\n]*", plan) if "jsonPayload_json" in line]
+
+
+def test_a_rewrite_of_stored_rows_needs_no_exchange_and_no_job_for_its_swap(spark, two_users):
+    root = ingested(spark, *two_users)
+    kept = tables.read_raw(spark, root).filter("insertId <> 'a'")
+    assert not moved_whole(tables.rewritten(kept, ("day", "batch"), exchanged=False))
+    path = tables.raw_path(root)
+    kept.filter("day = '2024-01-05'").write.partitionBy("day", "batch").parquet(f"{folders.staging_of(path)}/data")
+    spark.sparkContext.setJobGroup("swap", "folders only")
+    folders.swap(spark, path, "day", ["2024-01-05", "2024-01-06", folders.EMPTY_DAY])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("swap")) == []
+    spark.sparkContext.setJobGroup("after", "")
+    assert days_and_ids(tables.read_raw(spark, root)) == [("2024-01-05", "b"), ("2024-01-07", "d")]
+
+
+def test_the_schema_of_the_base_view_is_analysed_once(spark, monkeypatch):
+    first = tables.read_empty_base(spark, USER_EMAIL).schema
+    monkeypatch.setattr(tables, "analytics_view", None)
+    assert tables.read_empty_base(spark, USER_EMAIL).schema == first
