@@ -10,8 +10,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from contract import adapter
 from contract.oracles import all_oracles
 from contract.registry import all_queries
+from tallybeam.sources import tables
 from tests.compare import differences, duck
 from tests.conftest import SF_DIR
 
@@ -48,3 +50,13 @@ def test_entry_without_the_text_operators(tmp_path, removed):
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     found = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"})
     assert found.stdout.split()[-2:] == [str(len(all_queries()))] * 2
+
+
+def test_batches_are_ingested_once_for_both_balances(spark, monkeypatch):
+    """The ledger is balanced before and after compaction over the same log."""
+    monkeypatch.setattr(adapter, "_PREPARED", {})
+    ingested, ingest_batch = [], tables.ingest_batch
+    monkeypatch.setattr(tables, "ingest_batch", lambda *args, **kwargs: (ingested.append(args[3]), ingest_batch(*args, **kwargs)))
+    found = contract.queries()["m_batch_reconciliation"](spark, SF_DIR).collect()
+    assert sorted((r.compacted, r.balanced, r.batches) for r in found) == [(False, True, 3), (True, True, 3)]
+    assert ingested == ["batch-0", "batch-1", "batch-2"]
