@@ -381,3 +381,12 @@ def test_the_schema_of_the_base_view_is_analysed_once(spark, monkeypatch):
     first = tables.read_empty_base(spark, USER_EMAIL).schema
     monkeypatch.setattr(tables, "analytics_view", None)
     assert tables.read_empty_base(spark, USER_EMAIL).schema == first
+
+
+def test_messages_that_are_stored_are_dropped_without_an_exchange_of_rows(spark, two_users):
+    root = ingested(spark, *two_users)
+    fresh = ingest.first_copies(ingest.with_outcome(ingest.to_raw(ingest.classify(messages(spark, *two_users), "demo")), ingest.ROUTED))
+    fresh = fresh.withColumn("day", F.to_date("timestamp"))
+    kept = ingest.only_new(fresh, tables.read_raw(spark, root))
+    assert len(moved_whole(kept)) == 1  # by message, for the first copies
+    assert sorted(r.insertId for r in kept.collect()) == ["e", "f"]  # rows without a day are never copies
