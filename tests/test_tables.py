@@ -390,3 +390,16 @@ def test_messages_that_are_stored_are_dropped_without_an_exchange_of_rows(spark,
     kept = ingest.only_new(fresh, tables.read_raw(spark, root))
     assert len(moved_whole(kept)) == 1  # by message, for the first copies
     assert sorted(r.insertId for r in kept.collect()) == ["e", "f"]  # rows without a day are never copies
+
+
+def test_redeliveries_leave_staged_rows_without_an_exchange(spark, two_users, monkeypatch):
+    root = ingested(spark, *two_users)
+    known = tables.read_raw(spark, root).filter("insertId in ('a', 'e')").select("day", "insertId")
+    few, many = (tables._without_known(tables.read_raw(spark, root), known, few) for few in (True, False))
+    assert not moved_whole(few) and days_and_ids(few) == days_and_ids(many)
+    assert days_and_ids(few) == [("2024-01-05", "b"), ("2024-01-06", "c"), ("2024-01-07", "d"), ("None", "f")]
+    again = [response("g", "2024-01-05T12:00:00Z"), *two_users]
+    for limit in (0, 100):
+        monkeypatch.setattr(tables, "BROADCAST_IDS", limit)
+        tables.ingest_batch(messages(spark, *again), root, "demo", "batch-1", "2024-01-31 00:00:00", only_new=True)
+        assert days_and_ids(tables.read_raw(spark, root).filter("batch = 'batch-1'")) == [("2024-01-05", "g")]
