@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from contract import adapter
@@ -60,3 +61,17 @@ def test_batches_are_ingested_once_for_both_balances(spark, monkeypatch):
     found = contract.queries()["m_batch_reconciliation"](spark, SF_DIR).collect()
     assert sorted((r.compacted, r.balanced, r.batches) for r in found) == [(False, True, 3), (True, True, 3)]
     assert ingested == ["batch-0", "batch-1", "batch-2"]
+
+
+def test_batches_bring_messages_that_others_stored(spark, monkeypatch):
+    """Copies of a message come in the batch of the first copy and in others, and the ledger counts both kinds."""
+    monkeypatch.setattr(adapter, "_PREPARED", {})
+    query = contract.queries()["m_batch_reconciliation"]
+    loaded = {r.loaded for r in query(spark, SF_DIR).collect()}
+    root = adapter._PREPARED[spark.sparkContext.applicationId, SF_DIR, "fates"]
+    found = tables.read_fates(spark, root).agg(F.sum("redelivered"), F.sum("duplicates"), F.sum("messages")).first()
+    assert found[0] > 0 and found[1] > 0
+    assert found[2] == adapter.messages(spark, SF_DIR).count() == sum(rows.count() for rows in adapter.deliveries(spark, SF_DIR, 3))
+    monkeypatch.setattr(adapter, "_PREPARED", {})
+    monkeypatch.setattr(tables, "_drop_known", lambda *args, **kwargs: None)
+    assert {r.loaded for r in query(spark, SF_DIR).collect() if not r.compacted} == {loaded.pop() + found[0]}
