@@ -86,6 +86,21 @@ def unpack_sorted(planes: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+# So do columns of whole numbers, whose differences may be negative and come with the sign in the last bit.
+
+
+def pack_columns(rows: np.ndarray) -> bytes:
+    steps = np.diff(rows.astype(np.int64), axis=0, prepend=np.int64(0))
+    signed = ((steps << 1) ^ (steps >> 63)).astype("<i8")
+    return np.ascontiguousarray(signed.T).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_columns(planes: bytes, columns: int) -> np.ndarray:
+    signed = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").reshape(columns, -1)
+    steps = (signed >> np.uint64(1)).astype(np.int64) ^ -(signed & np.uint64(1)).astype(np.int64)
+    return np.cumsum(steps, axis=1).T
+
+
 def crowd(values: np.ndarray, counts: np.ndarray, stretches: Iterator[tuple[int, bytes]]) -> np.ndarray:
     """Counts of a group's anchors of which those seen three times or more are of distinct stretches, but two at least.
 
@@ -195,27 +210,38 @@ class Passages:
         self.occurrences.append((document, place[1], last, k))
         return new
 
-    def rows(self, g: int, bucket: np.ndarray, buckets: int, *more: list) -> pa.Table:
+    def rows(self, g: int, bucket: np.ndarray, *more: list, packing: Callable[..., bytes] = pack) -> pa.Table:
         """A row for each bucket with its stretches, places and what else belongs to them, and one that comes back to the
-        group, by way of the bucket ``buckets``, with the occurrences and the bucket of each stretch."""
+        group, by way of a bucket below zero of its own, with the occurrences and the bucket of each stretch."""
         texts, places = list(self.number), np.array(self.places, np.int64).reshape(-1, 2)
         rows = [
-            (g, b, pack(places[own], [texts[k] for k in own], *[[values[k] for k in own] for values in more]))
+            (g, b, packing(places[own], [texts[k] for k in own], *[[values[k] for k in own] for values in more]))
             for b, own in split_by(bucket)
         ]
-        occurrences = np.array(self.occurrences, np.int32).reshape(-1, 4)
-        return packed([*rows, (g, buckets, pack(occurrences, bucket.astype(np.int32)))] if texts else [])
+        occurrences = np.array(self.occurrences, np.int64).reshape(-1, 4)
+        back = pack(pack_columns(occurrences), pack_columns(bucket.reshape(-1, 1)), level=3)
+        return packed([*rows, (g, -1 - g, back)] if texts else [])
+
 
+def came_back(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]] | None:
+    """A group's occurrences (document, first start, last start, stretch), the bucket of each stretch, and what each bucket
+    answers; None for a group without any."""
+    blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+    if not blobs:
+        return None
+    occurrences, bucket = unpack(blobs.pop(min(blobs)))
+    return unpack_columns(occurrences, 4), unpack_columns(bucket, 1)[:, 0], blobs
 
-def answered(answers: pa.Table, buckets: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]]:
+
+def answered(answers: pa.Table) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]]:
     """Per document that has any candidates: first and last start, first place and bits of each occurrence.
 
     A bucket answers with the first places of the stretches it got, one row each, and, packed, one bit for each window.
     """
-    blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-    if buckets not in blobs:
+    found = came_back(answers)
+    if found is None:
         return
-    occurrences, bucket = unpack(blobs.pop(buckets))
+    occurrences, bucket, blobs = found
     place, bits = None, [b""] * len(bucket)
     for b, own in split_by(bucket):
         places, flags = unpack(blobs[b])

@@ -203,13 +203,13 @@ def remove_repeats(
                         anchors.append(xxhash.xxh3_64_intdigest(text) if single else anchor)
                         singles.append(single)
             before += len(ids)
-        # Buckets after that of the occurrences are those of single windows.
-        bucket = bucket_of(np.array(anchors, np.uint64), buckets) + (buckets + 1) * np.array(singles, np.int64)
-        return passages.rows(table.column("g")[0].as_py(), bucket, buckets, anchors)
+        # Single windows have buckets of their own after the others.
+        bucket = bucket_of(np.array(anchors, np.uint64), buckets) + buckets * np.array(singles, np.int64)
+        return passages.rows(table.column("g")[0].as_py(), bucket, anchors)
 
     def match(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        if bucket == buckets:
+        if bucket < 0:
             return table
         sent = [unpack(b) for b in table.column("blob").to_pylist()]
         places: dict[bytes, tuple[int, int]] = {}
@@ -219,7 +219,7 @@ def remove_repeats(
                 if text not in places or place < places[text]:
                     places[text] = place
                 anchor_of[text] = anchor
-        if bucket > buckets:  # windows of hot anchors, one by one: the first place has no earlier one, all others have
+        if bucket >= buckets:  # windows of hot anchors, one by one: the first place has no earlier one, all others have
             return packed([
                 (g, bucket, pack(np.array([places[t] for t in texts], np.int64).reshape(-1, 2), [b"\0"] * len(texts)))
                 for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
@@ -243,7 +243,7 @@ def remove_repeats(
         ])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = dict(answered(answers, buckets))
+        found = dict(answered(answers))
         out: list[list] = [[] for _ in range(5)]
         document = 0
         for ids, texts in in_order(table, PORTION):

@@ -98,8 +98,8 @@ def in_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFram
     return rows.withColumn("g", F.pmod(F.xxhash64("id", spread), F.lit(groups)).cast("int")).repartition("g"), groups
 
 
-def pack(*values) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, 5))
+def pack(*values, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(values, 5))
 
 
 def unpack(blob: bytes) -> tuple:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybeam.llm.anchors import Passages, among, anchored_runs, announcement, answered, count_in_buckets, covered, crowd, hot_anchors, in_order, repeated
-from tallybeam.llm.shared import GROUP_BYTES, PACKED, hashed_sample, id_or_null, in_groups, mixed, pack, packed, unpack
+from tallybeam.llm.anchors import (
+    Passages,
+    among,
+    anchored_runs,
+    announcement,
+    came_back,
+    count_in_buckets,
+    covered,
+    crowd,
+    hot_anchors,
+    in_order,
+    pack_columns,
+    repeated,
+    unpack_columns,
+)
+from tallybeam.llm.shared import GROUP_BYTES, PACKED, hashed_sample, id_or_null, in_groups, mixed, pack, packed, split_by, unpack
 
 LENGTH = 50
 GRAM = 16
@@ -104,13 +119,60 @@ def compare_across(low: bytes, leading: list[bytes], high: bytes | None) -> bool
     return not leading or (low <= min(leading) and (high is None or max(leading) < high))
 
 
-def _runs(texts: list[bytes], length: int, gram: int):
-    """Of each run of strings: text, first byte, last string's first byte, first byte and hash of its anchor."""
+def _runs(texts: list[bytes], length: int, gram: int, bits: int = 64):
+    """Of each run of strings: text, first byte, last string's first byte, first byte and the low ``bits`` of the hash of its
+    anchor. Anchors that share them are taken for equal, which makes candidates and no matches."""
     sizes = np.array([len(t) for t in texts], np.int64)
     first, last, place, anchor = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), sizes, length, gram, byte_grams)
     begins = np.cumsum(sizes) - sizes
     owner = np.searchsorted(begins, first, "right") - 1
-    return owner, first - begins[owner], last - begins[owner], place - begins[owner], anchor
+    return owner, first - begins[owner], last - begins[owner], place - begins[owner], anchor & np.uint64((1 << bits) - 1)
+
+
+def pack_stretches(places: np.ndarray, texts: list[bytes], starts: list[int]) -> bytes:
+    """Ids and stretches with the place of the anchor in each, or -1 for a single window; texts in one piece."""
+    columns = np.column_stack([places[:, 0], np.array([len(t) for t in texts], np.int64), np.array(starts, np.int64)])
+    return pack(pack_columns(columns), b"".join(texts), level=3)
+
+
+def unpack_stretches(blob: bytes, gram: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Ids, stretches and their anchors."""
+    columns, joined = unpack(blob)
+    ids, sizes, starts = unpack_columns(columns, 3).T
+    ends = np.cumsum(sizes)
+    begins, starts = (ends - sizes).tolist(), starts.tolist()
+    texts = [joined[a:b] for a, b in zip(begins, ends.tolist(), strict=True)]
+    return ids.tolist(), texts, [joined[a + s : a + s + gram] if s >= 0 else b"" for a, s in zip(begins, starts, strict=True)]
+
+
+def judged(table: pa.Table, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Per document that has any candidates: first and last start of each occurrence, whether it is of the smallest id that
+    its stretch has anywhere, and if so a bit for each window.
+
+    ``ids`` are those of the group's documents in their order, so a stretch's first document has its smallest id here. A
+    bucket answers whether that is the smallest of all, one bit for each stretch, and with the bits of those that are.
+    """
+    found = came_back(table)
+    if found is None:
+        return {}
+    occurrences, bucket, blobs = found
+    document, first, last, stretch = occurrences.T
+    n = len(bucket)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, stretch, document)
+    widths = np.zeros(n, np.int64)
+    widths[stretch] = (last - first + 8) // 8
+    leads, bits = np.zeros(n, bool), [b""] * n
+    for b, own in split_by(bucket):
+        flags, joined = unpack(blobs[b])
+        leads[own] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(own)).astype(bool)
+        at = 0
+        for k in own[leads[own]].tolist() if joined else []:
+            bits[k] = joined[at : at + widths[k]]
+            at += widths[k]
+    key = np.array(ids, np.int64)
+    own = leads[stretch] & (key[document] == key[least[stretch]])
+    return {d: (first[rows], last[rows], own[rows], [bits[k] for k in stretch[rows].tolist()]) for d, rows in split_by(document)}
 
 
 def _group_anchors(portions: list[tuple]) -> np.ndarray:
@@ -138,9 +200,11 @@ def remove_repeats(
     buckets = max(1, groups // 2)
     splitters = sampled_splitters(docs, buckets, gram)
     schema = SCHEMA + (", kept binary" if with_bytes else "")
+    # Announced hashes have as many bits as keep all but about one in a thousand of the table's anchors apart.
+    bits = min(64, 28 + groups.bit_length())
 
     def runs_of(table: pa.Table) -> list[tuple]:
-        return [(ids, texts, *_runs(texts, length, gram)) for ids, texts in in_order(table, PORTION)]
+        return [(ids, texts, *_runs(texts, length, gram, bits)) for ids, texts in in_order(table, PORTION)]
 
     def announce(table: pa.Table) -> pa.Table:
         portions = runs_of(table)
@@ -162,44 +226,48 @@ def remove_repeats(
         portions = runs_of(table)
         wanted, totals = repeated(_group_anchors(portions), answers, buckets)
         hot = hot_anchors(wanted, totals, most, groups)
-        found, heads, before = Passages(), [], 0
+        found, starts, bucket, before = Passages(), [], [], 0
         for ids, texts, *runs in portions:
             keep = np.flatnonzero(among(runs[-1], wanted))
             alone = among(runs[-1][keep], hot).tolist()
             for owner, first, last, place, single in zip(*[r[keep].tolist() for r in runs[:4]], alone, strict=True):
                 text = texts[owner]
-                if single:
+                if single:  # single windows have the buckets after those of the stretches
                     for k in range(first, last + 1):
-                        if found.add(text[k : k + length], before + owner, (ids[owner], k), k):
-                            heads.append(b"")
+                        window = text[k : k + length]
+                        if found.add(window, before + owner, (ids[owner], k), k):
+                            starts.append(-1)
+                            bucket.append(buckets + xxhash.xxh3_64_intdigest(window) % buckets)
                 elif found.add(text[first : last + length], before + owner, (ids[owner], first), last):
-                    heads.append(text[place : place + gram])
+                    starts.append(place - first)
+                    bucket.append(bisect_right(splitters, text[place : place + gram]))
             before += len(ids)
-        # Single windows have no head; buckets after that of the occurrences are theirs.
-        bucket = np.array([
-            bisect_right(splitters, h) if h else buckets + 1 + xxhash.xxh3_64_intdigest(t) % buckets
-            for h, t in zip(heads, found.number, strict=True)
-        ], np.int64)
-        return found.rows(table.column("g")[0].as_py(), bucket, buckets, heads)
+        return found.rows(table.column("g")[0].as_py(), np.array(bucket, np.int64), starts, packing=pack_stretches)
 
     def sort(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        if bucket == buckets:
+        if bucket < 0:
             return table
-        sent = [unpack(b) for b in table.column("blob").to_pylist()]
+        sent = [unpack_stretches(b, gram) for b in table.column("blob").to_pylist()]
         smallest: dict[bytes, int] = {}
         head_of: dict[bytes, bytes] = {}
-        for places, texts, heads in sent:
-            for key, text, head in zip(places[:, 0].tolist(), texts, heads, strict=True):
+        for ids, texts, heads in sent:
+            for key, text, head in zip(ids, texts, heads, strict=True):
                 old = smallest.get(text)
                 if old is None or key < old:
                     smallest[text] = key
                 head_of[text] = head
-        if bucket > buckets:  # windows of hot anchors, one by one: the smallest id has no earlier one, all others have
-            return packed([
-                (g, bucket, pack(np.array([smallest[t] for t in texts], np.int64), [b"\0"] * len(texts)))
-                for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
-            ])
+
+        def reply(bits_of: Callable[[bytes], bytes]) -> pa.Table:
+            rows = []
+            for g, (ids, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True):
+                leads = [smallest[t] == key for key, t in zip(ids, texts, strict=True)]
+                joined = b"".join([bits_of(t) for t, lead in zip(texts, leads, strict=True) if lead])
+                rows.append((g, bucket, pack(np.packbits(np.array(leads, bool)).tobytes(), joined)))
+            return packed(rows)
+
+        if bucket >= buckets:  # windows of hot anchors, one by one: the smallest id has no earlier one, all others have
+            return reply(lambda _: b"")
         low = splitters[bucket - 1] if bucket else b""
         high = splitters[bucket] if bucket < len(splitters) else None
         if not compare_across(low, list(head_of.values()), high):
@@ -216,21 +284,18 @@ def remove_repeats(
                 for t, key, least in zip(part, own.tolist(), smallest_ids(part, own, length), strict=True):
                     answer[t] = np.packbits(least < key).tobytes()
                 begin, size = k + 1, 0
-        return packed([
-            (g, bucket, pack(np.array([smallest[t] for t in texts], np.int64), [answer[t] for t in texts]))
-            for g, (_, texts, _) in zip(table.column("g").to_pylist(), sent, strict=True)
-        ])
+        return reply(answer.__getitem__)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = dict(answered(answers, buckets))
+        portions = list(in_order(table, PORTION))
+        found = judged(answers, [key for ids, _ in portions for key in ids])
         out: list[list] = [[] for _ in range(6)]
         document = 0
-        for ids, texts in in_order(table, PORTION):
+        for ids, texts in portions:
             for key, text in zip(ids, texts, strict=True):
                 size, removed, spans = len(text), 0, 0
                 if document in found:
-                    first, last, smallest, bits = found[document]
-                    gone = covered(size, length, first, last, smallest == key, bits)
+                    gone = covered(size, length, *found[document])
                     removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                     text = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 for column, value in zip(out, (key, size, removed, spans, hashlib.sha256(text).hexdigest(), text), strict=True):

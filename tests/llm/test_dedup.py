@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybeam.llm import automaton_dedup, exact_dedup, jaccard_join, queries, suffix_dedup
-from tallybeam.llm.anchors import anchored_runs, pack_sorted, unpack_sorted
-from tallybeam.llm.shared import NO_ID, in_groups
+from tallybeam.llm.anchors import Passages, anchored_runs, came_back, pack_columns, pack_sorted, unpack_columns, unpack_sorted
+from tallybeam.llm.shared import NO_ID, in_groups, pack
 from tests.conftest import SF_DIR
 from tests.llm.samples import frame, odd_rows, sentences
 
@@ -121,6 +121,41 @@ def test_suffix_dedup(spark, which, group):
     assert sum(r[2] for r in found) > 0
 
 
+def test_stretches_travel_narrow():
+    """What groups send and get back is a few bytes beside the texts, and no two groups' occurrences meet in one bucket."""
+    columns = np.array([[-(2**63), 0, 5], [2**63 - 1, -7, 5], [3, 2**40, 0]])
+    assert (unpack_columns(pack_columns(columns), 3) == columns).all()
+    assert unpack_columns(pack_columns(columns[:0]), 3).shape == (0, 3)
+    texts = [sentences(k, 12).encode()[:66] for k in range(3000)]
+    tables = []
+    for g in (4, 5):
+        found = Passages()
+        for k, text in enumerate(texts):
+            found.add(text, k // 40, (1000 + k // 40, k % 40 * 17), k % 40 * 17 + 16)
+        tables.append(found.rows(g, np.arange(len(texts)) % 7, [k % 30 for k in range(len(texts))], packing=suffix_dedup.pack_stretches))
+        occurrences, bucket, blobs = came_back(tables[-1])
+        assert [tuple(r) for r in occurrences.tolist()] == found.occurrences and (bucket == np.arange(len(texts)) % 7).all()
+        ids, own, heads = suffix_dedup.unpack_stretches(blobs[3], 16)
+        assert own == texts[3::7] and ids == [1000 + k // 40 for k in range(3, 3000, 7)]
+        assert heads == [texts[k][k % 30 : k % 30 + 16] for k in range(3, 3000, 7)]
+    back = [min(t.column("bucket").to_pylist()) for t in tables]
+    assert max(back) < 0 and len(set(back)) == 2
+    sent = {b: len(blob.as_py()) for b, blob in zip(tables[0].column("bucket").to_pylist(), tables[0].column("blob"), strict=True)}
+    assert sent.pop(back[0]) < 5 * len(texts)
+    alone = sum(len(pack(b"".join(texts[b::7]), level=3)) for b in range(7))
+    assert sum(sent.values()) < alone + 4 * len(texts)
+
+
+def test_announced_hashes_are_short():
+    """Hashes have no more bits than tell the anchors apart, so announcements take about half of eight bytes each."""
+    texts = [sentences(k, 400, 100_000).encode() for k in range(100)]
+    whole, short = (suffix_dedup._runs(texts, 50, 16, bits) for bits in (64, 36))
+    assert all((a == b).all() for a, b in zip(whole[:4], short[:4], strict=True))
+    assert len(np.unique(short[4])) == len(np.unique(whole[4]))
+    sizes = [len(pack(pack_sorted(np.unique(x[4])))) for x in (whole, short)]
+    assert sizes[1] < 0.55 * sizes[0]
+
+
 def frequent_line():
     """A line in many texts with different words around it, some of them in two texts, and copies of whole texts."""
     rows = [(k, f"{sentences(k % 150, 30)} {' '.join(f'frequent{j}' for j in range(16))} {sentences(k % 150 + k // 170 * 500, 30)}") for k in range(200)]
