@@ -5,9 +5,10 @@ bit gains or loses the weight; the signs are the fingerprint. Sums of two bits s
 as many sums as bits. A text's terms are exploded and summed in one stage, without an exchange.
 
 ``near_fingerprints`` finds all fingerprints within a Hamming radius with permuted block tables: the bits are cut into
-blocks, ``AGREE`` more than the radius, and a table for each choice of ``AGREE`` blocks brings these to the front as its key.
-Fingerprints within the radius agree in so many blocks, so an equal join on table and key meets them all; a pair is reported
-by the table of the first blocks that agree. Fingerprints move between tasks once for each first block, not for each table.
+``BLOCKS`` blocks, and a table for each block brings it to the front as its key. Fingerprints within the radius differ in few
+bits of at least one block (``allowances``), so a query asks each table for all keys that near its own, and an equal join on
+table and key meets them all; a pair is reported by the first table that it meets in. Keys have 18 bits at least, so
+candidates stay few where the table is large, and rows of the index, of which there are most, have one row for each block.
 
 Null text is empty text, which has the fingerprint of zeros, as has any text without a word. The next document is the next
 row by ``doc_id`` and, among rows that share one, by text (where so many share one that they are cut into parts, by part
@@ -31,7 +32,7 @@ BITS = 64 * WORDS
 ROWS_PER_PART = 2000
 RANGES = 64
 RADIUS = 18  # nine of ten near copies, at a similarity of 0.75 by five-word shingles, are within it
-AGREE = 2
+BLOCKS = 7  # tables; more of them need fewer keys a query, of fewer bits and so with more candidates
 LANES = 0x100000001
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -85,60 +86,69 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def _block(words: Column, k: int, blocks: int) -> Column:
-    """Bits of one block, alone and in front."""
+def _block(words: list[Column], k: int, blocks: int) -> Column:
+    """Bits of one block as a number; blocks have at most 32 bits."""
     low, high = BITS * k // blocks, BITS * (k + 1) // blocks
-    parts = []
+    parts, at = [], 0
     for w in range(WORDS):
         first, last = max(low, 64 * w) - 64 * w, min(high, 64 * w + 64) - 64 * w
         if first < last:
-            mask = ((1 << last) - (1 << first)) & (2**64 - 1)
-            parts.append(words[w].bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask)))
-    return F.xxhash64(*parts) if len(parts) > 1 else parts[0]
+            part = F.shiftrightunsigned(words[w], first).bitwiseAND(F.lit((1 << (last - first)) - 1).cast("long"))
+            parts.append(F.shiftleft(part, at))
+            at += last - first
+    return reduce(Column.bitwiseOR, parts)
+
+
+def allowances(radius: int, blocks: int) -> list[int]:
+    """In how many bits each block may differ, so that fingerprints within the radius stay within it in some block.
+
+    Were each block beyond its allowance, the fingerprints would differ in more than ``radius`` bits. A block with a negative
+    allowance needs no table.
+    """
+    least, more = divmod(radius, blocks)
+    return [least - (k > more) for k in range(blocks)]
+
+
+def _flips(bits: int, most: int) -> list[int]:
+    """All patterns of up to ``most`` bits."""
+    return [sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(range(bits), n)]
 
 
 def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``query, found, distance`` of distinct fingerprints (arrays ``words``) within ``radius``, itself included.
 
-    Rows are exchanged by the first block of their tables, one row for each such block, and only then get a row for each
-    table. This holds where the join is planned within ``joined_by_first_block``; elsewhere Spark exchanges the rows of all
-    tables once more, to the same result.
+    A fingerprint of the index has a row for each table and one of the queries a row for each key that it asks for. These
+    rows are exchanged by table and key, which are one number.
     """
-    blocks = radius + AGREE
-    # A table is the set of its blocks, one bit each.
-    choices = F.array(*[
-        F.array(*[
-            F.struct(F.lit(sum(1 << k for k in (first, *rest))).cast("long").alias("table"), F.array(*map(F.lit, rest)).alias("rest"))
-            for rest in combinations(range(first + 1, blocks), AGREE - 1)
-        ])
-        for first in range(blocks - AGREE + 1)
-    ])
-    cut = F.array(*[_block(F.col("words"), k, blocks) for k in range(blocks)])
-
-    def tables(df: DataFrame) -> DataFrame:
-        firsts = F.explode(F.sequence(F.lit(0), F.lit(blocks - AGREE)))
-        rows = df.select("words").distinct().select("words", firsts.alias("first"))
-        rows = rows.withColumn("near", F.xxhash64("first", F.get(cut, F.col("first")))).repartition("near")
-        rows = rows.select("words", "near", cut.alias("cut"), F.explode(F.get(choices, F.col("first"))).alias("one"))
-        keys = [F.get("cut", F.get("one.rest", k)) for k in range(AGREE - 1)]
-        return rows.select("words", "near", F.col("one.table").alias("table"), F.xxhash64("one.table", *keys).alias("key"))
-
-    asked = tables(queries).withColumnRenamed("words", "query").hint("shuffle_hash")
-    met = asked.join(tables(index).withColumnRenamed("words", "found"), ["near", "table", "key"])
-    apart = distance(F.col("query"), F.col("found"))
-    met = met.withColumn("distance", apart).filter(F.col("distance") <= radius)
-    agree = [F.when(_block(F.col("query"), k, blocks) == _block(F.col("found"), k, blocks), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)]
-    met = met.withColumn("left", reduce(Column.bitwiseOR, agree).cast("long"))
-    rest, first = F.col("left"), F.lit(0).cast("long")
-    for _ in range(AGREE):
-        first = first.bitwiseOR(rest.bitwiseAND(-rest))
-        rest = rest.bitwiseAND(rest - 1)
-    return met.filter(first == F.col("table")).select("query", "found", "distance")
+    blocks = max(4, min(BLOCKS, radius + 1))
+    allowed = [(k, most) for k, most in enumerate(allowances(radius, blocks)) if most >= 0]
+    sizes = [BITS * (k + 1) // blocks - BITS * k // blocks for k in range(blocks)]
+
+    def tables(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select("words").distinct().select(*[F.get("words", k).alias(f"{name}{k}") for k in range(WORDS)])
+        words = [F.col(f"{name}{k}") for k in range(WORDS)]
+        fronts = F.array(*[_block(words, k, blocks).bitwiseOR(F.lit(k << 32).cast("long")) for k, _ in allowed])
+        return rows.select(*words, F.explode(fronts).alias("near"))
+
+    flips = ", ".join(f"array({', '.join(f'{x}L' for x in _flips(sizes[k], most))})" for k, most in allowed)
+    asked = tables(queries, "q").withColumn("flip", F.explode(F.get(F.expr(f"array({flips})"), F.shiftright("near", 32).cast("int"))))
+    asked = asked.withColumn("near", F.col("near").bitwiseXOR(F.col("flip"))).drop("flip")
+    met = asked.join(tables(index, "f").hint("shuffle_hash"), "near")
+    apart = [F.col(f"q{k}").bitwiseXOR(F.col(f"f{k}")) for k in range(WORDS)]
+    met = met.withColumn("distance", reduce(Column.__add__, [F.bit_count(x) for x in apart])).filter(F.col("distance") <= radius)
+    # A pair that meets in several tables is reported by the first of them.
+    first = reduce(
+        lambda others, one: F.when(F.bit_count(_block(apart, one[0], blocks)) <= one[1], F.lit(one[0])).otherwise(others),
+        reversed(allowed),
+        F.lit(-1),
+    )
+    met = met.filter(first == F.shiftright("near", 32))
+    return met.select(*[F.array(*[F.col(f"{x}{k}") for k in range(WORDS)]).alias(name) for x, name in (("q", "query"), ("f", "found"))], "distance")
 
 
 @contextmanager
 def joined_by_first_block(spark: SparkSession) -> Iterator[None]:
-    """Let a join use an exchange by one of its keys, which Spark else repeats by all of them."""
+    """Let a join use an exchange by one of its keys, which Spark else repeats by all of them. Joins by one key don't need it."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -236,8 +246,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, queries: Column |
     )
     if queries is not None:
         asked = found.withColumn("doc_id", id_or_null("id")).filter(queries)
-        with joined_by_first_block(docs.sparkSession):
-            near = stored(near_fingerprints(asked, found, radius).groupBy("query").agg(F.count("*").alias("n_near")), "near")
+        near = stored(near_fingerprints(asked, found, radius).groupBy("query").agg(F.count("*").alias("n_near")), "near")
         asks = F.coalesce(queries, F.lit(False))
         counted = result.filter(asks).join(near.withColumnRenamed("query", "words").hint("merge"), "words", "left")
         others = result.filter(~asks).withColumn("n_near", F.lit(None).cast("long"))

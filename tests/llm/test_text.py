@@ -493,6 +493,39 @@ def test_permuted_blocks_find_all(spark):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("radius", [0, 2, 7, 18])
+def test_block_tables_at_every_radius(spark, radius):
+    """Pairs at the radius and just beyond it, with the bits that differ spread, in one block, or in all but one."""
+    rng, pairs = np.random.default_rng(radius), [(0, 0), (-1, -1)]
+    for k in range(200):
+        p = int.from_bytes(rng.bytes(16), "big")
+        flips = rng.choice(np.r_[:128] if k % 3 == 0 else np.r_[:64] if k % 3 == 1 else np.r_[40:128], radius + k % 2, replace=False)
+        q = p ^ sum(1 << int(b) for b in flips)
+        pairs += [tuple((x >> at) % 2**64 - (1 << 64) * (x >> at + 63 & 1) for at in (0, 64)) for x in (p, q)]
+    index = spark.createDataFrame([(list(x),) for x in pairs], "words array<long>")
+    asked = index.limit(150).union(index.limit(3))
+    found = [(tuple(r[0]), tuple(r[1]), r[2]) for r in simhash.near_fingerprints(asked, index, radius).collect()]
+    apart = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a, b))
+    expected = {(a, b, d) for a in set(pairs[:150]) for b in set(pairs) if (d := apart(a, b)) <= radius}
+    assert set(found) == expected and len(found) == len(expected) and len(found) >= 100
+
+
+def test_candidates_of_the_block_tables_are_few(spark):
+    """Rows of the tables are in proportion to the fingerprints, and keys tell nearly all of them apart."""
+    made = []
+    for n in (1000, 4000):
+        index = spark.range(n).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("words"))
+        found = simhash.near_fingerprints(index.limit(n // 50), index)
+        assert found.count() == n // 50
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        sizes = simhash.allowances(simhash.RADIUS, simhash.BLOCKS)
+        bits = simhash.BITS // simhash.BLOCKS
+        made.append(n * len(sizes) + n // 50 * sum(len(simhash._flips(bits, k)) for k in sizes))
+    assert made[1] < 30 * 4000  # were 190 for each fingerprint
+    assert sum(len(simhash._flips(bits, k)) for k in sizes) / 2**bits < 0.004  # of all pairs; were 190 / 2**12.8, 0.027
+
+
 def test_near_fingerprints_exchanged_once_for_each_first_block(spark):
     index = spark.range(300).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("words"))
     with simhash.joined_by_first_block(spark):
